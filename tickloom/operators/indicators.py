@@ -6,6 +6,10 @@ smoothing or an unbounded scan take and return a DataFrame.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,20 +46,48 @@ def lowest(lay: Layout, n: int, source: str = "low") -> Column:
     return _from_bar(n, F.min(source).over(lay.rows(n - 1)))
 
 
+def with_smas(df: DataFrame, lay: Layout, *periods: int, source: str = "close") -> DataFrame:
+    """Several means at once (``sma<n>``).
+
+    A frame of 200 bars would visit 200 rows per bar.  Sums of a short frame
+    are added up at fixed distances instead, all read in one pass.
+    """
+    common, goal = math.gcd(*periods), 1.5 * math.sqrt(max(periods))
+    part = max(d for d in range(1, common + 1) if common % d == 0 and d <= goal)
+    df = df.withColumn("_part", F.sum(source).over(lay.rows(part - 1)))
+    return df.withColumns({
+        f"sma{n}": _from_bar(n, reduce(Column.__add__, [_back("_part", k, lay) for k in range(0, n, part)]) / n)
+        for n in periods
+    }).drop("_part")
+
+
+def with_extremes(df: DataFrame, lay: Layout, *periods: int) -> DataFrame:
+    """Rolling highs and lows at once (``hh<n>``, ``ll<n>``), from overlapping short frames."""
+    part = min(min(periods), math.isqrt(max(periods)))
+    df = df.withColumns({
+        "_h": F.max("high").over(lay.rows(part - 1)), "_l": F.min("low").over(lay.rows(part - 1)),
+    })
+
+    def over(column: str, n: int, pick: Callable[..., Column]) -> Column:
+        backs = sorted({*range(0, n - part, part), n - part})
+        parts = [_back(column, k, lay) for k in backs]
+        return _from_bar(n, pick(*parts) if len(parts) > 1 else parts[0])
+
+    return df.withColumns({
+        **{f"hh{n}": over("_h", n, F.greatest) for n in periods},
+        **{f"ll{n}": over("_l", n, F.least) for n in periods},
+    }).drop("_h", "_l")
+
+
+def _back(column: str, k: int, lay: Layout) -> Column:
+    return F.lag(column, k).over(lay.window()) if k else F.col(column)
+
+
 def bollinger(lay: Layout, n: int = 20, deviations: float = 2.0) -> dict[str, Column]:
     mid, spread = sma(lay, n), deviations * rolling_std(lay, n)
     return {"bb_mid": mid, "bb_top": mid + spread, "bb_bottom": mid - spread}
 
 
-def donchian_prev(lay: Layout, n: int = 20) -> dict[str, Column]:
-    """Channel of the ``n`` bars before the current one."""
-    frame = lay.window().rowsBetween(-n, -1)
-    return {
-        "channel_high": _from_bar(n + 1, F.max("high").over(frame)),
-        "channel_low": _from_bar(n + 1, F.min("low").over(frame)),
-    }
-
-
 def ma_envelope(lay: Layout, n: int = 50, share: float = 0.02) -> dict[str, Column]:
     mid = sma(lay, n)
     return {"env_mid": mid, "env_upper": mid * (1 + share), "env_lower": mid * (1 - share)}
@@ -69,30 +101,13 @@ def momentum(lay: Layout, k: int) -> Column:
     return F.try_divide(F.col("close"), bars_back(lay, k)) - 1
 
 
-def ichimoku(lay: Layout, tenkan: int = 9, kijun: int = 26, senkou: int = 52) -> dict[str, Column]:
-    """Conversion and base line; both spans as they stood ``kijun`` bars ago."""
-
-    def middle(n: int, shift: int) -> Column:
-        frame = lay.window().rowsBetween(-(n - 1) - shift, -shift)
-        return _from_bar(n + shift, (F.max("high").over(frame) + F.min("low").over(frame)) / 2)
-
-    return {
-        "tenkan": middle(tenkan, 0),
-        "kijun": middle(kijun, 0),
-        "span_a": (middle(tenkan, kijun) + middle(kijun, kijun)) / 2,
-        "span_b": middle(senkou, kijun),
-    }
-
-
 def with_stochastic(df: DataFrame, lay: Layout, n: int = 14, slow: int = 3) -> DataFrame:
-    """Slow %K in ``sto_k``; NULL while any of its ranges is empty."""
-    df = df.withColumns({"_hh": highest(lay, n), "_ll": lowest(lay, n)})
-    df = df.withColumn(
-        "_fast_k", safe_divide(100 * (F.col("close") - F.col("_ll")), F.col("_hh") - F.col("_ll"))
-    )
+    """Slow %K in ``sto_k`` from ``hh<n>`` and ``ll<n>``; NULL while any of its ranges is empty."""
+    low = F.col(f"ll{n}")
+    df = df.withColumn("_fast_k", safe_divide(100 * (F.col("close") - low), F.col(f"hh{n}") - low))
     frame = lay.rows(slow - 1)
     full = F.count("_fast_k").over(frame) == slow
-    return df.withColumn("sto_k", F.when(full, F.avg("_fast_k").over(frame))).drop("_hh", "_ll", "_fast_k")
+    return df.withColumn("sto_k", F.when(full, F.avg("_fast_k").over(frame))).drop("_fast_k")
 
 
 def month_change(lay: Layout) -> Column:
@@ -252,55 +267,112 @@ def with_adx(df: DataFrame, lay: Layout, n: int = 14) -> DataFrame:
 
 # ---- everything the rule catalogue reads ------------------------------------
 
-
-def with_rule_indicators(df: DataFrame, lay: Layout) -> DataFrame:
-    """All columns of the rule catalogue in three groups: plain frames (one
-    sort by time), smoothings (one sort by block) and crosses (same sort).
-
-    Columns a query does not read are pruned together with their windows.
+# What each column is computed from; columns not listed need bars only.
+DEPENDS = {
+    "tenkan": ("hh9", "ll9"),
+    "kijun": ("hh26", "ll26"),
+    "span_a": ("hh9", "ll9", "hh26", "ll26"),
+    "span_b": ("hh52", "ll52"),
+    "channel_high": ("hh20",),
+    "channel_low": ("ll20",),
+    "high20": ("hh20",),
+    "sto_k": ("hh14", "ll14"),
+    "rsi2": ("_up", "_down"),
+    "macd": ("ema12", "ema26"),
+    "macd_signal": ("macd",),
+    "adx14": ("atr14", "_pdm14", "_mdm14"),
+    "cross_sma": ("sma50", "sma200"),
+    "cross_ema": ("ema12", "ema26"),
+    "cross_macd": ("macd", "macd_signal"),
+    "cross_tenkan": ("tenkan", "kijun"),
+    "cross_rsi10": ("rsi2",),
+    "cross_rsi15": ("rsi2",),
+    "cross_rsi70": ("rsi2",),
+    "cross_rsi85": ("rsi2",),
+}
+
+
+def _closure(columns: Iterable[str]) -> set[str]:
+    found: set[str] = set()
+    todo = list(columns)
+    while todo:
+        name = todo.pop()
+        if name not in found:
+            found.add(name)
+            todo.extend(DEPENDS.get(name, ()))
+    return found
+
+
+def with_rule_indicators(df: DataFrame, lay: Layout, columns: Iterable[str]) -> DataFrame:
+    """The catalogue columns named in ``columns`` and what they rest on.
+
+    Three groups: plain frames (one sort by time), smoothings (one sort by
+    block) and crosses (same sort as the smoothings).
     """
-    plain = {
-        "sma20": sma(lay, 20), "sma50": sma(lay, 50), "sma200": sma(lay, 200),
-        "std20": rolling_std(lay, 20), "std30": rolling_std(lay, 30),
-        "high20": highest(lay, 20),
-        **donchian_prev(lay, 20), **ichimoku(lay),
-        "close_126": bars_back(lay, 126), "close_252": bars_back(lay, 252),
-        "new_month": month_change(lay),
-        "next_open": F.lead("open").over(lay.window()),
-        "next_high": F.lead("high").over(lay.window()),
-        "next_low": F.lead("low").over(lay.window()),
-        "next_close": F.lead("close").over(lay.window()),
-        "next_ts": F.lead("ts").over(lay.window()),
-    }
-    df = with_moves(df.withColumns(plain), lay)
-    df = with_stochastic(df, lay)
-    df = with_vwap(df, lay)
-    blocked = lay.by_block()
-    df = smooth(df, lay, {
-        **{f"ema{n}": exponential(F.col("close"), n) for n in (12, 20, 26)},
-        **{f"atr{n}": wilder(F.col("true_range"), n, first=2) for n in (14, 20, 30)},
-        "_up": wilder(F.col("up_move"), 2, first=2),
-        "_down": wilder(F.col("down_move"), 2, first=2),
-        "_pdm14": wilder(F.col("plus_dm"), 14, first=2),
-        "_mdm14": wilder(F.col("minus_dm"), 14, first=2),
-    })
-    df = df.withColumns({
-        "rsi2": rsi_value(F.col("_up"), F.col("_down")),
-        "macd": F.col("ema12") - F.col("ema26"),
-        "_dx": directional_index(14),
-    })
-    df = smooth(df, lay, {
-        "macd_signal": exponential(F.col("macd"), 9, first=26),
-        "adx14": wilder(F.col("_dx"), 14, first=15),
-    })
-    df = with_crosses(df, blocked, {
-        "cross_sma": F.col("sma50") - F.col("sma200"),
-        "cross_ema": F.col("ema12") - F.col("ema26"),
-        "cross_macd": F.col("macd") - F.col("macd_signal"),
-        "cross_tenkan": F.col("tenkan") - F.col("kijun"),
-        "cross_rsi10": F.col("rsi2") - 10,
-        "cross_rsi15": F.col("rsi2") - 15,
-        "cross_rsi70": F.col("rsi2") - 70,
-        "cross_rsi85": F.col("rsi2") - 85,
+    want = _closure(columns)
+
+    def wanted(builders: dict[str, Callable[[], Column]]) -> dict[str, Column]:
+        return {name: build() for name, build in builders.items() if name in want}
+
+    def periods(prefix: str) -> list[int]:
+        return sorted(int(c[len(prefix):]) for c in want if c.startswith(prefix) and c[len(prefix):].isdigit())
+
+    if periods("sma"):
+        df = with_smas(df, lay, *periods("sma"))
+    if ranges := sorted({*periods("hh"), *periods("ll")}):
+        df = with_extremes(df, lay, *ranges)
+
+    def middle(n: int, shift: int = 0) -> Column:
+        return (_back(f"hh{n}", shift, lay) + _back(f"ll{n}", shift, lay)) / 2
+
+    df = df.withColumns(wanted({
+        "std20": lambda: rolling_std(lay, 20),
+        "std30": lambda: rolling_std(lay, 30),
+        "high20": lambda: F.col("hh20"),
+        "channel_high": lambda: _back("hh20", 1, lay),
+        "channel_low": lambda: _back("ll20", 1, lay),
+        "tenkan": lambda: middle(9),
+        "kijun": lambda: middle(26),
+        "span_a": lambda: (middle(9, 26) + middle(26, 26)) / 2,
+        "span_b": lambda: middle(52, 26),
+        "close_126": lambda: bars_back(lay, 126),
+        "close_252": lambda: bars_back(lay, 252),
+        "new_month": lambda: month_change(lay),
+    }))
+    if "sto_k" in want:
+        df = with_stochastic(df, lay, 14)
+    if "vwap" in want:
+        df = with_vwap(df, lay)
+
+    moves = {"_up": "up_move", "_down": "down_move", "_pdm14": "plus_dm", "_mdm14": "minus_dm"}
+    first = {f"ema{n}": exponential(F.col("close"), n) for n in periods("ema")}
+    first |= {f"atr{n}": wilder(F.col("true_range"), n, first=2) for n in periods("atr")}
+    first |= {c: wilder(F.col(m), 14 if c.endswith("14") else 2, first=2) for c, m in moves.items() if c in want}
+    if first:
+        df = smooth(with_moves(df, lay), lay, first)
+    df = df.withColumns(wanted({
+        "rsi2": lambda: rsi_value(F.col("_up"), F.col("_down")),
+        "macd": lambda: F.col("ema12") - F.col("ema26"),
+    }))
+    second = {}
+    if "macd_signal" in want:
+        second["macd_signal"] = exponential(F.col("macd"), 9, first=26)
+    if "adx14" in want:
+        df = df.withColumn("_dx", directional_index(14))
+        second["adx14"] = wilder(F.col("_dx"), 14, first=15)
+    if second:
+        df = smooth(df, lay, second)
+
+    crosses = wanted({
+        "cross_sma": lambda: F.col("sma50") - F.col("sma200"),
+        "cross_ema": lambda: F.col("ema12") - F.col("ema26"),
+        "cross_macd": lambda: F.col("macd") - F.col("macd_signal"),
+        "cross_tenkan": lambda: F.col("tenkan") - F.col("kijun"),
+        "cross_rsi10": lambda: F.col("rsi2") - 10,
+        "cross_rsi15": lambda: F.col("rsi2") - 15,
+        "cross_rsi70": lambda: F.col("rsi2") - 70,
+        "cross_rsi85": lambda: F.col("rsi2") - 85,
     })
-    return df.drop("_up", "_down", "_pdm14", "_mdm14", "_dx")
+    if crosses:
+        df = with_crosses(df, lay.by_block() if first else lay, crosses)
+    return df

@@ -56,21 +56,10 @@ def sortino(ret: str = "ret", per_year: int = YEAR) -> Column:
     )
 
 
-def with_trend_gap(df: DataFrame, lay: Layout, account: Account = Account()) -> DataFrame:
+def trend_gap(account: Account = Account()) -> Column:
     """Distance of the account from the steady growth that ends at the same value."""
-    ends = {
-        "_end": F.max_by("equity", "bar_no"),
-        "_bars": F.max("bar_no"),
-    }
-    if lay.chunked:
-        last = df.groupBy(*lay.keys).agg(*[c.alias(n) for n, c in ends.items()])
-        df = df.join(last, list(lay.keys))
-    else:
-        df = df.withColumns({n: c.over(lay.everything()) for n, c in ends.items()})
-    steady = account.capital * F.exp(
-        F.log(F.col("_end") / account.capital) / F.col("_bars") * F.col("bar_no")
-    )
-    return df.withColumn("trend_gap", F.col("equity") / steady - 1).drop("_end", "_bars")
+    rate = F.log(F.col("end_equity") / account.capital) / F.col("bars")
+    return F.col("equity") / (account.capital * F.exp(rate * F.col("bar_no"))) - 1
 
 
 def bar_metrics(account: Account) -> dict[str, Column]:
@@ -104,10 +93,10 @@ def trade_metrics() -> dict[str, Column]:
 def results(df: DataFrame, lay: Layout, account: Account = Account()) -> DataFrame:
     """One row per key from bars with equity and returns: a single aggregation
     in the whole layout, map-side combined in the chunked one."""
-    df = with_trend_gap(df.withColumns(trade_terms(account)), lay, account)
+    df = df.withColumns({**trade_terms(account), "_gap": trend_gap(account)})
     table = df.groupBy(*lay.keys).agg(
         *[c.alias(n) for n, c in {**bar_metrics(account), **trade_metrics()}.items()],
-        F.stddev_samp("trend_gap").alias("_gap"),
+        F.stddev_samp("_gap").alias("_gap"),
     )
     return table.withColumns({
         "sharpe_annual": F.col("sharpe_daily") * math.sqrt(YEAR),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.compare import EPS
@@ -27,17 +27,30 @@ class Account:
 # ---- row-level terms --------------------------------------------------------
 
 
-def buy_fill(slippage: float | Column) -> Column:
-    return F.least(F.col("next_high"), F.col("next_open") * (1 + slippage))
+def with_fills(df: DataFrame, lay: Layout, account: Account = Account(), delay: int = 1) -> DataFrame:
+    """Prices an order decided on the bar would get ``delay`` bars later.
 
-
-def sell_fill(slippage: float | Column) -> Column:
-    return F.greatest(F.col("next_low"), F.col("next_open") * (1 - slippage))
+    Next open plus slippage, kept inside that bar's range; NULL where no such
+    bar exists.
+    """
+    df = df.withColumns({
+        f"next_{c}": F.lead(c, delay).over(lay.window()) for c in ("open", "high", "low", "close", "ts")
+    })
+    return df.withColumns({
+        "buy_fill": F.when(
+            F.col("next_open").isNotNull(),
+            F.least(F.col("next_high"), F.col("next_open") * (1 + account.slippage)),
+        ),
+        "sell_fill": F.when(
+            F.col("next_open").isNotNull(),
+            F.greatest(F.col("next_low"), F.col("next_open") * (1 - account.slippage)),
+        ),
+    })
 
 
-def affordable(account: Account, fill: Column) -> Column:
-    """The order costs no more than the cash at hand."""
-    return account.stake * fill * (1 + account.commission) / F.col("close") <= 1
+def order_cost(account: Account) -> Column:
+    """Share of the cash an order decided on this bar takes."""
+    return account.stake * F.col("buy_fill") * (1 + account.commission) / F.col("close")
 
 
 # ---- position ---------------------------------------------------------------
@@ -61,17 +74,13 @@ def _switch_scan(df: DataFrame, lay: Layout, turn_on: Column, turn_off: Column,
 def with_position(df: DataFrame, lay: Layout, account: Account = Account()) -> DataFrame:
     """Adds ``pos`` (held during the bar), ``opens`` and ``closes`` (decided on the bar).
 
-    Reads entry, exit, close and the ``next_*`` columns.  Entry and exit on the
-    same bar flip the position, as a rule asks one question when flat and the
-    other when long.
+    Reads entry, exit, close and the fills.  An entry that costs more than the
+    cash is refused.  Entry and exit on the same bar flip the position, as a
+    rule asks one question when flat and the other when long.
     """
-    df = own_rows(df, lay).withColumns({
-        "buy_fill": buy_fill(account.slippage), "sell_fill": sell_fill(account.slippage),
-    })
-    fills = F.col("next_open").isNotNull()
-    enter = F.col("entry") & fills & affordable(account, F.col("buy_fill"))
-    leave = F.col("exit") & fills
-    df = df.withColumns({"_enter": F.coalesce(enter, F.lit(False)), "_leave": F.coalesce(leave, F.lit(False))})
+    enter = F.col("entry") & (order_cost(account) <= 1)
+    leave = F.col("exit") & F.col("sell_fill").isNotNull()
+    df = own_rows(df, lay).withColumns({"_enter": F.coalesce(enter, F.lit(False)), "_leave": F.coalesce(leave, F.lit(False))})
     on, off = F.col("_enter") & ~F.col("_leave"), F.col("_leave") & ~F.col("_enter")
     flip = F.col("_enter") & F.col("_leave")
     start = F.lit(0)
@@ -119,33 +128,32 @@ def _with_incoming_position(df: DataFrame, lay: Layout, on: Column, off: Column,
 
 
 def with_equity(df: DataFrame, lay: Layout, account: Account = Account()) -> DataFrame:
-    """Adds ``equity`` per bar, and on closing bars the finished trade.
+    """Adds ``equity`` per bar and what describes the open trade.
 
-    ``growth`` is the product of all finished trades before the bar, ``unit``
-    and ``entry_fill`` describe the open one, ``factor`` is set where a trade
-    is closed.
+    ``growth`` is the product of the factors of all finished trades before the
+    bar; ``factor`` is set on the bar that decides to close one.
     """
     cost = 1 + account.commission
-    terms = F.struct(
-        (account.stake / F.col("close")).alias("unit"),
-        F.col("buy_fill").alias("entry_fill"),
-        F.col("next_ts").alias("entry_ts"),
-        (F.col("bar_no") + 1).alias("entry_bar"),
-    )
-    opened = F.when(F.col("opens"), terms)
-    df = df.withColumn("_open", F.last(opened, ignorenulls=True).over(lay.before()))
-    held = F.col("_open")
+    terms = {
+        "unit": account.stake / F.col("close"),     # units bought per unit of cash
+        "entry_fill": F.col("buy_fill"),
+        "entry_ts": F.col("next_ts"),
+        "entry_bar": F.col("bar_no"),
+    }
+    opened = {n: F.when(F.col("opens"), c) for n, c in terms.items()}
+    df = df.withColumns({n: F.last(c, ignorenulls=True).over(lay.before()) for n, c in opened.items()})
     if lay.chunked:
+        bar = F.when(F.col("opens"), F.col("bar_no"))
         df = carry_in(
             settled(df, lay), lay,
-            {"_opened": F.max_by(opened, F.when(F.col("opens"), F.col("bar_no")))},
+            {f"_{n}_end": F.max_by(c, bar) for n, c in opened.items()},
             lambda chunks, order: chunks.select(
-                *lay.keys, "chunk", F.last("_opened", ignorenulls=True).over(order.before()).alias("_open_in")
+                *lay.keys, "chunk",
+                *[F.last(f"_{n}_end", ignorenulls=True).over(order.before()).alias(f"_{n}_in") for n in terms],
             ),
         )
-        held = F.coalesce("_open", "_open_in")
-    df = df.withColumn("_open", held)
-    unit, fill = F.col("_open.unit"), F.col("_open.entry_fill")
+        df = df.withColumns({n: F.coalesce(n, f"_{n}_in") for n in terms}).drop(*[f"_{n}_in" for n in terms])
+    unit, fill = F.col("unit"), F.col("entry_fill")
     df = df.withColumn(
         "factor",
         F.when(F.col("closes"), 1 + unit * (F.col("sell_fill") * (1 - account.commission) - fill * cost)),
@@ -157,17 +165,19 @@ def with_equity(df: DataFrame, lay: Layout, account: Account = Account()) -> Dat
             lambda chunks, order: chunks.select(
                 *lay.keys, "chunk", F.product("_grown").over(order.before()).alias("_growth_in")
             ),
-        ).withColumn("growth", F.col("growth") * F.coalesce("_growth_in", F.lit(1.0)))
+        )
+        df = df.withColumn("growth", F.col("growth") * F.coalesce("_growth_in", F.lit(1.0))).drop("_growth_in")
     value = F.when(F.col("pos") == 1, 1 + unit * (F.col("close") - fill * cost)).otherwise(1.0)
-    return df.withColumn("equity", account.capital * F.col("growth") * value).drop("_open_in", "_growth_in")
+    return df.withColumn("equity", account.capital * F.col("growth") * value)
 
 
 def with_returns(df: DataFrame, lay: Layout, account: Account = Account()) -> DataFrame:
-    """Adds ``ret`` per bar (the first bar against the capital), ``peak``, ``drawdown`` and
-    ``underwater``, the bars since the account last stood at its peak."""
+    """Adds ``ret`` per bar (the first bar against the capital), ``peak``, ``drawdown``,
+    ``underwater`` (bars since the account last stood at its peak) and, as every row's
+    yardstick, the final equity and bar count of its key."""
     previous = F.lag("equity").over(lay.window())
     peak = F.max("equity").over(lay.so_far())
-    df = df.withColumns({"_prev": previous, "peak": peak})
+    df = df.withColumns({"_prev": previous, "peak": peak, **({} if lay.chunked else _ends(lay))})
     if lay.chunked:
         df = carry_in(
             settled(df, lay), lay,
@@ -190,18 +200,27 @@ def with_returns(df: DataFrame, lay: Layout, account: Account = Account()) -> Da
                 *lay.keys, "chunk", F.max("_tops").over(order.before()).alias("_top_in")
             ),
         ).withColumn("_top", F.coalesce("_top", "_top_in"))
+        last = df.groupBy(*lay.keys).agg(
+            F.max_by("equity", "bar_no").alias("end_equity"), F.max("bar_no").alias("bars")
+        )
+        df = settled(df, lay).join(last, list(lay.keys))
     return df.withColumn("underwater", F.col("bar_no") - F.col("_top")).drop(
         "_prev", "_prev_in", "_peak_in", "_top", "_top_in"
     )
 
 
+def _ends(lay: Layout) -> dict[str, Column]:
+    whole_key = lay.window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return {"end_equity": F.last("equity").over(whole_key), "bars": F.max("bar_no").over(whole_key)}
+
+
 # ---- trades and events ------------------------------------------------------
 
 
 def trade_terms(account: Account) -> dict[str, Column]:
     """Size of the open trade, and its result on the bar that closes it."""
-    unit, fill = F.col("_open.unit"), F.col("_open.entry_fill")
-    size = F.when(F.col("pos") == 1, account.capital * F.col("growth") * unit)
+    fill = F.col("entry_fill")
+    size = F.when(F.col("pos") == 1, account.capital * F.col("growth") * F.col("unit"))
     gross = F.when(F.col("closes"), size * (F.col("sell_fill") - fill))
     return {
         "size": size,
@@ -219,13 +238,13 @@ def trades(df: DataFrame, lay: Layout, account: Account = Account()) -> DataFram
     ended = F.col("closes")
     return (
         df.withColumns(trade_terms(account))
-        .filter(ended | ((F.col("pos") == 1) & F.col("next_open").isNull()))
+        .filter(ended | ((F.col("pos") == 1) & F.col("sell_fill").isNull()))
         .select(
             *lay.keys,
-            F.col("_open.entry_ts").alias("entry_ts"), F.col("_open.entry_fill").alias("entry_price"),
+            "entry_ts", F.col("entry_fill").alias("entry_price"),
             F.when(ended, F.col("next_ts")).alias("exit_ts"),
             F.when(ended, F.col("sell_fill")).alias("exit_price"),
-            F.when(ended, F.col("bar_no") + 1 - F.col("_open.entry_bar")).alias("bars_held"),
+            F.when(ended, F.col("bar_no") - F.col("entry_bar")).alias("bars_held"),
             "size", "pnl_gross", "pnl_net", (~ended).alias("is_open"),
         )
     )

@@ -141,7 +141,7 @@ def monthly_rotator() -> Signal:
     long_up = above(close(), F.col("close_252"))
     short_up = above(close(), F.col("close_126"))
     return Signal(
-        ("close_252", "close_126"),
+        ("close_252", "close_126", "new_month"),
         F.col("new_month") & long_up & short_up,
         F.col("new_month") & ~(long_up & short_up),
     )

@@ -8,27 +8,27 @@ from pyspark.sql import DataFrame
 
 from tickloom.operators.indicators import with_rule_indicators
 from tickloom.operators.metrics import result_table, results
-from tickloom.operators.positions import Account, with_equity, with_position, with_returns
-from tickloom.operators.rules import resolve, stack_rules
+from tickloom.operators.positions import Account, with_equity, with_fills, with_position, with_returns
+from tickloom.operators.rules import RULES, resolve, stack_rules
 from tickloom.plans.layout import Layout
 
-FILL_COLUMNS = ("next_open", "next_high", "next_low", "next_close", "next_ts")
+KEPT = ("symbol", "ts", "bar_no", "close", "buy_fill", "sell_fill", "next_ts", "next_close")
 
 
 def signals(df: DataFrame, lay: Layout, strategies: str | Iterable[str] | None = None,
-            keep: Iterable[str] = ()) -> tuple[DataFrame, Layout]:
-    """Entry and exit of every rule on every bar, with what the account needs of the next bar."""
-    kept = ["symbol", "ts", "bar_no", "close", *FILL_COLUMNS, *keep]
-    if lay.chunked:
-        kept += ["chunk", "own"]
-    stacked = stack_rules(with_rule_indicators(df, lay), resolve(strategies), kept)
-    return stacked, lay.per("strategy")
+            account: Account = Account(), delay: int = 1) -> tuple[DataFrame, Layout]:
+    """Entry and exit of every rule on every bar, with the prices an order would get."""
+    names = resolve(strategies)
+    needed = {column for name in names for column in RULES[name]().needs} - set(df.columns)
+    df = with_rule_indicators(with_fills(df, lay, account, delay), lay, needed)
+    kept = [*KEPT, "chunk", "own"] if lay.chunked else KEPT
+    return stack_rules(df, names, kept), lay.per("strategy")
 
 
 def run(df: DataFrame, lay: Layout, strategies: str | Iterable[str] | None = None,
-        account: Account = Account()) -> tuple[DataFrame, Layout]:
+        account: Account = Account(), delay: int = 1) -> tuple[DataFrame, Layout]:
     """Bars with position, equity and returns per symbol and rule."""
-    df, lay = signals(df, lay, strategies)
+    df, lay = signals(df, lay, strategies, account, delay)
     df = with_equity(with_position(df, lay, account), lay, account)
     return with_returns(df, lay, account), lay
 
