@@ -103,13 +103,14 @@ def walk_forward_split(bars: DataFrame, start: str, folds: int, train_months: in
     bar is copied to its folds without a join.
     """
     month = F.months_between(F.trunc(F.col("ts").cast("date"), "MM"), F.lit(start).cast("date")).cast("int")
-    spans = F.sequence(F.lit(0), F.lit(folds - 1))
-    placed = bars.withColumn("_month", month).withColumn("fold", F.explode(spans))
-    into = F.col("_month") - F.col("fold") * test_months
-    part = F.when(into.between(0, train_months - 1), "train").when(
-        into.between(train_months, train_months + test_months - 1), "test"
+    earliest = F.greatest(F.floor((F.col("_month") - train_months - test_months) / test_months) + 1, F.lit(0))
+    latest = F.least(F.floor(F.col("_month") / test_months), F.lit(folds - 1))
+    placed = (
+        bars.withColumn("_month", month).filter((F.col("_month") >= 0) & (earliest <= latest))
+        .withColumn("fold", F.explode(F.sequence(earliest, latest)))
     )
-    return placed.withColumn("part", part).filter("part is not null").drop("_month")
+    trains = F.col("_month") - F.col("fold") * test_months < train_months
+    return placed.withColumn("part", F.when(trains, "train").otherwise("test")).drop("_month")
 
 
 def cross_validation_folds(df: DataFrame, lay: Layout, folds: int) -> DataFrame:

@@ -49,17 +49,15 @@ def scan_bars_csv(spark: SparkSession, path: str, series_folders: bool = False)
 def sink_bars(bars: DataFrame, path: str, series: Column, form: str = "parquet") -> None:
     """Bars under their published header, one folder per series, in time order inside a file.
 
-    Repartitioning by series keeps the number of files near the number of
-    series; a series too large for one task is split by the writer's
-    ``maxRecordsPerFile``.
+    Rebalancing lets AQE join small series in a task and split a hot one over
+    many, by the sizes it sees at run time.
     """
-    # month is a salt here: a hot series is written by many tasks
     rows = bars.select(
         F.date_format("ts", MINUTE_FORMAT).alias("Date"),
         *[F.col(c).alias(c.title()) for c in BAR_COLUMNS],
         series.alias("series"),
     )
-    spread = rows.repartition("series", F.substring("Date", 1, 4)).sortWithinPartitions("series", "Date")
+    spread = rows.hint("rebalance", F.col("series")).sortWithinPartitions("series", "Date")
     writer = spread.write.mode("overwrite").partitionBy("series")
     if form == "csv":
         writer.csv(path, header=True)
@@ -87,10 +85,10 @@ def bar_responses(responses: DataFrame, text: str = "text") -> DataFrame:
     return responses.filter(~body.startswith(INFORMATION_PREFIX) & body.contains(HEADER_MARK))
 
 
-def scan_targets(spark: SparkSession, path: str) -> DataFrame:
+def scan_targets(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """indicator, minimal, good, best; blank lines skipped, names and numbers trimmed."""
     rows = spark.read.schema(CSV_TARGETS).csv(
-        path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
+        path, header=header, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
     )
     return rows.withColumn("indicator", F.trim("indicator")).filter("indicator is not null")
 
