@@ -170,7 +170,7 @@ for _column in [c for c in RESULT_COLUMNS if c not in ("symbol", "strategy")]:
     _metric(f"metric_{_column}", _column)
 
 _PUBLISHED = ", ".join(
-    f'{c if c in ("symbol", "strategy", *_WHOLE) else f"ROUND({c}, 6) + 0.0::DOUBLE"} AS "{name}"' for c, name in RESULT_COLUMNS.items()
+    f'{c if c in ("symbol", "strategy", *_WHOLE) else rounded_sql(c).split(" AS ")[0]} AS "{name}"' for c, name in RESULT_COLUMNS.items()
 )
 _FLOATS = [name for c, name in RESULT_COLUMNS.items() if c not in ("symbol", "strategy", *_WHOLE)]
 

@@ -50,9 +50,18 @@ def day(column: str = "ts", name: str = "day") -> Column:
 
 
 def rounded(*names: str, digits: int = 6) -> list[Column]:
-    """Floats rounded for comparison; adding 0.0 turns -0.0 into 0.0."""
-    return [(F.round(F.col(f"`{n}`"), digits) + F.lit(0.0)).alias(n) for n in names]
+    """Floats rounded for comparison.
+
+    Many indicator values lie exactly between two rounded ones (a mean of 20
+    prices in cents), where the last bit decides; a shift far below the last
+    digit moves them off the border.  It also turns -0.0 into 0.0.
+    """
+    return [F.round(F.col(f"`{n}`") + _shift(digits), digits).alias(n) for n in names]
 
 
 def rounded_sql(*names: str, digits: int = 6) -> str:
-    return ", ".join(f'ROUND("{n}", {digits}) + 0.0::DOUBLE AS "{n}"' for n in names)
+    return ", ".join(f'ROUND("{n}" + {_shift(digits)!r}, {digits}) AS "{n}"' for n in names)
+
+
+def _shift(digits: int) -> float:
+    return 0.033 * 10.0**-digits

@@ -31,13 +31,14 @@ def permutation_test(df: DataFrame, lay: Layout, repetitions: int) -> DataFrame:
     """
     keys = list(lay.keys)
     held = F.when(F.col("pos") == 1, F.col("bar_ret"))
-    stats = {"n_long": F.count(held), "stat": F.coalesce(F.sum(held), F.lit(0.0))}
+    stats = {"n_long": F.count(held), "stat": F.sum(held)}
     bars = df.filter(F.col("bar_ret").isNotNull()).select(*keys, "ts", "bar_ret", "pos")
     if lay.chunked:
         per_key = bars.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
         bars = bars.join(per_key, keys)
     else:
         bars = bars.withColumns({n: c.over(lay.everything()) for n, c in stats.items()})
+    bars = bars.fillna({"stat": 0.0})
     shuffled = bars.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn(
         "_key", F.md5(F.concat_ws("|", "rep", *keys, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
     )

@@ -165,9 +165,10 @@ def seasonal_means(returns: DataFrame, *parts: Column) -> DataFrame:
 
 def split_valid(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw bars -> clean bars (typed, one per symbol and ts) and the rejected rows with their reason."""
+    unpriced = F.exists(F.array("open", "high", "low", "close"), lambda price: price.isNull())
     reason = (
         F.when(F.col("symbol").isNull() | F.col("ts").isNull(), "no key")
-        .when(F.least("open", "high", "low", "close").isNull(), "no price")
+        .when(unpriced, "no price")
         .when(F.least("open", "high", "low", "close") <= 0, "price not positive")
         .when(
             (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.least("open", "close")), "range broken"
@@ -177,3 +178,17 @@ def split_valid(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = raw.withColumn("reason", reason)
     clean = judged.filter("reason is null").drop("reason").dropDuplicates(["symbol", "ts"])
     return clean, judged.filter("reason is not null")
+
+
+def sink_features(features: DataFrame, path: str) -> None:
+    """Features by year and symbol bucket.
+
+    A folder per symbol and date would mean one file per row for daily bars;
+    year folders prune time ranges, and files sorted by symbol let the reader
+    skip row groups.  Rebalancing sizes the files at run time.
+    """
+    (
+        features.hint("rebalance", F.col("year"), F.col("symbol"))
+        .sortWithinPartitions("year", "symbol", "ts")
+        .write.mode("overwrite").partitionBy("year").parquet(path)
+    )
