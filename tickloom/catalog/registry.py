@@ -8,8 +8,8 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.plans.layout import Layout, lay_out
-from tickloom.sources.tables import daily_bars, supplier_fits, table
+from tickloom.plans.layout import KeySizes, Layout, lay_out
+from tickloom.sources.tables import daily_bars, supplier_sizes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,21 +28,21 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
 
 
 @cache
-def _fits(app: str, folder: str) -> bool:
-    return supplier_fits(table(SparkSession.getActiveSession(), folder, "lineitem"))
+def _sizes(app: str, folder: str) -> KeySizes:
+    return supplier_sizes(table(SparkSession.getActiveSession(), folder, "lineitem"))
 
 
-def fits(spark: SparkSession, folder: str) -> bool:
-    """Largest supplier against the row bound; asked once per session and folder."""
-    return _fits(spark.sparkContext.applicationId, folder)
+def sizes(spark: SparkSession, folder: str) -> KeySizes:
+    """Rows per supplier; asked once per application and folder."""
+    return _sizes(spark.sparkContext.applicationId, folder)
 
 
 def bars_of(spark: SparkSession, folder: str) -> DataFrame:
-    return daily_bars(table(spark, folder, "lineitem"), fits(spark, folder))
+    return daily_bars(table(spark, folder, "lineitem"), sizes(spark, folder))
 
 
 def laid(spark: SparkSession, folder: str) -> tuple[DataFrame, Layout]:
-    return lay_out(bars_of(spark, folder), fits(spark, folder))
+    return lay_out(bars_of(spark, folder), sizes(spark, folder).whole)
 
 
 def day(column: str = "ts", name: str = "day") -> Column:

@@ -112,8 +112,8 @@ p AS (
 
 
 def _permuted(spark: SparkSession, folder: str) -> DataFrame:
-    df, lay = run(*laid(spark, folder), "GoldenCross")
-    return rs.permutation_test(risk.with_bar_returns(df, lay), lay, REPS)
+    df, lay = run(*_returns(spark, folder), "GoldenCross", keep=("bar_ret",))
+    return rs.permutation_test(df, lay, REPS)
 
 
 @query("permutation_test", f"""

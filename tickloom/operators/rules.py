@@ -216,11 +216,14 @@ def stack_rules(df: DataFrame, names: Iterable[str], keep: Iterable[str]) -> Dat
     """One row per bar and rule: ``keep`` columns, strategy, entry, exit.
 
     The bars stay clustered by symbol, so windows per (symbol, strategy) need
-    no further shuffle.
+    no further shuffle.  The signals are computed in a projection of their own:
+    inside the generator all rules would end up in one generated method, too
+    long for the JVM to compile.
     """
     flags = [
         F.struct(F.lit(n).alias("strategy"), e.alias("entry"), x.alias("exit"))
         for n in names
         for e, x in [signal_flags(n)]
     ]
-    return df.select(*keep, F.inline(F.array(*flags)))
+    keep = list(keep)
+    return df.select(*keep, F.array(*flags).alias("_signals")).select(*keep, F.inline("_signals"))

@@ -16,19 +16,19 @@ KEPT = ("symbol", "ts", "bar_no", "close", "buy_fill", "sell_fill", "next_ts", "
 
 
 def signals(df: DataFrame, lay: Layout, strategies: str | Iterable[str] | None = None,
-            account: Account = Account(), delay: int = 1) -> tuple[DataFrame, Layout]:
+            account: Account = Account(), delay: int = 1, keep: Iterable[str] = ()) -> tuple[DataFrame, Layout]:
     """Entry and exit of every rule on every bar, with the prices an order would get."""
     names = resolve(strategies)
     needed = {column for name in names for column in RULES[name]().needs} - set(df.columns)
     df = with_rule_indicators(with_fills(df, lay, account, delay), lay, needed)
-    kept = [*KEPT, "chunk", "own"] if lay.chunked else KEPT
+    kept = [*KEPT, *keep, *(["chunk", "own"] if lay.chunked else [])]
     return stack_rules(df, names, kept), lay.per("strategy")
 
 
 def run(df: DataFrame, lay: Layout, strategies: str | Iterable[str] | None = None,
-        account: Account = Account(), delay: int = 1) -> tuple[DataFrame, Layout]:
+        account: Account = Account(), delay: int = 1, keep: Iterable[str] = ()) -> tuple[DataFrame, Layout]:
     """Bars with position, equity and returns per symbol and rule."""
-    df, lay = signals(df, lay, strategies, account, delay)
+    df, lay = signals(df, lay, strategies, account, delay, keep)
     df = with_equity(with_position(df, lay, account), lay, account)
     return with_returns(df, lay, account), lay
 

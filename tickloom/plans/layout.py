@@ -17,12 +17,13 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.session import settle
 
 WHOLE_ROWS = 1_000_000      # largest key that may stay in one window group
+TASK_ROWS = 250_000        # bars per task up to which one task per core is enough
 CHUNK_ROWS = 262_144        # bars per chunk beyond that
 BLOCK_ROWS = 640            # smoothing block, see operators.smoothing
 HALO_BACK = 4_096           # covers every bounded look-back of the rule catalogue
@@ -66,13 +67,33 @@ class Layout:
         return replace(self, keys=(*self.keys, *names), order=("ts",))
 
 
-def fits_whole(df: DataFrame, keys: Sequence[str] = ("symbol",), limit: int = WHOLE_ROWS) -> bool:
-    """Checks the largest key with one map-side combined count over the key column.
+@dataclass(frozen=True)
+class KeySizes:
+    largest: int
+    total: int
 
-    Only one number reaches the driver.
-    """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return (largest or 0) <= limit
+    @property
+    def whole(self) -> bool:
+        """No key is too large for one window group."""
+        return self.largest <= WHOLE_ROWS
+
+    def tasks(self, spark: SparkSession) -> int:
+        """Tasks for the windows.
+
+        Set outright, as each bar grows by a factor of up to the number of
+        rules after the shuffle, which the sizes AQE coalesces by do not show.
+        """
+        cores = spark.sparkContext.defaultParallelism
+        if self.total <= cores * TASK_ROWS:
+            return cores
+        return max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def key_sizes(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> KeySizes:
+    """One map-side combined count over the key columns; two numbers reach the driver."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
+    return KeySizes(largest or 0, total or 0)
 
 
 def number_rows(
@@ -97,10 +118,10 @@ def number_rows(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     return (
-        marked.withColumn("_rank", F.row_number().over(inside))
+        marked.withColumn("_place", F.row_number().over(inside))
         .join(starts, [*keys, "_bucket"])
-        .withColumn(name, F.col("_start") + F.col("_rank"))
-        .drop("_bucket", "_rank", "_start")
+        .withColumn(name, F.col("_start") + F.col("_place"))
+        .drop("_bucket", "_place", "_start")
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.plans.layout import fits_whole
+from tickloom.plans.layout import KeySizes, key_sizes
 
 CENTS = 100.0
 
@@ -18,7 +18,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def supplier_days(lines: DataFrame, whole: bool) -> DataFrame:
+def supplier_days(lines: DataFrame, sizes: KeySizes) -> DataFrame:
     """Value and quantity per supplier and day.
 
     With few lines per supplier and day a map-side combine saves nothing, so
@@ -30,17 +30,17 @@ def supplier_days(lines: DataFrame, whole: bool) -> DataFrame:
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
         "l_quantity",
     )
-    if whole:
-        lines = lines.repartition("symbol")
+    if sizes.whole:
+        lines = lines.repartition(sizes.tasks(lines.sparkSession), "symbol")
     return lines.groupBy("symbol", "ts").agg(
         F.sum("cents").alias("v"), F.sum("l_quantity").cast("long").alias("volume")
     )
 
 
-def daily_bars(lines: DataFrame, whole: bool) -> DataFrame:
+def daily_bars(lines: DataFrame, sizes: KeySizes) -> DataFrame:
     """symbol, ts, open, high, low, close, volume."""
-    days = supplier_days(lines, whole).withColumn("step", F.col("v") % 401 - 200)
-    if whole:
+    days = supplier_days(lines, sizes).withColumn("step", F.col("v") % 401 - 200)
+    if sizes.whole:
         along = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
         walked = days.withColumn("walk", F.sum("step").over(along))
     else:
@@ -78,8 +78,9 @@ def _walk_by_month(days: DataFrame) -> DataFrame:
     )
 
 
-def supplier_fits(lines: DataFrame) -> bool:
-    return fits_whole(lines, ["l_suppkey"])
+def supplier_sizes(lines: DataFrame) -> KeySizes:
+    """Lines per supplier, an upper bound of its bars, from one column of the scan."""
+    return key_sizes(lines, ["l_suppkey"])
 
 
 def hourly_bars(events: DataFrame, *by: str) -> DataFrame:
