@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.catalog import sql as S
-from tickloom.catalog.registry import day, laid, query, rounded, rounded_sql
+from tickloom.catalog.registry import bars_of, day, laid, query, rounded, rounded_sql
 from tickloom.functions.compare import clamp
 from tickloom.operators import positions as pos
 from tickloom.operators import targets as tg
@@ -14,6 +14,7 @@ from tickloom.operators.metrics import RESULT_COLUMNS, results
 from tickloom.operators.positions import Account
 from tickloom.operators.rules import RULES
 from tickloom.plans.backtest import backtest, run, signals
+from tickloom.plans.batch import RunConfig, run_batch
 from tickloom.plans.layout import Layout, own_rows
 from tickloom.session import new_folder
 from tickloom.sources.files import sink_results
@@ -199,6 +200,24 @@ def sink_results_query(spark: SparkSession, folder: str) -> DataFrame:
     return _published(spark.read.schema(table.schema).csv(two, header=True))
 
 
+SETTINGS = {
+    "start": "1996-01-01", "end": "2000-01-01", "capital": 1000, "commission": 0.001, "slippage": 0.0005,
+    "strats": ["GoldenCross", "Rsi2", "Rsi2"],
+}
+_RANGE = """all_bars AS MATERIALIZED ({bars}),
+bars AS MATERIALIZED (
+  SELECT * REPLACE (ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY day) AS bar_no) FROM all_bars
+  WHERE day BETWEEN DATE '1996-01-01' AND DATE '2000-01-01' QUALIFY COUNT(*) OVER (PARTITION BY symbol) >= 252)"""
+_BEFORE_BARS, _BARS_BODY = S.BARS.split("bars AS MATERIALIZED (")
+
+
+@query("configured_run", f"""
+WITH RECURSIVE {_BEFORE_BARS}{_RANGE.format(bars=_BARS_BODY.rstrip().removesuffix(')'))}
+{S.rule_flags('GoldenCross', 'Rsi2').removeprefix(S.BARS)}, {S.account()}, {S.returns()}, {S.results()} SELECT {_PUBLISHED} FROM res""")
+def configured_run(spark: SparkSession, folder: str) -> DataFrame:
+    return _published(run_batch(bars_of(spark, folder), RunConfig.from_mapping(SETTINGS)))
+
+
 # ---- scores -----------------------------------------------------------------
 
 _LONG = f"""

@@ -14,7 +14,8 @@ from tickloom.functions.compare import EPS, safe_divide
 from tickloom.operators.indicators import with_crosses, with_smas
 from tickloom.operators.positions import Account, with_equity, with_fills, with_position, with_returns
 from tickloom.operators.rules import resolve, signal_flags
-from tickloom.plans.layout import Layout, number_rows
+from tickloom.plans.layout import Layout
+from tickloom.session import settle
 
 P_BUCKETS = 10_000
 
@@ -35,26 +36,59 @@ def permutation_test(df: DataFrame, lay: Layout, repetitions: int) -> DataFrame:
     bars = df.filter(F.col("bar_ret").isNotNull()).select(*keys, "ts", "bar_ret", "pos")
     if lay.chunked:
         per_key = bars.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-        bars = bars.join(per_key, keys)
+        bars = settle(bars.join(per_key, keys))
     else:
         bars = bars.withColumns({n: c.over(lay.everything()) for n, c in stats.items()})
     bars = bars.fillna({"stat": 0.0})
     shuffled = bars.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn(
         "_key", F.md5(F.concat_ws("|", "rep", *keys, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
     )
-    if lay.chunked:
-        shuffled = number_rows(shuffled, [*keys, "rep"], ["_key"], F.substring("_key", 1, 4), "_rank")
-    else:
-        shuffled = shuffled.withColumn(
-            "_rank", F.row_number().over(Window.partitionBy(*keys, "rep").orderBy("_key"))
-        )
-    per_rep = shuffled.groupBy(*keys, "rep").agg(
-        F.coalesce(F.sum(F.when(F.col("_rank") <= F.col("n_long"), F.col("bar_ret"))), F.lit(0.0)).alias("_by_chance"),
-        F.first("stat").alias("stat"), F.first("n_long").alias("n_long"),
+    by_chance = _first_n_by_bucket(shuffled, [*keys, "rep"]) if lay.chunked else _first_n(shuffled, [*keys, "rep"])
+    per_rep = by_chance.withColumn(
+        "_wins", F.when(F.coalesce("_sum", F.lit(0.0)) >= F.col("stat") - EPS, 1.0).otherwise(0.0)
     )
     return per_rep.groupBy(*keys).agg(
-        F.first("n_long").alias("n_long"), F.first("stat").alias("stat"),
-        F.avg(F.when(F.col("_by_chance") >= F.col("stat") - EPS, 1.0).otherwise(0.0)).alias("p_value"),
+        F.first("n_long").alias("n_long"), F.first("stat").alias("stat"), F.avg("_wins").alias("p_value")
+    )
+
+
+def _first_n(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sum of the ``n_long`` returns with the smallest hash, per key."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_key"))
+    return rows.withColumn("_rank", rank).groupBy(*keys).agg(
+        F.sum(F.when(F.col("_rank") <= F.col("n_long"), F.col("bar_ret"))).alias("_sum"),
+        F.first("stat").alias("stat"), F.first("n_long").alias("n_long"),
+    )
+
+
+def _first_n_by_bucket(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The same for keys of any size.
+
+    Counts and sums per hash bucket are combined map-side.  Buckets below the
+    n-th hash count in full; only the rows of the one bucket that holds it are
+    shuffled and ranked.
+    """
+    rows = rows.withColumn("_bucket", F.substring("_key", 1, 3))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = rows.groupBy(*keys, "_bucket").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("bar_ret").alias("_all"),
+        F.first("stat").alias("stat"), F.first("n_long").alias("n_long"),
+    ).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    split = buckets.filter(
+        (F.col("_before") < F.col("n_long")) & (F.col("_before") + F.col("_n") > F.col("n_long"))
+    ).select(*keys, "_bucket", "_before")
+    place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_key"))
+    inside = (
+        rows.join(split, [*keys, "_bucket"]).withColumn("_rank", F.col("_before") + place)
+        .filter(F.col("_rank") <= F.col("n_long")).groupBy(*keys).agg(F.sum("bar_ret").alias("_part"))
+    )
+    full = F.when(F.col("_before") + F.col("_n") <= F.col("n_long"), F.col("_all"))
+    return (
+        buckets.groupBy(*keys).agg(
+            F.sum(full).alias("_full"), F.first("stat").alias("stat"), F.first("n_long").alias("n_long")
+        )
+        .join(inside, keys, "left")
+        .withColumn("_sum", F.coalesce("_full", F.lit(0.0)) + F.coalesce("_part", F.lit(0.0)))
     )
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tickloom.session import settle
 
-WHOLE_ROWS = 1_000_000      # largest key that may stay in one window group
+WHOLE_ROWS = 262_144        # largest key that may stay in one window group
 TASK_ROWS = 250_000        # bars per task up to which one task per core is enough
 CHUNK_ROWS = 262_144        # bars per chunk beyond that
 BLOCK_ROWS = 640            # smoothing block, see operators.smoothing
