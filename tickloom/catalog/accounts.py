@@ -261,8 +261,9 @@ def clamp_query(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("Symbol", "Strategy", "metric", *rounded("drawn"))
 
 
-@query("scale_position", f"""{_LONG}, placed AS (SELECT *, (drawn - minimal) / (best - minimal) AS position FROM scored)
-SELECT {_NAMED}, {rounded_sql('position')}, ROUND(180 * (1 - position), 4) + 0.0::DOUBLE AS angle FROM placed""")
+@query("scale_position", f"""{_LONG}, placed AS (
+  SELECT *, (drawn - minimal) / (best - minimal) AS position, 180 * (1 - (drawn - minimal) / (best - minimal)) AS angle FROM scored)
+SELECT {_NAMED}, {rounded_sql('position')}, {rounded_sql('angle', digits=4)} FROM placed""")
 def scale_position(spark: SparkSession, folder: str) -> DataFrame:
     return tg.score(_long(spark, folder), tg.default_targets(spark)).select(
         "Symbol", "Strategy", "metric", *rounded("position"), *rounded("angle", digits=4)
