@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,14 +26,15 @@ def query(name: str, check: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-@cache
-def _sizes(app: str, folder: str) -> KeySizes:
-    return supplier_sizes(table(SparkSession.getActiveSession(), folder, "lineitem"))
+_SIZES: dict[tuple[str, str], KeySizes] = {}
 
 
 def sizes(spark: SparkSession, folder: str) -> KeySizes:
-    """Rows per supplier; asked once per application and folder."""
-    return _sizes(spark.sparkContext.applicationId, folder)
+    """Rows per supplier; asked once per application and folder, as the tables do not change."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SIZES:
+        _SIZES[key] = supplier_sizes(table(spark, folder, "lineitem"))
+    return _SIZES[key]
 
 
 def bars_of(spark: SparkSession, folder: str) -> DataFrame:
