@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import exact_dedup
+from tickloom.llm import arrow_stream, exact_dedup, packing, tree_bpe
+from tickloom.llm.words import word_bpe_path
+from tickloom.session import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +40,20 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 )
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, folder, "documents")).drop("row_id")
+
+
+@query("op1_arrow_stream")
+def op1_arrow_stream(spark: SparkSession, folder: str) -> DataFrame:
+    index = arrow_stream.write_documents(read(spark, folder, "documents"), new_folder(spark, "tokens"), word_bpe_path(), end_id=2)
+    return arrow_stream.read_documents(index)
+
+
+@query("op8_tree_bpe")
+def op8_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = word_bpe_path()
+    return tree_bpe.digests(tree_bpe.encode_documents(read(spark, folder, "documents"), path), path)
+
+
+@query("op5_lp_packing")
+def op5_lp_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(read(spark, folder, "documents"), word_bpe_path(), end_id=1)
