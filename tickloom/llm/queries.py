@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import arrow_stream, exact_dedup, packing, tree_bpe
+from tickloom.llm import arrow_stream, chat, exact_dedup, line_windows, neighbours, packing, tree_bpe
 from tickloom.llm.words import word_bpe_path
-from tickloom.session import new_folder
+from tickloom.session import new_folder, settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,3 +58,67 @@ def op8_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_lp_packing")
 def op5_lp_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), word_bpe_path(), end_id=1)
+
+
+@query("op2_neighbours")
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query(
+    "op3_line_windows",
+    """
+    WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    windows AS (
+        SELECT doc_id, i, array_to_string(list_slice(l, i, i + 2), chr(10)) AS w
+        FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM lines WHERE len(l) >= 3)),
+    later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM later),
+    cut AS (
+        SELECT doc_id, l[i] AS line, i, g.i IS NOT NULL AS removed
+        FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines) JOIN (SELECT 1) ON true
+        LEFT JOIN gone g USING (doc_id, i))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (removed) AS n_removed,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT removed), '')) AS kept_sha256
+    FROM cut GROUP BY doc_id
+    """,
+)
+def op3_line_windows(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_windows.without_repeated_lines(line_windows.removed_lines(read(spark, folder, "documents")))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def _escaped_sql(column: str) -> str:
+    sql = f"replace({column}, '~', '~~')"
+    for control in chat.INSTRUCT.controls:
+        sql = f"replace({sql}, '{control}', '{control[0]}~{control[1:]}')"
+    return sql
+
+
+def _markup_sql() -> str:
+    known = " ".join(f"WHEN '{r}' THEN {len(t.opening + t.closing)}" for r, t in chat.INSTRUCT.turns.items())
+    bare = len(chat.INSTRUCT.other.opening.replace("{role}", "") + chat.INSTRUCT.other.closing)
+    return f"CASE role {known} ELSE {bare} + length({_escaped_sql('role')}) END"
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"      # what both turns of conversation -7 say
+
+
+@query(
+    "op4_chat_format",
+    f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '{CONTROL_TEXT}'), (-7, 1, 'assistant', '{CONTROL_TEXT}'))
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+           CAST({len(chat.INSTRUCT.begin)} + sum({_markup_sql()} + length({_escaped_sql('text')})) AS BIGINT) AS formatted_chars
+    FROM turns GROUP BY conv_id
+    """,
+)
+def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], turns.schema)
+    return chat.digests(settle(chat.segments(turns.unionByName(extra)))).drop("valid")
