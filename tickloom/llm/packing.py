@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.rows import numbered
+from tickloom.llm.rows import numbered, sliced
 from tickloom.llm.words import encoder
 from tickloom.session import settle
 
@@ -165,7 +165,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAP
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        for rows in batches:
+        for rows in sliced(batches):
             out: list[tuple] = []
             for row, doc, text in zip(*[rows.column(c).to_pylist() for c in ("row_id", "doc_id", "text")], strict=True):
                 ids = enc.packed(text) + end

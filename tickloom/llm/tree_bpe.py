@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.rows import numbered
+from tickloom.llm.rows import numbered, sliced
 from tickloom.llm.words import WordEncoder, encoder
 
 LEAF = 2_048            # characters encoded in one go
@@ -105,7 +105,7 @@ def encode_documents(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             ids = [encode_text(enc, t, leaf).tobytes() for t in batch.column("text").to_pylist()]
             kept = [n for n in batch.schema.names if n != "text" or "part" in batch.schema.names]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(ids, pa.binary())], [*kept, "ids"])
@@ -138,7 +138,7 @@ def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(tokenizer)
-        for batch in batches:
+        for batch in sliced(batches):
             lists = [np.frombuffer(i, "<u4").tolist() for i in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

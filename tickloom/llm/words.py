@@ -16,7 +16,7 @@ import numpy as np
 PLAIN = re.compile(r"[ -&(-;=-~\n\t\rÀ-ÖØ-öø-ÿ]*").fullmatch       # no apostrophe (contractions), no "<" (special tokens)
 PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\s]+").findall
 SPACE = re.compile(r"[ \n\t\r]+").split
-MOST_WORDS = 500_000        # words a worker remembers; then it starts anew
+MOST_WORDS = 250_000        # words a worker remembers; then it starts anew
 
 
 def _byte_letters() -> dict[int, str]:
