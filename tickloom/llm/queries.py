@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import arrow_stream, chat, exact_dedup, line_windows, neighbours, packing, tree_bpe
+from tickloom.llm import arrow_stream, chat, exact_dedup, line_windows, neighbours, packing, toxicity, tree_bpe
 from tickloom.llm.words import word_bpe_path
 from tickloom.session import new_folder, settle
 
@@ -122,3 +122,8 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], turns.schema)
     return chat.digests(settle(chat.segments(turns.unionByName(extra)))).drop("valid")
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(read(spark, folder, "documents"), read(spark, folder, "labels"))
