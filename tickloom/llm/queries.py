@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import arrow_stream, chat, exact_dedup, line_windows, neighbours, packing, toxicity, tree_bpe
+from tickloom.llm import arrow_stream, chat, exact_dedup, jaccard, line_windows, neighbours, packing, toxicity, tree_bpe
 from tickloom.llm.words import word_bpe_path
 from tickloom.session import new_folder, settle
 
@@ -127,3 +127,31 @@ def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query(
+    "op9_jaccard_join",
+    """
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, s FROM (
+            SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3),
+                   lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+            FROM words)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (SELECT a AS doc_id, a AS r FROM edges UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON edges.a = reach.r)
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+    FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+    LEFT JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c ON c.doc_id = d.doc_id
+    """,
+)
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_components(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -114,9 +114,14 @@ def label_model(fired: np.ndarray, given: np.ndarray, prior: float, rounds: int
     return posterior
 
 
+def features(counts: np.ndarray) -> np.ndarray:
+    """That a voter fires counts most, how often a little."""
+    return (counts > 0) + 0.3 * np.log1p(counts)
+
+
 def linear_classifier(counts: np.ndarray, posterior: np.ndarray, rounds: int = 600, rate: float = 2.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by gradient descent; both classes weigh the same."""
-    x = np.log1p(counts.astype(float))
+    x = features(counts)
     mass = np.where(posterior > 0.5, 0.5 / max((posterior > 0.5).sum(), 1), 0.5 / max((posterior <= 0.5).sum(), 1))
     weights, bias = np.zeros(x.shape[1]), 0.0
     speed, bias_speed = np.zeros(x.shape[1]), 0.0
@@ -185,8 +190,8 @@ def score_column(model: Model, text: Column) -> Column:
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         voters, weights = model.voters(), np.array(model.weights)
         for column in texts:
-            out = [float(np.log1p(voters.counts(t)) @ weights) + model.bias for t in column.to_pylist()]
-            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30))), pa.float64())
+            out = np.array([features(voters.counts(t)) @ weights for t in column.to_pylist()], float) + model.bias
+            yield pa.array(1 / (1 + np.exp(-np.clip(out, -30, 30))), pa.float64())
 
     return score(text)
 
