@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import arrow_stream, chat, exact_dedup, jaccard, line_windows, neighbours, packing, toxicity, tree_bpe
+from tickloom.llm import arrow_stream, chat, exact_dedup, jaccard, line_windows, neighbours, packing, suffixes, toxicity, tree_bpe
 from tickloom.llm.words import word_bpe_path
 from tickloom.session import new_folder, settle
 
@@ -155,3 +155,8 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_components(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, folder, "documents")).drop("row_id")
