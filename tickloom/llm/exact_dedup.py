@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.rows import numbered
+from tickloom.llm.rows import numbered, without_rows
 from tickloom.session import new_folder, settle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -108,7 +108,4 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without the rows that are exact copies of a kept one; columns as they were."""
-    from tickloom.llm.rows import numbered_whole
-
-    dropped = exact_groups(docs, id_column, text_column).filter("not kept").select(F.col("row_id").alias("_row"))
-    return numbered_whole(docs).join(dropped, "_row", "left_anti").drop("_row")
+    return without_rows(docs, exact_groups(docs, id_column, text_column).filter("not kept"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.jaccard import similar_components
-from tickloom.llm.rows import numbered_whole
+from tickloom.llm.rows import without_rows
 
 
 def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -19,5 +19,4 @@ def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: st
     found = similar_components(docs, id_column=id_column, text_column=text_column)
     groups = found.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     named = groups.filter(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(F.min("row_id").alias("stays"))
-    dropped = groups.join(named, "component_id").filter(F.col("row_id") != F.col("stays")).select(F.col("row_id").alias("_row"))
-    return numbered_whole(docs).join(dropped, "_row", "left_anti").drop("_row")
+    return without_rows(docs, groups.join(named, "component_id").filter(F.col("row_id") != F.col("stays")))

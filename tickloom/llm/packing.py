@@ -66,7 +66,7 @@ def price_knapsack(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, ca
     return counts
 
 
-def thin_out(lengths: np.ndarray, prices: np.ndarray, left: np.ndarray, keep: int) -> np.ndarray:
+def thin_out(lengths: np.ndarray, prices: np.ndarray, keep: int) -> np.ndarray:
     """Indices of the lengths offered to one pricing: the dearest for their size, and a spread of all sizes."""
     if len(lengths) <= keep:
         return np.arange(len(lengths))
@@ -75,17 +75,28 @@ def thin_out(lengths: np.ndarray, prices: np.ndarray, left: np.ndarray, keep: in
     return np.unique(np.concatenate([dear, spread]))
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = 0.5, rounds: int = 240, offered: int = 192) -> list[tuple[Config, int]]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 240, offered: int = 192, full_cover: int = 400) -> list[tuple[Config, int]]:
     """Configurations and how often to use each; together they hold every piece exactly once.
 
-    ``rate`` is the step of the weights, ``rounds`` the number of pricings of a
-    level, ``offered`` the most lengths one pricing looks at.
+    ``rounds`` is the number of pricings of a level, ``offered`` the most
+    lengths one pricing looks at.  Up to ``full_cover`` lengths the program is
+    also solved with cover beyond the demand, which finds prices far from the
+    lengths; the plan with fewer sequences is taken.
     """
+    few = len(histogram) <= full_cover
+    plans = [_rounded(histogram, capacity, rounds, offered, beyond) for beyond in ((False, True) if few else (False,))]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _rounded(histogram: dict[int, int], capacity: int, rounds: int, offered: int, beyond: bool) -> list[tuple[Config, int]]:
+    """Levels of fractional solution and rounding until at most a quarter is left, then best fit."""
     plan: dict[Config, int] = {}
     left = {k: n for k, n in histogram.items() if n > 0}
     enough = max(400, sum(left.values()) // 4)
+    if beyond:
+        enough = min(enough, sum(left.values()) // 4)
     while sum(left.values()) > enough:
-        used = _level(left, capacity, rate, rounds, offered)
+        used = _level(left, capacity, rounds, offered, beyond)
         if not used:
             break
         for config, n in used:
@@ -98,34 +109,40 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rate: float = 0.5
     return list(plan.items())
 
 
-def _level(histogram: dict[int, int], capacity: int, rate: float, rounds: int, offered: int) -> list[tuple[Config, int]]:
-    """Fractional cover by multiplicative weights, rounded down."""
+def _level(histogram: dict[int, int], capacity: int, rounds: int, offered: int, beyond: bool) -> list[tuple[Config, int]]:
+    """Fractional cover by multiplicative weights, rounded down.
+
+    The price of a length starts at its share of the capacity (the prices of
+    the volume bound) and falls exponentially with how far its cover is ahead
+    of the length that is covered least.
+    """
     lengths = np.array(sorted(histogram, reverse=True))
     demand = np.array([histogram[k] for k in lengths], float)
     bins = max(1.0, float(lengths @ demand) / capacity)
-    covered = np.zeros(len(lengths))
-    step = max(1.0, bins / rounds)
+    cover = np.zeros(len(lengths))          # in demands
+    step, rate = max(1.0, bins / rounds), 12.0 if beyond else 4.0
     used: dict[Config, float] = {}
     for _ in range(2 * rounds):
-        open_ = covered < demand - 1e-9
-        if not open_.any():
+        open_ = np.ones(len(lengths), bool) if beyond else cover < 1 - 1e-9
+        if not open_.any() or (beyond and cover.min() >= 2):
             break
-        # cover is 1 where the demand is met: what lags behind the others weighs more
-        weights = np.where(open_, np.exp(-rate * (covered / demand - (covered / demand)[open_].min()) * 8), 0.0)
-        prices = weights * lengths ** 1.02
+        weights = np.exp(-rate * (cover - cover[open_].min()))
         index = np.flatnonzero(open_)
-        index = index[thin_out(lengths[index], prices[index], demand[index], offered)]
-        most = np.maximum(1, np.floor((demand - covered)[index])).astype(np.int64)
+        room = demand if beyond else demand * (1 - cover)
+        prices = weights * lengths / capacity
+        index = index[thin_out(lengths[index], prices[index], offered)]
         counts = np.zeros(len(lengths))
-        counts[index] = price_knapsack(lengths[index], prices[index], most, capacity)
+        counts[index] = price_knapsack(lengths[index], prices[index], np.maximum(1, np.floor(room[index])).astype(np.int64), capacity)
         some = counts > 0
-        amount = min(step, float(((demand - covered)[some] / counts[some]).min()))
+        amount = float((room[some] / counts[some]).min())
+        amount = min(step, amount / 8 if beyond else amount)
         config = tuple((int(lengths[k]), int(counts[k])) for k in np.flatnonzero(some))
         used[config] = used.get(config, 0.0) + amount
-        covered += amount * counts
+        cover += amount * counts / demand
+    scale = 1 / max(1.0, float(cover.min())) if beyond else 1.0
     out, left = [], dict(histogram)
-    for config, x in sorted(used.items(), key=lambda c: -c[1]):
-        n = min(int(x + 1e-9), *[left[length] // k for length, k in config])
+    for config, x in sorted(used.items(), key=lambda c: -c[1] * sum(length * k for length, k in c[0])):
+        n = min(int(x * scale + 1e-9), *[left[length] // k for length, k in config])
         if n > 0:
             out.append((config, n))
             for length, k in config:

@@ -6,15 +6,24 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.session import settle
 
 
-def _located(docs: DataFrame) -> DataFrame:
+def _place(docs: DataFrame) -> Column:
     place = docs.metadataColumn("_metadata")
-    return docs.select("*", F.xxhash64(place["file_path"], place["row_index"]).alias("_row"))
+    return F.xxhash64(place["file_path"], place["row_index"])
+
+
+def _scan(docs: DataFrame) -> DataFrame:
+    """``docs`` itself if it is a scan that knows where its rows are stored, else a written copy."""
+    try:
+        docs.select(_place(docs)).schema  # noqa: B018  (resolves the plan)
+        return docs
+    except AnalysisException:
+        return settle(docs)
 
 
 def numbered(docs: DataFrame, **columns: str) -> DataFrame:
@@ -24,22 +33,29 @@ def numbered(docs: DataFrame, **columns: str) -> DataFrame:
     so it stays the same when a lost task runs again, and rows with null or
     repeated ids differ.  A frame that is not a plain scan is written first.
     """
-    try:
-        found = _located(docs)
-        found.schema  # noqa: B018  (resolves the plan)
-    except AnalysisException:
-        found = _located(settle(docs))
-    return found.select(F.col("_row").alias("row_id"), *[found[f"`{c}`"].alias(n) for n, c in columns.items()])
+    docs = _scan(docs)
+    return docs.select(_place(docs).alias("row_id"), *[docs[f"`{c}`"].alias(n) for n, c in columns.items()])
 
 
-def numbered_whole(docs: DataFrame) -> DataFrame:
-    """All columns and ``_row``, for operators that give rows back as they came."""
-    try:
-        found = _located(docs)
-        found.schema  # noqa: B018
-        return found
-    except AnalysisException:
-        return _located(settle(docs))
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered_whole(docs: DataFrame) -> tuple[DataFrame, str]:
+    """All columns and the row id, with the name of the id, for operators that give rows back as they came."""
+    docs = _scan(docs)
+    name = free_name(docs, "_row")
+    return docs.select("*", _place(docs).alias(name)), name
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ids are in column ``row_id`` of ``dropped``."""
+    whole, name = numbered_whole(docs)
+    return whole.join(dropped.select(F.col("row_id").alias(name)), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

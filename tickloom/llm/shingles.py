@@ -63,10 +63,10 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
         if e - s >= WORDS:
             out.append(np.unique(joined[s:e - WORDS + 1]))
         elif e > s:
-            one = np.uint64(e - s)
+            one = np.array([e - s], "u8")
             for w in words[s:e]:
-                one = spread(np.array([one ^ w], "u8"))[0] * np.uint64(0xD6E8FEB86659FD93)
-            out.append(np.array([one], "u8"))
+                one = spread(one ^ w) * np.uint64(0xD6E8FEB86659FD93)
+            out.append(one)
         else:
             out.append(np.zeros(0, "u8"))
     return out

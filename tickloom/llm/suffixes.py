@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import blobs
 from tickloom.llm.grouping_sort import suffix_array
-from tickloom.llm.rows import numbered, numbered_whole
+from tickloom.llm.rows import free_name, numbered, numbered_whole
 from tickloom.llm.shingles import in_portions
 from tickloom.session import settle
 
@@ -366,8 +366,9 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text
 
     A null text stays null; other columns stay as they were.
     """
-    whole = numbered_whole(docs)
-    runs = repeated_runs(numbered(docs, text=text_column), length).withColumnsRenamed({"row_id": "_row", "runs": "_runs"})
+    whole, row = numbered_whole(docs)
+    found = free_name(whole, "_runs")
+    runs = repeated_runs(numbered(docs, text=text_column), length).withColumnsRenamed({"row_id": row, "runs": found})
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
@@ -376,4 +377,5 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text
             pa.string(),
         )
 
-    return whole.join(runs, "_row", "left").withColumn(text_column, cut(F.col(f"`{text_column}`"), "_runs")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stays = {text_column: cut(F.col(f"`{text_column}`"), F.col(found)).alias(text_column)}
+    return whole.join(runs, row, "left").select(*[stays.get(c, F.col(f"`{c}`")) for c in docs.columns])
