@@ -1,6 +1,7 @@
 """Algorithms without Spark, against definitions."""
 
 import io
+import itertools
 
 import numpy as np
 import plain
@@ -133,3 +134,9 @@ def test_label_model_discounts_repeated_voters():
     noise = np.where(truth, rng.random(4000) < 0.3, rng.random(4000) < 0.25)
     posterior = toxicity.label_model(np.stack([*good, *[noise] * 5], 1), np.where(rng.random(4000) < 0.03, ~truth, truth), 0.2)
     assert ((posterior > 0.5) == truth).mean() > 0.98
+
+
+def test_words_of_the_same_letters_differ():
+    words = [bytes(w) for w in itertools.permutations(b"abcdef")]
+    hashes, owner = shingles.word_hashes([b" ".join(words)])
+    assert len(set(hashes.tolist())) == len(words) and set(owner.tolist()) == {0}

@@ -17,7 +17,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LETTERS = np.random.default_rng(20).integers(1, 1 << 63, 256, "u8") | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(64, "u8")
+_POWERS = np.ones(1, "u8")
 
 
 def _powers(size: int) -> np.ndarray:
