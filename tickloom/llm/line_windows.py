@@ -45,7 +45,8 @@ def removed_lines(docs: DataFrame, window: int = WINDOW_LINES, id_column: str =
         "row_id",
         F.sort_array(F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + window - 1))))).alias("removed"),
     )
-    return lines.join(settle(covered), "row_id", "left").withColumn(
+    # merged at any size: what is removed grows with the table
+    return lines.join(settle(covered).hint("merge"), "row_id", "left").withColumn(
         "removed", F.coalesce("removed", F.array().cast("array<int>"))
     )
 

@@ -15,6 +15,7 @@ over all rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +31,7 @@ from tickloom.session import settle
 FIT_ROWS = 8_192        # labelled rows the voters and the classifier are fitted on
 STEMS = 256             # mined stems that vote
 STEM_SIZES = (4, 5)     # leading letters of a word
+CHANCE = 1e-4           # a stem of toxic rows only counts if chance gives that less often
 LEAST_SHARE = 0.01      # a mined stem occurs in at least this share of the toxic sample rows
 GIVEN_ACCURACY = 0.97   # of the labels given
 MOST_COUNT = 4          # occurrences of a feature beyond this count no more
@@ -37,8 +39,8 @@ MOST_COUNT = 4          # occurrences of a feature beyond this count no more
 # Insults of everyday English.
 LEXICON = (
     "clown", "coward", "creep", "disgrace", "disgusting", "dumb", "fool", "freak", "garbage", "idiot", "imbecile",
-    "jerk", "liar", "loser", "lunatic", "maggot", "moron", "parasite", "pathetic", "pig", "rat", "scum", "stupid",
-    "trash", "ugly", "useless", "vermin", "vile", "worthless",
+    "jerk", "liar", "loser", "lunatic", "maggot", "moron", "parasite", "pathetic", "scum", "stupid", "trash", "ugly",
+    "useless", "vermin", "worthless",
 )
 
 WORD = re.compile(r"[^\W\d_]+").findall
@@ -130,7 +132,10 @@ def linear_classifier(counts: np.ndarray, posterior: np.ndarray, rounds: int = 6
         speed = 0.9 * speed - rate * (x.T @ gap + decay * weights)
         bias_speed = 0.9 * bias_speed - rate * gap.sum()
         weights, bias = weights + speed, bias + bias_speed
-    return weights, bias
+    # where the classes part, half of the gap to either side
+    odds = x @ weights + bias
+    clean, toxic = np.quantile(odds[posterior <= 0.5], 0.999) if (posterior <= 0.5).any() else -1.0, np.quantile(odds[posterior > 0.5], 0.005)
+    return weights, bias - (clean + toxic) / 2 if toxic > clean else bias
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> Model:
@@ -179,7 +184,8 @@ def _mine(sample: DataFrame, toxic: int, clean: int) -> tuple[str, ...]:
     rows = stems.filter(F.length("stem") >= min(STEM_SIZES)).distinct()
     n = rows.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     odds = F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1)))
-    good = n.filter((F.col("t") >= max(2, LEAST_SHARE * toxic)) & (F.col("c") <= 0.002 * clean) & (odds > 3))
+    by_chance = math.log(CHANCE) / math.log(toxic / (toxic + clean))       # so many toxic rows and no clean one
+    good = n.filter((F.col("t") >= max(by_chance, LEAST_SHARE * toxic)) & (F.col("c") <= 0.002 * clean) & (odds > 3))
     return tuple(r["stem"] for r in good.orderBy(F.desc(F.col("t") * odds), "stem").limit(STEMS).collect())
 
 
