@@ -8,10 +8,12 @@ into the frequent classes it is extended to 2n/5 + 2 tokens, and neighbouring
 pairs of tokens that hold a frequent one are signatures: of the pairs that the
 larger prefix has, dissimilar tokens can break at most 2n/5, so one is left.
 
-Documents that share a signature are candidates and are verified on their whole
-sets.  Equal sets are one node from the start.  Only connectedness is asked
-for, so candidates first meet one document of their list; pairs that are still
-in different components afterwards are verified in full, so no link is lost.
+Documents that share a signature are candidates.  A parity bitmap of each set
+bounds from above what two sets can have in common, so most candidates fall
+without a look at their texts; the others are verified on their whole sets.
+Equal sets are one node from the start.  Only connectedness is asked for, so
+candidates first meet the first document of their lists; after that all pairs
+of a list that are still in different components are taken, so no link is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
@@ -28,15 +29,16 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import blobs
 from tickloom.llm.components import components
-from tickloom.llm.rows import numbered
+from tickloom.llm.rows import numbered, settled
 from tickloom.llm.shingles import in_portions, set_key, shingle_sets
-from tickloom.session import settle
 
 FREQUENT = 32               # documents from which on a token is frequent
 MOST_FREQUENT = 1 << 18     # frequent tokens that are told to all tasks; further ones are treated as rare
 MEMBERS = 64                # documents verified against one in one task
+TOGETHER = 1_024            # members of a list compared by bitmap in one task
+MOST_BITS = 1 << 16
 
-SETS = "bucket int, packed binary, row_id long, doc_id long, n long, cls long, second long"
+SETS = "bucket int, packed binary, row_id long, doc_id long, n long, cls long, bits binary"
 POSTING = np.dtype([("sig", "<u4"), ("cls", "<i8")])
 
 
@@ -60,6 +62,30 @@ def _key(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
     return (bucket.astype("u8") << np.uint64(32)) | low.astype("u8")
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """For each remainder of the tokens whether an odd number of them has it; about two bits a token."""
+    bits = min(MOST_BITS, max(64, 1 << (2 * len(tokens) - 1).bit_length())) if len(tokens) else 64
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype("i8"), minlength=bits) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (a row each) brought to ``size`` words."""
+    while words.shape[1] > size:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
+def may_link(a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray) -> np.ndarray:
+    """Rows of two arrays of bitmaps that can belong to sets with 80 % in common.
+
+    Such sets differ in at most a ninth of their summed sizes, and every odd
+    bit that differs takes a token that differs.
+    """
+    return 9 * np.bitwise_count(a ^ b).sum(axis=-1, dtype="i8") <= a_n + b_n
+
+
 def describe(texts: DataFrame, buckets: int, frequent: int) -> DataFrame:
     """Written table: a row per document with its set's key and size, and a row per frequent token with its count."""
 
@@ -75,7 +101,7 @@ def describe(texts: DataFrame, buckets: int, frequent: int) -> DataFrame:
                 pa.array(bucket, pa.int32()), pa.array([None] * n + [p for _, p in dealt], pa.binary()),
                 pa.array(rows + [None] * k, pa.int64()), pa.array(ids + [None] * k, pa.int64()),
                 pa.array([len(s) for s in sets] + [None] * k, pa.int64()),
-                pa.array([a for a, _ in keys] + [None] * k, pa.int64()), pa.array([b for _, b in keys] + [None] * k, pa.int64()),
+                pa.array(keys + [None] * k, pa.int64()), pa.array([bitmap(s) for s in sets] + [None] * k, pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SETS.split(", ")])
 
@@ -90,13 +116,13 @@ def describe(texts: DataFrame, buckets: int, frequent: int) -> DataFrame:
         token = _key(np.full(k, bucket), tokens).astype("i8")
         both = lambda name: pa.concat_arrays([documents.column(name).combine_chunks(), none])
         return pa.table({
-            "row_id": both("row_id"), "doc_id": both("doc_id"), "n": both("n"), "cls": both("cls"), "second": both("second"),
+            "row_id": both("row_id"), "doc_id": both("doc_id"), "n": both("n"), "cls": both("cls"), "bits": pa.concat_arrays([documents.column("bits").combine_chunks(), pa.nulls(k, pa.binary())]),
             "token": pa.concat_arrays([pa.nulls(d, pa.int64()), pa.array(token)]),
             "count": pa.concat_arrays([pa.nulls(d, pa.int64()), pa.array(n.astype("i8"))]),
         })
 
-    schema = "row_id long, doc_id long, n long, cls long, second long, token long, count long"
-    return settle(texts.mapInArrow(send, SETS).groupBy("bucket").applyInArrow(count, schema))
+    schema = "row_id long, doc_id long, n long, cls long, bits binary, token long, count long"
+    return settled(texts.mapInArrow(send, SETS).groupBy("bucket").applyInArrow(count, schema))
 
 
 def ordered(tokens: np.ndarray, buckets: int, known: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -136,7 +162,7 @@ def postings(texts: DataFrame, buckets: int, frequent: Broadcast) -> DataFrame:
         for _, _, sets in _sets(batches):
             own, cls = [], []
             for tokens in sets:
-                key = set_key(tokens)[0]
+                key = set_key(tokens)
                 if key not in seen:
                     seen.add(key)
                     found = signatures(*ordered(tokens, buckets, known, classes))
@@ -162,34 +188,102 @@ def postings(texts: DataFrame, buckets: int, frequent: Broadcast) -> DataFrame:
         shared = np.repeat(sizes, sizes) > 1
         return pa.table({"sig": _key(np.full(len(sig), bucket), sig)[shared].astype("i8"), "cls": cls[shared], "leader": leader[shared]})
 
-    return settle(texts.mapInArrow(send, blobs.SCHEMA).groupBy("bucket").applyInArrow(group, "sig long, cls long, leader long"))
+    return settled(texts.mapInArrow(send, blobs.SCHEMA).groupBy("bucket").applyInArrow(group, "sig long, cls long, leader long"))
 
 
-def verify(pairs: DataFrame, live: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a, b whose bitmaps leave a link possible; ``sets`` has cls, n, bits."""
+    side = lambda c: sets.select(F.col("cls").alias(c), F.col("n").alias(f"{c}_n"), F.col("bits").alias(f"{c}_bits"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, "u8")[None] for x in batch.column(f"{c}_bits").to_pylist()] for c in "ab")
+            a_n, b_n = (batch.column(f"{c}_n").to_numpy() for c in "ab")
+            near = 9 * np.abs(a_n - b_n) <= a_n + b_n
+            for i in np.flatnonzero(near):
+                size = min(a[i].shape[1], b[i].shape[1])
+                near[i] = may_link(folded(a[i], size), a_n[i], folded(b[i], size), b_n[i])[0]
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(look, "a long, b long")
+
+
+def across(open_: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """Plausible pairs a > b of different components in the same list; ``open_`` has sig, cls, component.
+
+    Long lists are cut into parts, and every two parts meet in a task of their own.
+    """
+    parts = open_.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = (
+        open_.join(parts, "sig").withColumn("own", own).withColumn("other", other)
+        .select("sig", "cls", "component", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        .join(sets, "cls")
+        .withColumn("bucket", F.pmod(F.xxhash64("sig", "x", "y"), F.lit(buckets)).cast("int"))
+    )
+
+    def meet(table: pa.Table) -> pa.Table:
+        cls, component, n, own = (table.column(c).to_numpy() for c in ("cls", "component", "n", "own"))
+        bits = [np.frombuffer(x, "u8") for x in table.column("bits").to_pylist()]
+        width = np.array([len(x) for x in bits])
+        place = np.stack([table.column(c).to_numpy() for c in ("sig", "x", "y")])
+        order = np.lexsort((n, *place[::-1]))
+        new = np.flatnonzero(np.r_[True, (place[:, order[1:]] != place[:, order[:-1]]).any(axis=0)])
+        found: set[tuple[int, int]] = set()
+        for s, e in zip(new, np.r_[new[1:], len(order)], strict=True):
+            group = order[s:e]
+            split = place[1, group[0]] != place[2, group[0]]
+            for k in range(len(group)):
+                i = group[k]
+                rest = group[k + 1:]
+                rest = rest[: np.searchsorted(n[rest], 1.25 * n[i], "right")]      # sizes ascend
+                rest = rest[component[rest] != component[i]]
+                if split:
+                    rest = rest[own[rest] != own[i]]
+                for size in np.unique(width[rest]):
+                    some = rest[width[rest] == size]
+                    narrow = min(size, width[i])
+                    near = may_link(folded(np.stack([bits[j] for j in some]), narrow), n[some], folded(bits[i][None], narrow), n[i])
+                    found.update((max(int(cls[i]), c), min(int(cls[i]), c)) for c in cls[some[near]].tolist())
+        a, b = zip(*sorted(found), strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+
+
+def verify(pairs: DataFrame, texts: DataFrame, documents: DataFrame, buckets: int) -> DataFrame:
     """Written table of pairs a, b with ``linked``: whether 100 * intersection >= 80 * union of the whole sets.
 
     Rows of a side b meet it in groups of ``MEMBERS``, so a set that many
     others are compared with is copied, not collected into one task.
     """
     sizes = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    dealt = pairs.join(sizes, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
+    dealt = pairs.join(sizes, "b").select(F.col("a").alias("cls"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     leaders = sizes.select(F.col("b").alias("cls"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    rows = dealt.select(F.col("a").alias("cls"), "b", "part").union(leaders).join(live, "cls")
+    wanted = settled(dealt.union(leaders))
+    one = documents.join(wanted.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("row_id").alias("row_id"))
+    live = texts.select("row_id", "text").join(one, "row_id").select("cls", "text")
+    rows = wanted.join(live, "cls").withColumn("bucket", F.pmod(F.xxhash64("b", "part"), F.lit(buckets)).cast("int"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
+    def compare(table: pa.Table) -> pa.Table:
+        cls, b, part = (table.column(c).to_numpy() for c in ("cls", "b", "part"))
         sets: list[np.ndarray] = []
-        for _, texts in in_portions(group["text"].tolist()):
-            sets += shingle_sets(texts)
-        at = int(np.flatnonzero(group["cls"].to_numpy() == group["b"].iloc[0])[0])
-        one = sets[at]
-        linked = []
-        for s in sets:
-            both = len(np.intersect1d(one, s, assume_unique=True))
-            linked.append(100 * both >= 80 * (len(one) + len(s) - both))
-        out = pd.DataFrame({"a": group["cls"], "b": group["b"], "linked": linked})
-        return out[out["a"] != out["b"]]
-
-    return settle(rows.groupBy("b", "part").applyInPandas(compare, "a long, b long, linked boolean"))
+        for _, portion in in_portions(table.column("text").to_pylist()):
+            sets += shingle_sets(portion)
+        order = np.lexsort((part, b))
+        new = np.flatnonzero(np.r_[True, (b[order[1:]] != b[order[:-1]]) | (part[order[1:]] != part[order[:-1]])])
+        out = []
+        for s, e in zip(new, np.r_[new[1:], len(order)], strict=True):
+            group = order[s:e]
+            at = group[cls[group] == b[group[0]]][0]
+            for i in group[group != at]:
+                both = len(np.intersect1d(sets[at], sets[i], assume_unique=True))
+                out.append((int(cls[i]), int(b[i]), 100 * both >= 80 * (len(sets[at]) + len(sets[i]) - both)))
+        columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+        return pa.table({"a": pa.array(columns[0], pa.int64()), "b": pa.array(columns[1], pa.int64()), "linked": pa.array(columns[2], pa.bool_())})
+
+    return settled(rows.groupBy("bucket").applyInArrow(compare, "a long, b long, linked boolean"))
 
 
 def similar_components(
@@ -208,27 +302,30 @@ def similar_components(
     described = describe(texts, buckets, frequent)
     documents = described.filter("token is null")
     lists = postings(texts, buckets, _frequent(spark, described.filter("token is not null")))
-    live = settle(_live_texts(texts, documents, lists))
+    sets = settled(
+        documents.join(lists.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.max("n").alias("n"), F.max("bits").alias("bits"))
+    )
 
-    # a set meets the document it shares most lists with, then the first one of each of its lists
+    # every set meets one document, the one it shares most lists with of those that may be similar
     pairs = lists.filter("cls <> leader").groupBy(F.col("cls").alias("a"), F.col("leader").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("lists", -F.col("b"))).alias("b"))
-    checked = verify(best, live)
-    labels = _labels(checked)
-    rest = _apart(pairs.select("a", "b"), labels, checked)
-    checked = settle(checked.union(verify(rest, live)))
-    labels = _labels(checked)
-
-    # lists that still hold several components: every pair across them
+    near = settled(plausible(pairs.select("a", "b"), sets).join(pairs, ["a", "b"]))
+    best = near.groupBy("a").agg(F.max_by("b", F.struct("lists", -F.col("b"))).alias("b"))
+    checked = verify(best, texts, documents, buckets)
+    labels = components(checked.filter("linked"))
+
+    # lists that still hold several components: every pair across them that may be similar; of two sets it is known
     member = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))
-    split = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
-    open_ = settle(member.join(split, "sig"))
-    across = open_.alias("x").join(open_.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component"))).select(
-        F.greatest("x.cls", "y.cls").alias("a"), F.least("x.cls", "y.cls").alias("b")
+    several = F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
+    split = member.groupBy("sig").agg(*several).filter("low <> high and members > 2").select("sig")
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    known = near.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(
+        F.coalesce("a_component", "a") != F.coalesce("b_component", "b")
     )
-    rest = _apart(across.distinct(), labels, checked)
-    checked = settle(checked.union(verify(rest, live)))
-    labels = _labels(checked)
+    known = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = across(settled(member.join(split, "sig")), sets, buckets).union(known).distinct()
+    seen = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    checked = settled(checked.union(verify(settled(rest.join(seen, ["a", "b"], "left_anti")), texts, documents, buckets)))
+    labels = components(checked.filter("linked"))
 
     links = checked.filter("linked")
     ends = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
@@ -251,26 +348,3 @@ def _frequent(spark: SparkSession, tokens: DataFrame) -> Broadcast:
     keys, counts = found["token"].to_numpy("i8").astype("u8"), found["count"].to_numpy("f8")
     order = np.argsort(keys)
     return spark.sparkContext.broadcast((keys[order], np.log2(counts[order]).astype("u1")))
-
-
-def _live_texts(texts: DataFrame, documents: DataFrame, lists: DataFrame) -> DataFrame:
-    """cls, text: one text of every set that shares a signature."""
-    wanted = lists.select("cls").distinct()
-    one = documents.groupBy("cls").agg(F.min("row_id").alias("row_id")).join(wanted, "cls")
-    return texts.select("row_id", "text").join(one, "row_id").select("cls", F.coalesce("text", F.lit("")).alias("text"))
-
-
-def _labels(checked: DataFrame) -> DataFrame:
-    return components(checked.filter("linked"))
-
-
-def _apart(pairs: DataFrame, labels: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs whose sides lie in different components and have not been verified, as a > b."""
-    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    turned = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    seen = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return settle(
-        turned.join(side("a"), "a", "left").join(side("b"), "b", "left")
-        .filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b"))
-        .select("a", "b").join(seen, ["a", "b"], "left_anti")
-    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,6 +59,14 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return whole.join(dropped.select(F.col("row_id").alias(name)), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Writes ``df`` and goes on from the written table; shuffle files that only earlier steps needed are let go."""
+    done = settle(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return done
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Short batches, so that what a task derives from whole texts stays small."""
     for batch in batches:

@@ -87,8 +87,7 @@ def in_portions(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def set_key(tokens: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that tell sets apart, as signed numbers."""
-    with np.errstate(over="ignore"):
-        a, b = spread(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype="u8"), spread(tokens + np.uint64(0x1234567)).sum(dtype="u8")
-    return int(np.int64(a)), int(np.int64(b))
+def set_key(tokens: np.ndarray) -> int:
+    """A 64-bit key of the set, as a signed number."""
+    mixed = spread(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    return int(spread(mixed.sum(dtype="u8", keepdims=True) + np.uint64(len(tokens))).astype("i8")[0])
