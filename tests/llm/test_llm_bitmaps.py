@@ -41,5 +41,8 @@ def test_long_lists_meet_in_parts(spark, monkeypatch):
     rows = [(1, i, i // 2, 100, jaccard.bitmap(base if i < 6 else rng.integers(0, 1 << 62, 100, "u8"))) for i in range(20)]
     open_ = spark.createDataFrame([r[:3] for r in rows], "sig long, cls long, component long")
     sets = spark.createDataFrame([(r[1], r[3], bytes(r[4])) for r in rows], "cls long, n long, bits binary")
-    found = {(r["a"], r["b"]) for r in jaccard.across(open_, sets, 8).collect()}
-    assert found == {(a, b) for a in range(6) for b in range(a) if a // 2 != b // 2}
+    rows = jaccard.across(open_, sets, 8, most=100).collect()
+    assert {(r["a"], r["b"]) for r in rows} == {(a, b) for a in range(6) for b in range(a) if a // 2 != b // 2}
+    assert not any(r["more"] for r in rows)
+    few = jaccard.across(open_, sets, 8, most=1).collect()
+    assert {(r["a"] // 2, r["b"] // 2) for r in few} == {(1, 0), (2, 0), (2, 1)} and any(r["more"] for r in few)

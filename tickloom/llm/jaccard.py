@@ -12,8 +12,9 @@ Documents that share a signature are candidates.  A parity bitmap of each set
 bounds from above what two sets can have in common, so most candidates fall
 without a look at their texts; the others are verified on their whole sets.
 Equal sets are one node from the start.  Only connectedness is asked for, so
-candidates first meet the first document of their lists; after that all pairs
-of a list that are still in different components are taken, so no link is lost.
+candidates first meet the first document of their lists.  After that lists that
+hold several components give the likeliest pairs between them, more from round
+to round, until none that may be similar is left, so no link is lost.
 """
 
 from __future__ import annotations
@@ -77,13 +78,14 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
     return words
 
 
-def may_link(a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray) -> np.ndarray:
-    """Rows of two arrays of bitmaps that can belong to sets with 80 % in common.
+def odd_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which bitmaps (rows) differ; each takes at least one token that only one of the sets has."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype="i8")
 
-    Such sets differ in at most a ninth of their summed sizes, and every odd
-    bit that differs takes a token that differs.
-    """
-    return 9 * np.bitwise_count(a ^ b).sum(axis=-1, dtype="i8") <= a_n + b_n
+
+def may_link(a: np.ndarray, a_n: np.ndarray, b: np.ndarray, b_n: np.ndarray) -> np.ndarray:
+    """Rows of two arrays of bitmaps that can belong to sets with 80 % in common: these differ in a ninth of their summed sizes at most."""
+    return 9 * odd_bits(a, b) <= a_n + b_n
 
 
 def describe(texts: DataFrame, buckets: int, frequent: int) -> DataFrame:
@@ -208,10 +210,12 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_n", "b_n", "a_bits", "b_bits").mapInArrow(look, "a long, b long")
 
 
-def across(open_: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
-    """Plausible pairs a > b of different components in the same list; ``open_`` has sig, cls, component.
+def across(open_: DataFrame, sets: DataFrame, buckets: int, most: int) -> DataFrame:
+    """a > b, more: in each list the ``most`` likeliest pairs between any two components that may be similar.
 
-    Long lists are cut into parts, and every two parts meet in a task of their own.
+    ``open_`` has sig, cls, component; ``more`` marks components between which
+    further pairs were left for another round.  Long lists are cut into parts,
+    and every two parts meet in a task of their own.
     """
     parts = open_.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
@@ -230,10 +234,11 @@ def across(open_: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
         place = np.stack([table.column(c).to_numpy() for c in ("sig", "x", "y")])
         order = np.lexsort((n, *place[::-1]))
         new = np.flatnonzero(np.r_[True, (place[:, order[1:]] != place[:, order[:-1]]).any(axis=0)])
-        found: set[tuple[int, int]] = set()
+        found: dict[tuple[int, int], bool] = {}
         for s, e in zip(new, np.r_[new[1:], len(order)], strict=True):
             group = order[s:e]
             split = place[1, group[0]] != place[2, group[0]]
+            one, two, apart = [], [], []
             for k in range(len(group)):
                 i = group[k]
                 rest = group[k + 1:]
@@ -244,12 +249,31 @@ def across(open_: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
                 for size in np.unique(width[rest]):
                     some = rest[width[rest] == size]
                     narrow = min(size, width[i])
-                    near = may_link(folded(np.stack([bits[j] for j in some]), narrow), n[some], folded(bits[i][None], narrow), n[i])
-                    found.update((max(int(cls[i]), c), min(int(cls[i]), c)) for c in cls[some[near]].tolist())
-        a, b = zip(*sorted(found), strict=True) if found else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                    differ = odd_bits(folded(np.stack([bits[j] for j in some]), narrow), folded(bits[i][None], narrow))
+                    near = 9 * differ <= n[some] + n[i]
+                    one.append(np.full(int(near.sum()), i))
+                    two.append(some[near])
+                    apart.append(differ[near] / (n[some[near]] + n[i]))
+            if not one or not (i := np.concatenate(one)).size:
+                continue
+            j, d = np.concatenate(two), np.concatenate(apart)
+            low, high = np.minimum(component[i], component[j]), np.maximum(component[i], component[j])
+            best = np.lexsort((d, high, low))
+            i, j, low, high = i[best], j[best], low[best], high[best]
+            first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
+            size = np.diff(np.r_[first, len(i)])
+            rank = np.arange(len(i)) - np.repeat(first, size)
+            more = np.repeat(size, size) > most
+            for k in np.flatnonzero(rank < most):
+                pair = (max(int(cls[i[k]]), int(cls[j[k]])), min(int(cls[i[k]]), int(cls[j[k]])))
+                found[pair] = found.get(pair, False) or bool(more[k])
+        return pa.table({
+            "a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64()),
+            "more": pa.array(list(found.values()), pa.bool_()),
+        })
 
-    return dealt.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    pairs = dealt.groupBy("bucket").applyInArrow(meet, "a long, b long, more boolean")
+    return settled(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, documents: DataFrame, buckets: int) -> DataFrame:
@@ -313,19 +337,19 @@ def similar_components(
     checked = verify(best, texts, documents, buckets)
     labels = components(checked.filter("linked"))
 
-    # lists that still hold several components: every pair across them that may be similar; of two sets it is known
-    member = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))
-    several = F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
-    split = member.groupBy("sig").agg(*several).filter("low <> high and members > 2").select("sig")
-    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
-    known = near.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(
-        F.coalesce("a_component", "a") != F.coalesce("b_component", "b")
-    )
-    known = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    rest = across(settled(member.join(split, "sig")), sets, buckets).union(known).distinct()
-    seen = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    checked = settled(checked.union(verify(settled(rest.join(seen, ["a", "b"], "left_anti")), texts, documents, buckets)))
-    labels = components(checked.filter("linked"))
+    # lists that still hold several components: the likeliest pairs between them, then more; of two sets the pair is known
+    most = 4
+    while True:
+        member = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))
+        several = F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
+        split = member.groupBy("sig").agg(*several).filter("low <> high and members > 2").select("sig")
+        found = across(settled(member.join(split, "sig")), sets, buckets, most)
+        checked, labels = _checked_too(found.select("a", "b"), checked, labels, texts, documents, buckets)
+        if found.filter("more").isEmpty():
+            break
+        most *= 32
+    pairs_of_two = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    checked, labels = _checked_too(pairs_of_two, checked, labels, texts, documents, buckets)
 
     links = checked.filter("linked")
     ends = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
@@ -348,3 +372,17 @@ def _frequent(spark: SparkSession, tokens: DataFrame) -> Broadcast:
     keys, counts = found["token"].to_numpy("i8").astype("u8"), found["count"].to_numpy("f8")
     order = np.argsort(keys)
     return spark.sparkContext.broadcast((keys[order], np.log2(counts[order]).astype("u1")))
+
+
+def _checked_too(pairs: DataFrame, checked: DataFrame, labels: DataFrame, texts: DataFrame, documents: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Verifies those of the pairs a > b that lie in different components and are new; all that is verified, and the components then."""
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
+    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(
+        F.coalesce("a_component", "a") != F.coalesce("b_component", "b")
+    )
+    seen = checked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    new = settled(apart.select("a", "b").join(seen, ["a", "b"], "left_anti"))
+    if new.isEmpty():
+        return checked, labels
+    checked = settled(checked.union(verify(new, texts, documents, buckets)))
+    return checked, components(checked.filter("linked"))
