@@ -44,5 +44,6 @@ def test_long_lists_meet_in_parts(spark, monkeypatch):
     rows = jaccard.across(open_, sets, 8, most=100).collect()
     assert {(r["a"], r["b"]) for r in rows} == {(a, b) for a in range(6) for b in range(a) if a // 2 != b // 2}
     assert not any(r["more"] for r in rows)
+    monkeypatch.setattr(jaccard, "TOGETHER", 100)
     few = jaccard.across(open_, sets, 8, most=1).collect()
     assert {(r["a"] // 2, r["b"] // 2) for r in few} == {(1, 0), (2, 0), (2, 1)} and any(r["more"] for r in few)
