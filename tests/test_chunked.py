@@ -83,3 +83,94 @@ def test_multiple_test_adjust_against_loop(spark):
         wanted[i] = (min(1.0, ps[i] * m), best)
     for i in range(m):
         assert got[i] == pytest.approx(wanted[i], abs=1e-12)
+
+
+def test_what_a_halo_does_not_hold_is_refused(spark):
+    from tickloom.operators import indicators as ind
+    from tickloom.operators.positions import with_fills
+    from tickloom.plans.layout import Layout
+
+    lay = Layout(chunked=True, back=100, ahead=2)
+    bars = spark.createDataFrame([], "symbol string, ts timestamp, open double, high double, low double, close double, bar_no long, block long, chunk long")
+    for build in (
+        lambda: ind.sma(lay, 102), lambda: ind.bars_back(lay, 101), lambda: ind.with_smas(bars, lay, 50, 200),
+        lambda: ind.with_ema(bars, lay, 30), lambda: with_fills(bars, lay, delay=3), lambda: ind.with_adx(bars, lay),
+    ):
+        with pytest.raises(ValueError, match="bars back"):
+            build()
+    ind.sma(lay, 101)
+    with_fills(bars, lay, delay=2)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_very_short_and_very_long_smoothings(spark, whole):
+    """Against the plain recursion, over more bars than the longest warm-up."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tickloom.operators.smoothing import exponential, smooth, wilder
+
+    rng = random.Random(7)
+    closes = [100 + rng.random() * 10 for _ in range(3000)]
+    bars = spark.createDataFrame(list(enumerate(closes)), "i int, close double").select(
+        F.lit("A").alias("symbol"), F.timestamp_seconds(F.col("i") * 86400).alias("ts"), "close"
+    )
+    wanted = {"e2": exponential(F.col("close"), 2), "e1000": exponential(F.col("close"), 1000), "w640": wilder(F.col("close"), 640), "e300": exponential(F.col("close"), 300)}
+    df, lay = lay_out(bars, whole, chunk_rows=700, back=max(s.reach for s in wanted.values()))
+    rows = smooth(df, lay, wanted)
+    rows = (rows if whole else rows.filter("own")).orderBy("ts").collect()
+    for name, s in wanted.items():
+        value = None
+        for i, x in enumerate(closes, 1):
+            if i == s.period:
+                value = sum(closes[:i]) / s.period
+            elif i > s.period:
+                value = s.keep * value + (1 - s.keep) * x
+            got = rows[i - 1][name]
+            assert (got is None) == (value is None)
+            assert got is None or abs(got - value) < 1e-9
+
+
+def test_buckets_of_a_dense_month_stay_small(spark):
+    """A million bars of one month are not ranked in one group."""
+    from pyspark.sql import functions as F
+
+    from tickloom.plans.layout import time_bucket
+
+    bars = spark.range(1_000_000).select(F.lit("A").alias("symbol"), F.timestamp_seconds(1_700_000_000 + F.col("id")).alias("ts"))
+    counts = bars.groupBy(time_bucket(bars, ["symbol"], most=50_000).alias("b")).count()
+    assert counts.agg(F.max("count")).first()[0] <= 50_000
+
+
+def test_few_keys_are_spread_over_rules(spark):
+    from pyspark.sql import functions as F
+
+    from tickloom.plans.backtest import signals
+
+    bars = spark.range(400).select(
+        F.concat(F.lit("S"), F.col("id") % 2).alias("symbol"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"),
+        *[F.lit(1.0).alias(c) for c in ("open", "high", "low", "close")], F.lit(1).alias("volume"),
+    )
+    for spread, tasks in ((False, 2), (True, 4)):
+        df, _ = signals(*lay_out(bars, True, spread=spread))
+        used = df.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert used <= tasks if not spread else used >= tasks
+
+
+def test_asset_correlation_in_blocks(spark):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    table = pd.DataFrame(rng.normal(size=(60, 7)), columns=list("ABCDEFG"))
+    table.iloc[:40, 0] = np.nan
+    table["G"] = 1.0
+    long = [(s, int(d) * 86400, float(v)) for s in table for d, v in table[s].items() if not np.isnan(v)]
+    returns = spark.createDataFrame(long, "symbol string, t long, bar_ret double").select("symbol", F.timestamp_seconds("t").alias("ts"), "bar_ret")
+    wanted = table.corr(min_periods=30)
+    found = {(r.a, r.b): r for r in research.asset_correlation(returns, 30, assets=2).collect()}
+    assert set(found) == {(a, b) for a in "BCDEFG" for b in "BCDEFG" if a < b}
+    for (a, b), r in found.items():
+        assert r.days == 60 and (r.correlation is None if b == "G" else abs(r.correlation - wanted[a][b]) < 1e-9)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.catalog import sql as S
-from tickloom.catalog.registry import bars_of, day, laid, query, rounded, rounded_sql
+from tickloom.catalog.registry import bars_of, day, laid, laid_in_chunks, query, rounded, rounded_sql
 from tickloom.functions.compare import clamp
 from tickloom.operators import positions as pos
 from tickloom.operators import targets as tg
@@ -20,12 +20,12 @@ from tickloom.session import new_folder
 from tickloom.sources.files import sink_results
 
 BUSY = "DonchianTurtle"     # trades often, so every account operator has work
-TRIO = ("BollingerBreakout", "DonchianTurtle", "GoldenCross")
+CHUNK_BACK = 1_300          # look-back of the rule catalogue; a shorter halo is refused
 FLAGS = f"WITH RECURSIVE {S.rule_flags(BUSY)}"
 ACCOUNT = f"{FLAGS}, {S.account()}"
 RETURNS = f"{ACCOUNT}, {S.returns()}"
 RESULTS = f"{RETURNS}, {S.results()}"
-TRIO_RESULTS = f"WITH RECURSIVE {S.rule_flags(*TRIO)}, {S.account()}, {S.returns()}, {S.results()}"
+ALL_RESULTS = f"WITH RECURSIVE {S.rule_flags(*RULES)}, {S.account()}, {S.returns()}, {S.results()}"
 BY = "PARTITION BY symbol ORDER BY bar_no"
 
 
@@ -153,6 +153,21 @@ def event_mark_join(spark: SparkSession, folder: str) -> DataFrame:
     return pos.mark_bars(df, pos.marks(df, lay), list(lay.keys)).select("symbol", day(), "buy_mark", "sell_mark")
 
 
+# ---- the same over keys too large for one task ------------------------------
+
+
+@query("chunked_position_state", f"{ACCOUNT} SELECT symbol, day, pos FROM acct")
+def chunked_position_state(spark: SparkSession, folder: str) -> DataFrame:
+    df, lay = signals(*laid_in_chunks(spark, folder, CHUNK_BACK), BUSY)
+    return pos.with_position(df, lay).select("symbol", day(), "pos")
+
+
+@query("chunked_equity_curve", f"{ACCOUNT} SELECT symbol, day, {rounded_sql('equity')} FROM acct")
+def chunked_equity_curve(spark: SparkSession, folder: str) -> DataFrame:
+    df, lay = signals(*laid_in_chunks(spark, folder, CHUNK_BACK), BUSY)
+    return pos.with_equity(pos.with_position(df, lay), lay).select("symbol", day(), *rounded("equity"))
+
+
 # ---- metrics ----------------------------------------------------------------
 
 _WHOLE = ("time_dd", "trades_total")
@@ -186,15 +201,20 @@ def results_table(spark: SparkSession, folder: str) -> DataFrame:
     return _published(backtest(*laid(spark, folder)))
 
 
+@query("chunked_results_table", f"{ALL_RESULTS} SELECT {_PUBLISHED} FROM res")
+def chunked_results_table(spark: SparkSession, folder: str) -> DataFrame:
+    return _published(backtest(*laid_in_chunks(spark, folder, CHUNK_BACK)))
+
+
 @query("golden_cross_backtest", f"""
 WITH RECURSIVE {S.rule_flags('GoldenCross')}, {S.account()}, {S.returns()}, {S.results()} SELECT {_PUBLISHED} FROM res""")
 def golden_cross_backtest(spark: SparkSession, folder: str) -> DataFrame:
     return _published(backtest(*laid(spark, folder), "GoldenCross"))
 
 
-@query("sink_results", f"{RESULTS} SELECT {_PUBLISHED} FROM res")
+@query("sink_results", f"{ALL_RESULTS} SELECT {_PUBLISHED} FROM res")
 def sink_results_query(spark: SparkSession, folder: str) -> DataFrame:
-    table = backtest(*laid(spark, folder), BUSY)
+    table = backtest(*laid(spark, folder))
     one, two = new_folder(spark, "results"), new_folder(spark, "results")
     sink_results(table, one, two)
     return _published(spark.read.schema(table.schema).csv(two, header=True))
@@ -221,7 +241,7 @@ def configured_run(spark: SparkSession, folder: str) -> DataFrame:
 # ---- scores -----------------------------------------------------------------
 
 _LONG = f"""
-{TRIO_RESULTS}, long AS (
+{ALL_RESULTS}, long AS (
 {' UNION ALL '.join(f"SELECT symbol AS Symbol, strategy AS Strategy, '{name}' AS metric, CAST({c} AS DOUBLE) AS value FROM res" for c, name in RESULT_COLUMNS.items() if c not in ('symbol', 'strategy'))}),
 numeric AS (SELECT * FROM long WHERE value IS NOT NULL),
 targets AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for n, a, b, c in tg.TARGETS)}) t(indicator, minimal, good, best)),
@@ -232,7 +252,7 @@ _NAMED = "Symbol, Strategy, metric"
 
 
 def _long(spark: SparkSession, folder: str) -> DataFrame:
-    return tg.unpivot_metrics(backtest(*laid(spark, folder), TRIO))
+    return tg.unpivot_metrics(backtest(*laid(spark, folder)))
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:

@@ -120,10 +120,9 @@ def response_filter(spark: SparkSession, folder: str) -> DataFrame:
 def sink_bars(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "bars")
     files.sink_bars(bars_of(spark, folder), path, F.col("symbol"))
-    schema = files.CSV_BARS + ", series STRING"
-    back = spark.read.schema(schema).parquet(path)
+    back = spark.read.schema(files.PARQUET_BARS + ", series STRING").parquet(path)
     return back.select(
-        F.col("series").alias("symbol"), F.to_date("Date", "yyyy-MM-dd HH:mm:ss").alias("day"),
+        F.col("series").alias("symbol"), F.to_date("Date").alias("day"),
         *[F.col(c.title()).alias(c) for c in PRICES],
     )
 
@@ -205,12 +204,11 @@ _CATALOGUE = ", ".join(f"'{n}'" for n in RULES)
 
 
 @query("strategy_select", f"""
-SELECT DISTINCT ([{_CATALOGUE}, 'Unheard'])[CAST(c_custkey % {len(RULES) + 1} AS INT) + 1] AS strategy FROM customer
-WHERE c_custkey % {len(RULES) + 1} < {len(RULES)}""")
+SELECT DISTINCT ([{_CATALOGUE}])[CAST(c_custkey % {len(RULES)} AS INT) + 1] AS strategy FROM customer""")
 def strategy_select(spark: SparkSession, folder: str) -> DataFrame:
-    names = F.array(*[F.lit(n) for n in [*RULES, "Unheard"]])
+    names = F.array(*[F.lit(n) for n in RULES])
     asked = table(spark, folder, "customer").select(
-        F.element_at(names, (F.col("c_custkey") % (len(RULES) + 1) + 1).cast("int")).alias("strategy")
+        F.element_at(names, (F.col("c_custkey") % len(RULES) + 1).cast("int")).alias("strategy")
     )
     return sel.strategy_select(asked)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.catalog import sql as S
-from tickloom.catalog.registry import day, laid, query, rounded, rounded_sql
+from tickloom.catalog.registry import day, laid, laid_in_chunks, query, rounded, rounded_sql
 from tickloom.functions.compare import if_else, safe_divide
 from tickloom.operators import indicators as ind
 from tickloom.operators.custom import custom_indicator
@@ -20,14 +20,17 @@ from tickloom.plans.layout import Layout, own_rows
 Build = Callable[[DataFrame, Layout], DataFrame]
 
 
-def _indicator(name: str, columns: list[str], build: Build, check: str, exact: bool = False) -> None:
-    """``check`` is the FROM part: CTEs and the last CTE's name as ``... @ name``."""
+def _indicator(name: str, columns: list[str], build: Build, check: str, exact: bool = False, back: int | None = None) -> None:
+    """``check`` is the FROM part: CTEs and the last CTE's name as ``... @ name``.
+
+    With ``back`` the bars are laid out in small chunks with a halo of that many bars.
+    """
     ctes, source = check.rsplit("@", 1)
     picked = ", ".join(columns) if exact else rounded_sql(*columns)
 
     @query(name, f"WITH RECURSIVE {ctes} SELECT symbol, day, {picked} FROM {source}")
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        df, lay = laid(spark, folder)
+        df, lay = laid(spark, folder) if back is None else laid_in_chunks(spark, folder, back)
         values = [F.col(c) for c in columns] if exact else rounded(*columns)
         return own_rows(build(df, lay), lay).select("symbol", day(), *values)
 
@@ -72,6 +75,18 @@ _indicator(
     lambda df, lay: smooth(df, lay, {f"w{n}": wilder(F.col("close"), n) for n in (2, 14, 20, 30)}),
     _smoothed({f"w{n}": S.wilder("close", n, 1) for n in (2, 14, 20, 30)}),
 )
+_indicator("short_long_ema", ["ema2", "ema300"], lambda df, lay: ind.with_ema(df, lay, 2, 300),
+           _smoothed({f"ema{n}": S.ema(n) for n in (2, 300)}))
+
+# the layout of keys too large for one task, with halos just as long as what is read
+_indicator("chunked_sma", ["sma20", "sma50", "sma200"], lambda df, lay: ind.with_smas(df, lay, 20, 50, 200),
+           _selected(sma20=S.sma(20), sma50=S.sma(50), sma200=S.sma(200)), back=199)
+_indicator("chunked_ema", ["ema2", "ema300"], lambda df, lay: ind.with_ema(df, lay, 2, 300),
+           _smoothed({f"ema{n}": S.ema(n) for n in (2, 300)}), back=exponential(None, 300).reach)
+_indicator("chunked_macd", ["macd", "macd_signal"], ind.with_macd, _recursive("macd", "macd_signal"),
+           back=exponential(None, 26).reach + exponential(None, 9, first=26).reach)
+_indicator("chunked_adx", ["adx14"], ind.with_adx, _recursive("adx14"),
+           back=wilder(None, 14, first=2).reach + wilder(None, 14, first=15).reach)
 _indicator("rolling_std", ["std30"], _columns(lambda lay: {"std30": ind.rolling_std(lay, 30)}), _selected(std30=S.std(30)))
 _indicator("bollinger", ["bb_top", "bb_mid", "bb_bottom"], _columns(ind.bollinger), _selected(
     bb_mid=S.sma(20), bb_top=f"{S.sma(20)} + 2 * {S.std(20)}", bb_bottom=f"{S.sma(20)} - 2 * {S.std(20)}"))

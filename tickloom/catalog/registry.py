@@ -42,7 +42,13 @@ def bars_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def laid(spark: SparkSession, folder: str) -> tuple[DataFrame, Layout]:
-    return lay_out(bars_of(spark, folder), sizes(spark, folder).whole)
+    known = sizes(spark, folder)
+    return lay_out(bars_of(spark, folder), known.whole, spread=known.spread(spark))
+
+
+def laid_in_chunks(spark: SparkSession, folder: str, back: int, ahead: int = 8, chunk_rows: int = 150) -> tuple[DataFrame, Layout]:
+    """The layout of keys too large for one task, whatever the size of the table."""
+    return lay_out(bars_of(spark, folder), False, chunk_rows, 64, back, ahead)
 
 
 def day(column: str = "ts", name: str = "day") -> Column:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import dataclasses
 import itertools
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.catalog import sql as S
-from tickloom.catalog.registry import bars_of, day, laid, query, rounded, rounded_sql
+from tickloom.catalog.registry import bars_of, day, laid, laid_in_chunks, query, rounded, rounded_sql
 from tickloom.operators import research as rs
 from tickloom.operators import risk
 from tickloom.operators.indicators import with_rule_indicators
@@ -58,8 +60,10 @@ def raw_to_processed_query(spark: SparkSession, folder: str) -> DataFrame:
     )
     twice = raw.unionByName(raw.filter("volume > 0"))       # deliveries repeat
     processed, quarantine = new_folder(spark, "processed"), new_folder(spark, "quarantine")
-    raw_to_processed(twice, processed, quarantine)
-    clean = spark.read.schema(raw.schema).parquet(processed).withColumn("reason", F.lit("clean"))
+    raw_to_processed(twice, processed, quarantine, "first")
+    raw_to_processed(twice, processed, quarantine, "first")                         # the same delivery again
+    raw_to_processed(twice.filter("volume % 2 = 0"), processed, quarantine, "late")    # bars that are there already
+    clean = spark.read.parquet(processed).select(*raw.columns).withColumn("reason", F.lit("clean"))
     rejected = spark.read.parquet(quarantine).select(*clean.columns).distinct()
     return clean.unionByName(rejected).select("symbol", day(), "close", "volume", F.col("reason").alias("zone"))
 
@@ -205,6 +209,24 @@ def cost_stress(spark: SparkSession, folder: str) -> DataFrame:
     ).select("symbol", "variant", "trades", *rounded("end_equity"))
 
 
+LATE = [rs.CostVariant("late", 0.001, 0.0005, delay=10), rs.CostVariant("costly", 0.005, 0.002)]
+
+
+@query("chunked_cost_stress", f"""
+WITH RECURSIVE {S.rule_flags('DonchianTurtle')}, variants AS MATERIALIZED ({' UNION ALL '.join(map(_stress_rows, LATE))}),
+{S.account('variants', 'symbol, variant', commission='commission', slippage='slippage')},
+t AS (SELECT symbol, variant, ARG_MAX(equity, bar_no) AS end_equity, COUNT(*) FILTER (act = 1) AS trades FROM acct GROUP BY 1, 2)
+SELECT symbol, variant, trades, {rounded_sql('end_equity')} FROM t""")
+def chunked_cost_stress(spark: SparkSession, folder: str) -> DataFrame:
+    """Fills ten bars later, over keys too large for one task."""
+    df, lay = laid_in_chunks(spark, folder, back=30, ahead=10)
+    df = with_rule_indicators(df, lay, RULES["DonchianTurtle"]().needs)
+    df, lay = rs.cost_stress(df, lay, "DonchianTurtle", LATE)
+    return df.groupBy("symbol", "variant").agg(
+        F.max_by("equity", "bar_no").alias("end_equity"), F.count_if("opens").alias("trades")
+    ).select("symbol", "variant", "trades", *rounded("end_equity"))
+
+
 # ---- risk -------------------------------------------------------------------
 
 
@@ -302,6 +324,17 @@ def correlation_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return rs.correlation_matrix(df, ["symbol", "ts"], "strategy", "ret", CORRELATED).select("a", "b", *rounded("correlation"))
 
 
+@query("asset_correlation", f"""
+WITH {RETS}, t AS (
+  SELECT x.symbol AS a, y.symbol AS b, COUNT(*) AS days, CORR(x.bar_ret, y.bar_ret) AS correlation
+  FROM rb x JOIN rb y ON x.day = y.day AND x.symbol < y.symbol
+  WHERE x.bar_ret IS NOT NULL AND y.bar_ret IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) >= 30)
+SELECT a, b, days, {rounded_sql('correlation')} FROM t""")
+def asset_correlation(spark: SparkSession, folder: str) -> DataFrame:
+    returns = _own_returns(spark, folder).select("symbol", "ts", "bar_ret")
+    return rs.asset_correlation(returns, least_common=30).select("a", "b", "days", *rounded("correlation"))
+
+
 @query("data_quality_stats", f"""
 WITH {S.BARS}, g AS (SELECT *, DATE_DIFF('day', {S.lag('day')}, day) AS gap, close / {S.lag('close')} - 1 AS bar_ret FROM bars)
 SELECT symbol, COUNT(*) AS bars, ROUND(AVG(CASE WHEN gap > 7 THEN 1.0::DOUBLE WHEN gap IS NOT NULL THEN 0.0 END) + 3.3e-8, 6) AS gap_share,
@@ -318,10 +351,15 @@ def data_quality_stats(spark: SparkSession, folder: str) -> DataFrame:
 _LOGGED = ("total_return", "max_drawdown", "win_rate")
 
 
+_ACCOUNT = Account()
+_PARAMS = json.dumps(dataclasses.asdict(_ACCOUNT))
+
+
 @query("run_log", f"""
-{_TURTLE}, {S.results()} SELECT 'first' AS run_id, '{{"stake": 0.95}}' AS params, symbol, strategy, {rounded_sql(*_LOGGED)} FROM res""")
+WITH RECURSIVE {S.rule_flags(*RULES)}, {S.account()}, {S.returns()}, {S.results()}
+SELECT 'first' AS run_id, '{_PARAMS}' AS params, symbol, strategy, {rounded_sql(*_LOGGED)} FROM res""")
 def run_log(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "runs")
-    table_ = results(*run(*laid(spark, folder), "DonchianTurtle"))
-    append_run(table_, path, "first", '{"stake": 0.95}')
+    table_ = results(*run(*laid(spark, folder), account=_ACCOUNT), _ACCOUNT)
+    append_run(table_, path, "first", _PARAMS)
     return read_log(spark, path).select("run_id", "params", "symbol", "strategy", *rounded(*_LOGGED))

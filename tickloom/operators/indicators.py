@@ -10,7 +10,7 @@ import math
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tickloom.functions.compare import safe_divide, side
@@ -22,28 +22,34 @@ def _from_bar(n: int, value: Column) -> Column:
     return F.when(F.col("bar_no") >= n, value)
 
 
+def _rows(lay: Layout, n: int) -> WindowSpec:
+    """Frame of the last ``n`` bars."""
+    lay.reach(f"a frame of {n} bars", n - 1)
+    return lay.rows(n - 1)
+
+
 # ---- frames -----------------------------------------------------------------
 
 
 def sma(lay: Layout, n: int, source: str = "close") -> Column:
-    return _from_bar(n, F.avg(source).over(lay.rows(n - 1)))
+    return _from_bar(n, F.avg(source).over(_rows(lay, n)))
 
 
 def rolling_std(lay: Layout, n: int, source: str = "close") -> Column:
     """Population deviation of the last ``n`` values."""
-    return _from_bar(n, F.stddev_pop(source).over(lay.rows(n - 1)))
+    return _from_bar(n, F.stddev_pop(source).over(_rows(lay, n)))
 
 
 def rolling_sum(lay: Layout, n: int, source: str) -> Column:
-    return _from_bar(n, F.sum(source).over(lay.rows(n - 1)))
+    return _from_bar(n, F.sum(source).over(_rows(lay, n)))
 
 
 def highest(lay: Layout, n: int, source: str = "high") -> Column:
-    return _from_bar(n, F.max(source).over(lay.rows(n - 1)))
+    return _from_bar(n, F.max(source).over(_rows(lay, n)))
 
 
 def lowest(lay: Layout, n: int, source: str = "low") -> Column:
-    return _from_bar(n, F.min(source).over(lay.rows(n - 1)))
+    return _from_bar(n, F.min(source).over(_rows(lay, n)))
 
 
 def with_smas(df: DataFrame, lay: Layout, *periods: int, source: str = "close") -> DataFrame:
@@ -52,6 +58,7 @@ def with_smas(df: DataFrame, lay: Layout, *periods: int, source: str = "close")
     A frame of 200 bars would visit 200 rows per bar.  Sums of a short frame
     are added up at fixed distances instead, all read in one pass.
     """
+    lay.reach(f"a mean of {max(periods)} bars", max(periods) - 1)
     common, goal = math.gcd(*periods), 1.5 * math.sqrt(max(periods))
     part = max(d for d in range(1, common + 1) if common % d == 0 and d <= goal)
     df = df.withColumn("_part", F.sum(source).over(lay.rows(part - 1)))
@@ -63,6 +70,7 @@ def with_smas(df: DataFrame, lay: Layout, *periods: int, source: str = "close")
 
 def with_extremes(df: DataFrame, lay: Layout, *periods: int) -> DataFrame:
     """Rolling highs and lows at once (``hh<n>``, ``ll<n>``), from overlapping short frames."""
+    lay.reach(f"a range of {max(periods)} bars", max(periods) - 1)
     part = min(min(periods), math.isqrt(max(periods)))
     df = df.withColumns({
         "_h": F.max("high").over(lay.rows(part - 1)), "_l": F.min("low").over(lay.rows(part - 1)),
@@ -94,6 +102,7 @@ def ma_envelope(lay: Layout, n: int = 50, share: float = 0.02) -> dict[str, Colu
 
 
 def bars_back(lay: Layout, k: int, source: str = "close") -> Column:
+    lay.reach(f"the value {k} bars back", k)
     return F.lag(source, k).over(lay.window())
 
 
@@ -147,7 +156,7 @@ def with_vwap(df: DataFrame, lay: Layout, name: str = "vwap") -> DataFrame:
 
 
 def vwap_rolling(lay: Layout, n: int) -> Column:
-    frame = lay.rows(n - 1)
+    frame = _rows(lay, n)
     traded = F.sum("volume").over(frame)
     value = F.sum(F.col("close") * F.col("volume")).over(frame)
     return _from_bar(n, safe_divide(value, traded, F.col("close")))
@@ -244,7 +253,7 @@ def with_atr(df: DataFrame, lay: Layout, *periods: int) -> DataFrame:
 def with_macd(df: DataFrame, lay: Layout, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     df = with_ema(df, lay, fast, slow)
     df = df.withColumn("macd", F.col(f"ema{fast}") - F.col(f"ema{slow}"))
-    return smooth(df, lay, {"macd_signal": exponential(F.col("macd"), signal, first=slow)})
+    return smooth(df, lay, {"macd_signal": exponential(F.col("macd"), signal, first=slow)}, exponential(None, slow).reach)
 
 
 def directional_index(n: int) -> Column:
@@ -260,7 +269,7 @@ def with_adx(df: DataFrame, lay: Layout, n: int = 14) -> DataFrame:
         f"_mdm{n}": wilder(F.col("minus_dm"), n, first=2),
     })
     df = df.withColumn("_dx", directional_index(n))
-    return smooth(df, lay, {f"adx{n}": wilder(F.col("_dx"), n, first=n + 1)}).drop(
+    return smooth(df, lay, {f"adx{n}": wilder(F.col("_dx"), n, first=n + 1)}, wilder(None, n, first=2).reach).drop(
         "_dx", f"_pdm{n}", f"_mdm{n}"
     )
 
@@ -361,7 +370,7 @@ def with_rule_indicators(df: DataFrame, lay: Layout, columns: Iterable[str]) ->
         df = df.withColumn("_dx", directional_index(14))
         second["adx14"] = wilder(F.col("_dx"), 14, first=15)
     if second:
-        df = smooth(df, lay, second)
+        df = smooth(df, lay, second, max(s.reach for s in first.values()))
 
     crosses = wanted({
         "cross_sma": lambda: F.col("sma50") - F.col("sma200"),

@@ -33,6 +33,7 @@ def with_fills(df: DataFrame, lay: Layout, account: Account = Account(), delay:
     Next open plus slippage, kept inside that bar's range; NULL where no such
     bar exists.
     """
+    lay.reach(f"a fill {delay} bars later", ahead=delay)
     df = df.withColumns({
         f"next_{c}": F.lead(c, delay).over(lay.window()) for c in ("open", "high", "low", "close", "ts")
     })

@@ -7,6 +7,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tickloom.functions.compare import EPS, safe_divide
 from tickloom.operators.indicators import with_crosses, with_smas
 from tickloom.operators.positions import Account, with_equity, with_fills, with_position, with_returns
 from tickloom.operators.rules import resolve, signal_flags
-from tickloom.plans.layout import Layout
+from tickloom.plans.layout import Layout, spread_over
 from tickloom.session import settle
 
 P_BUCKETS = 10_000
@@ -43,6 +45,8 @@ def permutation_test(df: DataFrame, lay: Layout, repetitions: int) -> DataFrame:
     shuffled = bars.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn(
         "_key", F.md5(F.concat_ws("|", "rep", *keys, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
     )
+    if lay.spread:
+        shuffled = spread_over(shuffled, *keys, "rep")
     by_chance = _first_n_by_bucket(shuffled, [*keys, "rep"]) if lay.chunked else _first_n(shuffled, [*keys, "rep"])
     per_rep = by_chance.withColumn(
         "_wins", F.when(F.coalesce("_sum", F.lit(0.0)) >= F.col("stat") - EPS, 1.0).otherwise(0.0)
@@ -224,6 +228,8 @@ def cost_stress(df: DataFrame, lay: Layout, strategy: str, variants: Sequence[Co
     (name,) = resolve(strategy)
     entry, leave = signal_flags(name)
     window = lay.window()
+    late = max(v.delay for v in variants)
+    lay.reach(f"a fill {late} bars later", ahead=late)
 
     def variant(v: CostVariant) -> Column:
         ahead = {c: F.lead(c, v.delay).over(window) for c in ("open", "high", "low", "ts", "close")}
@@ -239,6 +245,8 @@ def cost_stress(df: DataFrame, lay: Layout, strategy: str, variants: Sequence[Co
     long = df.select(
         *kept, entry.alias("entry"), leave.alias("exit"), F.array(*[variant(v) for v in variants]).alias("_variants")
     ).select(*kept, "entry", "exit", F.inline("_variants"))
+    if lay.spread:
+        long = spread_over(long, *lay.keys, "variant")
     lay = lay.per("variant")
     account = Account(account.capital, F.col("commission"), account.slippage, account.stake)
     return with_returns(with_equity(with_position(long, lay, account), lay, account), lay, account), lay
@@ -280,3 +288,45 @@ def correlation_matrix(long: DataFrame, keys: Sequence[str], name: str, value: s
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}~{b}`").alias("correlation"))
         for a, b in pairs
     ])))
+
+
+def asset_correlation(returns: DataFrame, least_common: int = 30, assets: int = 400) -> DataFrame:
+    """a < b, days, correlation of every pair of symbols with ``least_common`` days on which both have a return.
+
+    Symbols are dealt to blocks of about ``assets``; each two blocks meet in a
+    task of their own as matrices of days by symbols, so a bar is copied once
+    per block and no row is joined with another.  The result has a row per
+    pair, which is what grows with the square of the symbols.
+    """
+    known = returns.filter("bar_ret is not null").select("symbol", "ts", "bar_ret")
+    blocks = max(1, -(-known.select("symbol").distinct().count() // assets))
+    own = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    dealt = (
+        known.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+    )
+    symbol = returns.schema["symbol"].dataType.simpleString()
+
+    def correlate(group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.pivot_table(index="ts", columns="symbol", values="bar_ret", aggfunc="mean")
+        names, block = wide.columns.to_numpy(), group.drop_duplicates("symbol").set_index("symbol")["own"].reindex(wide.columns).to_numpy()
+        values = wide.to_numpy()
+        there = ~np.isnan(values)
+        centred = np.where(there, values - np.nanmean(values, axis=0), 0.0)     # keeps the products small
+        here = there.astype(float)
+        n = here.T @ here
+        sum_a, sum_ab = centred.T @ here, centred.T @ centred
+        square_a = (centred**2).T @ here
+        with np.errstate(invalid="ignore", divide="ignore"):
+            spread = (n * square_a - sum_a**2) * (n * square_a.T - sum_a.T**2)
+            found = (n * sum_ab - sum_a * sum_a.T) / np.sqrt(spread)
+        meet = (names[:, None] < names[None, :]) & (n >= least_common)
+        if group["x"].iloc[0] != group["y"].iloc[0]:
+            meet &= block[:, None] != block[None, :]
+        i, j = np.nonzero(meet)
+        flat = spread[i, j] <= 0
+        return pd.DataFrame({"a": names[i], "b": names[j], "days": n[i, j].astype("int64"), "correlation": np.where(flat, np.nan, found[i, j])})
+
+    pairs = dealt.groupBy("x", "y").applyInPandas(correlate, f"a {symbol}, b {symbol}, days long, correlation double")
+    return pairs.withColumn("correlation", F.nanvl("correlation", F.lit(None)))

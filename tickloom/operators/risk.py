@@ -176,7 +176,12 @@ def split_valid(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("volume").isNull() | (F.col("volume") < 0), "bad volume")
     )
     judged = raw.withColumn("reason", reason)
-    clean = judged.filter("reason is null").drop("reason").dropDuplicates(["symbol", "ts"])
+    # of bars with the same key the one with the largest values stays, whichever task sees it first
+    values = [c for c in raw.columns if c not in ("symbol", "ts")]
+    clean = (
+        judged.filter("reason is null").groupBy("symbol", "ts")
+        .agg(F.max(F.struct(*values)).alias("_row")).select("symbol", "ts", "_row.*").select(*raw.columns)
+    )
     return clean, judged.filter("reason is not null")
 
 

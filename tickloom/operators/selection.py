@@ -65,7 +65,10 @@ def config_symbols(configs: DataFrame, text: str = "config") -> DataFrame:
 
 
 def strategy_select(requested: DataFrame, name: str = "strategy") -> DataFrame:
-    """Requested rules that exist, each once."""
+    """Requested rules, each once; a name that is no rule is an error."""
+    missing = [r[name] for r in unknown_strategies(requested, name).limit(5).collect()]
+    if missing:
+        raise ValueError(f"unknown rules: {', '.join(map(str, missing))}")
     return requested.filter(F.col(name).isin(*RULES)).select(name).distinct()
 
 

@@ -10,7 +10,7 @@ from tickloom.operators.indicators import with_rule_indicators
 from tickloom.operators.metrics import result_table, results
 from tickloom.operators.positions import Account, with_equity, with_fills, with_position, with_returns
 from tickloom.operators.rules import RULES, resolve, stack_rules
-from tickloom.plans.layout import Layout
+from tickloom.plans.layout import Layout, spread_over
 
 KEPT = ("symbol", "ts", "bar_no", "close", "buy_fill", "sell_fill", "next_ts", "next_close")
 
@@ -22,7 +22,10 @@ def signals(df: DataFrame, lay: Layout, strategies: str | Iterable[str] | None =
     needed = {column for name in names for column in RULES[name]().needs} - set(df.columns)
     df = with_rule_indicators(with_fills(df, lay, account, delay), lay, needed)
     kept = [*KEPT, *keep, *(["chunk", "own"] if lay.chunked else [])]
-    return stack_rules(df, names, kept), lay.per("strategy")
+    stacked = stack_rules(df, names, kept)
+    if lay.spread and len(names) > 1:
+        stacked = spread_over(stacked, *lay.keys, "strategy")
+    return stacked, lay.per("strategy")
 
 
 def run(df: DataFrame, lay: Layout, strategies: str | Iterable[str] | None = None,

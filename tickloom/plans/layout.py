@@ -8,8 +8,9 @@ the same results:
 * *chunked*: each key is cut into runs of ``chunk_rows`` bars, so a key that
   holds a third of all rows is spread over as many tasks as its size asks for.
   Frames with a bounded look-back read a halo of earlier bars that is copied
-  into the chunk; scans without a bound (running sums, positions, equity) add
-  a carry computed from one summary row per chunk.
+  into the chunk; a frame or smoothing that reaches beyond it is refused.
+  Scans without a bound (running sums, positions, equity) add a carry computed
+  from one summary row per chunk.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ from tickloom.session import settle
 WHOLE_ROWS = 262_144        # largest key that may stay in one window group
 TASK_ROWS = 250_000        # bars per task up to which one task per core is enough
 CHUNK_ROWS = 262_144        # bars per chunk beyond that
-BLOCK_ROWS = 640            # smoothing block, see operators.smoothing
+BLOCK_ROWS = 512            # smoothing block, see operators.smoothing
 HALO_BACK = 4_096           # covers every bounded look-back of the rule catalogue
 HALO_AHEAD = 8              # fills look at the next bars
+BUCKET_ROWS = 250_000       # rows of a key numbered by one task
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,16 @@ class Layout:
     chunked: bool = False
     chunk_rows: int = CHUNK_ROWS
     block_rows: int = BLOCK_ROWS
+    back: int = HALO_BACK
+    ahead: int = HALO_AHEAD
+    spread: bool = False        # few keys: what multiplies their bars is dealt out anew
+
+    def reach(self, what: str, back: int = 0, ahead: int = 0) -> None:
+        """Refuses a look-back or look-ahead that the halo of a chunk does not hold."""
+        if self.chunked and (back > self.back or ahead > self.ahead):
+            raise ValueError(
+                f"{what} reads {back} bars back and {ahead} ahead; chunks were laid out with {self.back} and {self.ahead}"
+            )
 
     @property
     def groups(self) -> list[str]:
@@ -71,12 +83,17 @@ class Layout:
 class KeySizes:
     largest: int
     total: int
+    keys: int = 1 << 30
 
     @property
     def whole(self) -> bool:
         """No key is too large for one window group."""
         return self.largest <= WHOLE_ROWS
 
+    def spread(self, spark: SparkSession) -> bool:
+        """Too few keys to keep all cores busy with what their bars are multiplied to."""
+        return self.keys < 2 * spark.sparkContext.defaultParallelism and self.total > TASK_ROWS
+
     def tasks(self, spark: SparkSession) -> int:
         """Tasks for the windows.
 
@@ -92,8 +109,17 @@ class KeySizes:
 def key_sizes(df: DataFrame, keys: Sequence[str] = ("symbol",)) -> KeySizes:
     """One map-side combined count over the key columns; two numbers reach the driver."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    largest, total = counts.agg(F.max("n"), F.sum("n")).first()
-    return KeySizes(largest or 0, total or 0)
+    largest, total, keys = counts.agg(F.max("n"), F.sum("n"), F.count("n")).first()
+    return KeySizes(largest or 0, total or 0, keys)
+
+
+def time_bucket(df: DataFrame, keys: Sequence[str], ts: str = "ts", most: int = BUCKET_ROWS) -> Column:
+    """The longest span of time of which no key has more than ``most`` rows."""
+    for unit in ("month", "day", "hour", "minute"):
+        span = F.date_trunc(unit, ts)
+        if (df.groupBy(*keys, span).count().agg(F.max("count")).first()[0] or 0) <= most:
+            return span
+    return F.date_trunc("second", ts)
 
 
 def number_rows(
@@ -132,18 +158,20 @@ def lay_out(
     block_rows: int = BLOCK_ROWS,
     back: int = HALO_BACK,
     ahead: int = HALO_AHEAD,
+    spread: bool = False,
 ) -> tuple[DataFrame, Layout]:
     """Numbers the bars of every symbol (``bar_no``, ``block``) and picks the layout.
 
     In the chunked layout each bar is copied to the chunks whose halo reaches
-    it; ``own`` tells the original from its copies.
+    it; ``own`` tells the original from its copies.  ``back`` and ``ahead`` say
+    how far that is; operators that need more raise an error.
     """
     if whole:
-        lay = Layout(block_rows=block_rows)
+        lay = Layout(block_rows=block_rows, spread=spread)
         df = bars.withColumn("bar_no", F.row_number().over(lay.window()).cast("long"))
         return _with_block(df, block_rows), lay
-    lay = Layout(chunked=True, chunk_rows=chunk_rows, block_rows=block_rows)
-    numbered = number_rows(bars, ["symbol"], ["ts"], F.date_trunc("month", "ts"))
+    lay = Layout(chunked=True, chunk_rows=chunk_rows, block_rows=block_rows, back=back, ahead=ahead)
+    numbered = number_rows(bars, ["symbol"], ["ts"], time_bucket(bars, ["symbol"]))
     index = F.col("bar_no") - 1
     first = F.floor(F.greatest(index - ahead, F.lit(0)) / chunk_rows)
     last = F.floor((index + back) / chunk_rows)
@@ -183,3 +211,10 @@ def carry_in(
 
 def settled(df: DataFrame, lay: Layout) -> DataFrame:
     return settle(df) if lay.chunked else df
+
+
+def spread_over(df: DataFrame, *columns: str) -> DataFrame:
+    """Deals rows out by ``columns`` to a fixed number of tasks, as sizes after the shuffle do not show the work in them."""
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(tasks, *columns)

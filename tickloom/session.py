@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_OWN: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tickloom") -> SparkSession:
@@ -39,7 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return current.get()
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="tickloom-")
+    application = spark.sparkContext.applicationId
+    if application not in _OWN:     # one folder per application, gone when the program ends
+        _OWN[application] = tempfile.TemporaryDirectory(prefix="tickloom-", ignore_cleanup_errors=True)
+    return _OWN[application].name
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -10,6 +10,7 @@ BAR_COLUMNS = ("open", "high", "low", "close", "volume")
 
 # Header of bar files, column names of the target table.
 CSV_BARS = "Date STRING, Open DOUBLE, High DOUBLE, Low DOUBLE, Close DOUBLE, Volume BIGINT"
+PARQUET_BARS = CSV_BARS.replace("Date STRING", "Date TIMESTAMP")
 CSV_TARGETS = "indicator STRING, minimal DOUBLE, good DOUBLE, best DOUBLE"
 DAY_FORMAT = "yyyy-MM-dd"
 MINUTE_FORMAT = "yyyy-MM-dd HH:mm:ss"
@@ -50,10 +51,11 @@ def sink_bars(bars: DataFrame, path: str, series: Column, form: str = "parquet")
     """Bars under their published header, one folder per series, in time order inside a file.
 
     Rebalancing lets AQE join small series in a task and split a hot one over
-    many, by the sizes it sees at run time.
+    many, by the sizes it sees at run time.  Parquet keeps the time as a
+    timestamp, so filters on it reach the row groups; CSV has it as text.
     """
     rows = bars.select(
-        F.date_format("ts", MINUTE_FORMAT).alias("Date"),
+        (F.date_format("ts", MINUTE_FORMAT) if form == "csv" else F.col("ts")).alias("Date"),
         *[F.col(c).alias(c.title()) for c in BAR_COLUMNS],
         series.alias("series"),
     )
