@@ -20,7 +20,7 @@ from tickloom.session import new_folder
 from tickloom.sources.files import sink_results
 
 BUSY = "DonchianTurtle"     # trades often, so every account operator has work
-CHUNK_BACK = 1_300          # look-back of the rule catalogue; a shorter halo is refused
+CHUNK_BACK = 1_700          # look-back of the rule catalogue; a shorter halo is refused
 FLAGS = f"WITH RECURSIVE {S.rule_flags(BUSY)}"
 ACCOUNT = f"{FLAGS}, {S.account()}"
 RETURNS = f"{ACCOUNT}, {S.returns()}"
