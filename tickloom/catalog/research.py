@@ -17,6 +17,7 @@ from tickloom.operators.indicators import with_rule_indicators
 from tickloom.operators.metrics import results
 from tickloom.operators.positions import Account, trade_terms
 from tickloom.operators.rules import RULES
+from tickloom.operators.variants import Variant, best_variants, grid, sweep, total_returns
 from tickloom.plans.backtest import run
 from tickloom.plans.layout import Layout, own_rows
 from tickloom.plans.log import append_run, read_log
@@ -180,6 +181,47 @@ def parameter_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return rs.best_parameters(df).select("symbol", "fast", "slow", *rounded("total_return"))
 
 
+_COLUMNS = "symbol, {key}, day, bar_no, open, high, low, close"
+_TOTALS = "SELECT symbol, params, LN(ARG_MAX(equity, bar_no) / 1000.0) AS total_return, COUNT(*) FILTER (act = 1) AS trades FROM acct GROUP BY 1, 2"
+_OTHER_CROSS = Variant("GoldenCross", (("fast", 20), ("slow", 100)))
+
+
+@query("rule_parameters", f"""
+WITH RECURSIVE {S.BARS}, ind AS MATERIALIZED (SELECT *, {S.sma(20)} AS sma20, {S.sma(100)} AS sma100 FROM bars),
+{S.crosses('ind', 'crossed', {'x': 'sma20 - sma100'})},
+flags AS MATERIALIZED (SELECT {_COLUMNS.format(key=f"'{_OTHER_CROSS.label}' AS params")}, COALESCE(x = 1, FALSE) AS entry, COALESCE(x = -1, FALSE) AS exit FROM crossed),
+{S.account(keys='symbol, params')}, totals AS ({_TOTALS})
+SELECT symbol, params, trades, {rounded_sql('total_return')} FROM totals""")
+def rule_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    """A golden cross of other means."""
+    df, _ = sweep(*laid(spark, folder), [Variant.of("GoldenCross", fast=20, slow=100)])
+    traded = df.groupBy("symbol", "params").agg(F.count_if("opens").alias("trades"))
+    return total_returns(df).join(traded, ["symbol", "params"]).select("symbol", "params", "trades", *rounded("total_return"))
+
+
+_CHANNELS = grid("DonchianTurtle", period=(10, 20, 55))
+
+
+def _channel_rows(v: Variant) -> str:
+    n = dict(v.params)["period"]
+    before = f"(PARTITION BY symbol ORDER BY bar_no ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+    known = f"bar_no > {n} AND"
+    return (
+        f"SELECT {_COLUMNS.format(key=f'{chr(39)}{v.label}{chr(39)} AS params')}, {known} close >= MAX(high) OVER {before} - 1e-9 AS entry, "
+        f"{known} close <= MIN(low) OVER {before} + 1e-9 AS exit FROM bars"
+    )
+
+
+@query("channel_sweep", f"""
+WITH RECURSIVE {S.BARS}, flags AS MATERIALIZED ({' UNION ALL '.join(map(_channel_rows, _CHANNELS))}),
+{S.account(keys='symbol, params')}, totals AS ({_TOTALS}),
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY ROUND(total_return, 9) DESC, params) AS rn FROM totals)
+SELECT symbol, params, {rounded_sql('total_return')} FROM best WHERE rn = 1""")
+def channel_sweep(spark: SparkSession, folder: str) -> DataFrame:
+    df, _ = sweep(*laid(spark, folder), _CHANNELS)
+    return best_variants(df).select("symbol", "params", *rounded("total_return"))
+
+
 STRESS = [
     rs.CostVariant("base", 0.001, 0.0005), rs.CostVariant("costly", 0.005, 0.002),
     rs.CostVariant("late", 0.001, 0.0005, delay=2),
