@@ -50,3 +50,19 @@ def test_table_stream_has_watermark(spark, tmp_path):
     df.write.parquet(str(tmp_path / "t"))
     stream = stream_table(spark, str(tmp_path / "t"), df.schema)
     assert stream.isStreaming and run_to_table(stream, "copy").select(F.count("*")).first()[0] == 1
+
+
+def test_positions_of_a_batch_against_a_loop():
+    import numpy as np
+
+    from tickloom.streaming.positions import _after
+
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        n = rng.integers(0, 12)
+        entry, leave, start = rng.random(n) < 0.4, rng.random(n) < 0.4, int(rng.integers(0, 2))
+        pos, wanted = start, []
+        for e, x in zip(entry, leave):
+            pos = 1 if pos == 0 and e else 0 if pos == 1 and x else pos
+            wanted.append(pos)
+        assert _after(start, entry, leave).tolist() == wanted

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,6 +13,16 @@ OUTPUT = "symbol string, ts timestamp, price double, pos int"
 STATE = "pos int, ts array<long>, price array<double>, entry array<boolean>, exit array<boolean>"
 
 
+def _after(start: int, entry: np.ndarray, leave: np.ndarray) -> np.ndarray:
+    """Position after each row: an entry sets it, an exit clears it, both at once turn it."""
+    switch = entry != leave
+    last = np.maximum.accumulate(np.where(switch, np.arange(len(entry)), -1))
+    flips = np.cumsum(entry & leave)
+    known = last >= 0
+    base = np.where(known, entry[last], start)
+    return (base + flips - np.where(known, flips[last], 0)) % 2
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Holds rows until the watermark has passed them, then applies them in order.
 
@@ -27,18 +38,15 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     ripe = rows["ts"] <= state.getCurrentWatermarkMs() * 1000
     done, rest = rows[ripe], rows[~ripe]
 
-    taken = []
-    for entry, leave in zip(done["entry"], done["exit"]):
-        pos = 1 if pos == 0 and entry else 0 if pos == 1 and leave else pos
-        taken.append(pos)
-    state.update((pos, *[rest[c].tolist() for c in ("ts", "price", "entry", "exit")]))
+    taken = _after(pos, done["entry"].to_numpy(bool), done["exit"].to_numpy(bool))
+    state.update((int(taken[-1]) if len(taken) else pos, *[rest[c].tolist() for c in ("ts", "price", "entry", "exit")]))
     if len(rest):
         earliest = int(rest["ts"].min()) // 1000
         state.setTimeoutTimestamp(max(earliest, state.getCurrentWatermarkMs() + 1))
-    if taken:
+    if len(taken):
         yield pd.DataFrame({
             "symbol": key[0], "ts": pd.to_datetime(done["ts"].to_numpy(), unit="us"),
-            "price": done["price"].to_numpy(), "pos": pd.Series(taken, dtype="int32"),
+            "price": done["price"].to_numpy(), "pos": taken.astype("int32"),
         })
 
 
