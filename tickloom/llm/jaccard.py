@@ -156,7 +156,7 @@ def signatures(tokens: np.ndarray, rare: int) -> np.ndarray:
 
 
 def postings(texts: DataFrame, buckets: int, frequent: Broadcast) -> DataFrame:
-    """Written table of signatures that several sets have: sig, cls, leader (the smallest of the sets)."""
+    """Written table of signatures that several sets have: sig, cls, leader (the smallest of the sets), size and key of the list."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, classes = frequent.value
@@ -187,10 +187,15 @@ def postings(texts: DataFrame, buckets: int, frequent: Broadcast) -> DataFrame:
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         sizes = np.diff(np.r_[starts, len(sig)])
         leader = np.repeat(cls[starts], sizes)
+        members = blobs.spread(np.add.reduceat(blobs.spread(cls.astype("u8")), starts) + sizes.astype("u8")) if len(sig) else cls
         shared = np.repeat(sizes, sizes) > 1
-        return pa.table({"sig": _key(np.full(len(sig), bucket), sig)[shared].astype("i8"), "cls": cls[shared], "leader": leader[shared]})
+        return pa.table({
+            "sig": _key(np.full(len(sig), bucket), sig)[shared].astype("i8"), "cls": cls[shared], "leader": leader[shared],
+            "size": np.repeat(sizes, sizes)[shared].astype("i8"), "members": np.repeat(members, sizes)[shared].astype("i8"),
+        })
 
-    return settled(texts.mapInArrow(send, blobs.SCHEMA).groupBy("bucket").applyInArrow(group, "sig long, cls long, leader long"))
+    schema = "sig long, cls long, leader long, size long, members long"
+    return settled(texts.mapInArrow(send, blobs.SCHEMA).groupBy("bucket").applyInArrow(group, schema))
 
 
 def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,10 +216,10 @@ def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def across(open_: DataFrame, sets: DataFrame, buckets: int, most: int) -> DataFrame:
-    """a > b, more: in each list the ``most`` likeliest pairs between any two components that may be similar.
+    """Written table a > b, sig: in each list the ``most`` likeliest pairs between any two components that may be similar.
 
-    ``open_`` has sig, cls, component; ``more`` marks components between which
-    further pairs were left for another round.  Long lists are cut into parts,
+    ``open_`` has sig, cls, component.  Rows without a pair name the lists in
+    which pairs were left for another round.  Long lists are cut into parts,
     and every two parts meet in a task of their own.
     """
     parts = open_.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
@@ -234,7 +239,8 @@ def across(open_: DataFrame, sets: DataFrame, buckets: int, most: int) -> DataFr
         place = np.stack([table.column(c).to_numpy() for c in ("sig", "x", "y")])
         order = np.lexsort((n, *place[::-1]))
         new = np.flatnonzero(np.r_[True, (place[:, order[1:]] != place[:, order[:-1]]).any(axis=0)])
-        found: dict[tuple[int, int], bool] = {}
+        found: set[tuple[int, int]] = set()
+        again: set[int] = set()
         for s, e in zip(new, np.r_[new[1:], len(order)], strict=True):
             group = order[s:e]
             split = place[1, group[0]] != place[2, group[0]]
@@ -263,17 +269,15 @@ def across(open_: DataFrame, sets: DataFrame, buckets: int, most: int) -> DataFr
             first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
             size = np.diff(np.r_[first, len(i)])
             rank = np.arange(len(i)) - np.repeat(first, size)
-            more = np.repeat(size, size) > most
+            if size.max() > most:
+                again.add(int(place[0, group[0]]))
             for k in np.flatnonzero(rank < most):
-                pair = (max(int(cls[i[k]]), int(cls[j[k]])), min(int(cls[i[k]]), int(cls[j[k]])))
-                found[pair] = found.get(pair, False) or bool(more[k])
-        return pa.table({
-            "a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64()),
-            "more": pa.array(list(found.values()), pa.bool_()),
-        })
+                found.add((max(int(cls[i[k]]), int(cls[j[k]])), min(int(cls[i[k]]), int(cls[j[k]]))))
+        rows = [(a, b, None) for a, b in sorted(found)] + [(None, None, sig) for sig in sorted(again)]
+        columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("a", "b", "sig"), columns, strict=True)})
 
-    pairs = dealt.groupBy("bucket").applyInArrow(meet, "a long, b long, more boolean")
-    return settled(pairs.groupBy("a", "b").agg(F.max("more").alias("more")))
+    return settled(dealt.groupBy("bucket").applyInArrow(meet, "a long, b long, sig long"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, documents: DataFrame, buckets: int) -> DataFrame:
@@ -338,16 +342,18 @@ def similar_components(
     labels = components(checked.filter("linked"))
 
     # lists that still hold several components: the likeliest pairs between them, then more; of two sets the pair is known
-    most = 4
+    kinds = lists.filter("size > 2").groupBy("members").agg(F.min("sig").alias("sig"))       # lists of the same sets: one of them
+    open_ = settled(lists.join(kinds, "sig", "left_semi").select("sig", "cls"))
+    most = 1
     while True:
-        member = lists.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))
-        several = F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")
-        split = member.groupBy("sig").agg(*several).filter("low <> high and members > 2").select("sig")
+        member = open_.join(labels.withColumnRenamed("node", "cls"), "cls", "left").select("sig", "cls", F.coalesce("component", "cls").alias("component"))
+        split = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
         found = across(settled(member.join(split, "sig")), sets, buckets, most)
-        checked, labels = _checked_too(found.select("a", "b"), checked, labels, texts, documents, buckets)
-        if found.filter("more").isEmpty():
+        checked, labels = _checked_too(found.filter("sig is null").select("a", "b").distinct(), checked, labels, texts, documents, buckets)
+        left = found.filter("sig is not null").select("sig").distinct()
+        if left.isEmpty():
             break
-        most *= 32
+        open_, most = settled(open_.join(left, "sig", "left_semi")), most * 32
     pairs_of_two = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     checked, labels = _checked_too(pairs_of_two, checked, labels, texts, documents, buckets)
 
