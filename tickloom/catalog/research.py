@@ -143,12 +143,14 @@ def multiple_test_adjust(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("walk_forward_split", f"""
-WITH {S.BARS}, m AS (SELECT *, (YEAR(day) - 1995) * 12 + MONTH(day) - 1 AS month FROM bars),
-placed AS (SELECT *, month - fold * 12 AS into_fold FROM m, (SELECT UNNEST(RANGE(0, 5)) AS fold))
+WITH {S.BARS}, span AS (SELECT MIN(day) AS lo, MAX(day) AS hi FROM bars),
+m AS (SELECT bars.*, DATE_DIFF('month', lo, day) AS month, GREATEST(1, CAST(CEIL((DATE_DIFF('month', lo, hi) + 1 - 24) / 12.0) AS INT)) AS folds FROM bars, span),
+placed AS (SELECT *, month - fold * 12 AS into_fold FROM (SELECT *, UNNEST(RANGE(0, folds)) AS fold FROM m))
 SELECT symbol, day, fold, CASE WHEN into_fold < 24 THEN 'train' ELSE 'test' END AS part
 FROM placed WHERE into_fold BETWEEN 0 AND 35""")
 def walk_forward_split(spark: SparkSession, folder: str) -> DataFrame:
-    return rs.walk_forward_split(bars_of(spark, folder), "1995-01-01", 5, 24, 12).select("symbol", day(), "fold", "part")
+    bars = bars_of(spark, folder)
+    return rs.walk_forward_split(bars, *rs.walk_forward_span(bars, 24, 12), 24, 12).select("symbol", day(), "fold", "part")
 
 
 @query("cross_validation_folds", f"WITH {S.BARS} SELECT symbol, day, NTILE(7) OVER ({W}) AS fold FROM bars")

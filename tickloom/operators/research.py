@@ -134,6 +134,15 @@ def multiple_test_adjust(tests: DataFrame, p: str = "p_value", family: Sequence[
 # ---- folds ------------------------------------------------------------------
 
 
+def walk_forward_span(bars: DataFrame, train_months: int, test_months: int) -> tuple[str, int]:
+    """First month of the bars and the number of folds after which every month has been in one."""
+    first, last = bars.agg(F.min("ts"), F.max("ts")).first()
+    if first is None:
+        return "1970-01-01", 1
+    months = (last.year - first.year) * 12 + last.month - first.month + 1
+    return f"{first:%Y-%m}-01", max(1, math.ceil((months - train_months) / test_months))
+
+
 def walk_forward_split(bars: DataFrame, start: str, folds: int, train_months: int, test_months: int) -> DataFrame:
     """Each bar with the folds it trains or tests.
 
