@@ -22,7 +22,6 @@ def components(links: DataFrame) -> DataFrame:
         nearer = labels.join(around.withColumnRenamed("a", "node"), "node").select(
             "node", F.least("component", "near").alias("next"), F.col("component").alias("before")
         )
-        nearer = settle(nearer)
         jump = nearer.select(F.col("node").alias("next"), F.col("next").alias("far"))
         new = settle(nearer.join(jump, "next").select("node", "before", F.least("next", "far").alias("component")))
         labels = new.select("node", "component")

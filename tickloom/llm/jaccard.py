@@ -390,5 +390,8 @@ def _checked_too(pairs: DataFrame, checked: DataFrame, labels: DataFrame, texts:
     new = settled(apart.select("a", "b").join(seen, ["a", "b"], "left_anti"))
     if new.isEmpty():
         return checked, labels
-    checked = settled(checked.union(verify(new, texts, documents, buckets)))
+    verified = verify(new, texts, documents, buckets)
+    checked = checked.union(verified)
+    if verified.filter("linked").isEmpty():
+        return checked, labels
     return checked, components(checked.filter("linked"))
