@@ -174,8 +174,9 @@ def lay_out(
     numbered = number_rows(bars, ["symbol"], ["ts"], time_bucket(bars, ["symbol"]))
     index = F.col("bar_no") - 1
     first = F.floor(F.greatest(index - ahead, F.lit(0)) / chunk_rows)
-    last = F.floor((index + back) / chunk_rows)
-    copies = numbered.withColumn("chunk", F.explode(F.sequence(first, last)))
+    last = F.floor(F.least(index + back, F.col("_bars") - 1) / chunk_rows)      # no chunk of copies alone
+    per_key = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_bars"))
+    copies = numbered.join(per_key, "symbol").withColumn("chunk", F.explode(F.sequence(first, last))).drop("_bars")
     df = copies.withColumn("own", F.col("chunk") == F.floor(index / chunk_rows))
     return _with_block(df, block_rows), lay
 
