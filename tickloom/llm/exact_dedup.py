@@ -26,6 +26,7 @@ def keyed_state(spark: SparkSession, landed: str, files_per_batch: int = FILES_P
     """Runs the digests landed in a folder through the keyed state and reads the state: digest, held, n."""
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    session.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")       # one open store a task, not one a partition
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB", "256")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
