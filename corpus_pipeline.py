@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickloom.llm.exact_dedup import drop_exact_copies
 from tickloom.llm.near_copies import keep_one_of_each
 from tickloom.llm.packing import pack_documents
-from tickloom.llm.suffixes import drop_repeats
+from tickloom.llm.suffixes import drop_passages
 from tickloom.llm.toxicity import drop_toxic
 from tickloom.llm.words import word_bpe_path
 from tickloom.session import settle
@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_repeats(docs)
+    return drop_passages(docs)      # over 50 words, which op7's 400 bytes do not bound
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,11 +14,15 @@ of symbols, bytes on both sides and the core as one symbol, and the suffixes of
 all strings that share a core are sorted by linear grouping construction.
 Suffixes that agree on ``SPAN`` symbols lie side by side, and their starts are
 repeated.  Cores that very many surroundings share are dealt out start by start.
+
+*Passages.*  Repeats counted in words are found by the same two steps over texts
+in which every word is a code of ``CODE`` bytes; see ``drop_passages``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tickloom.llm import blobs
 from tickloom.llm.grouping_sort import suffix_array
-from tickloom.llm.rows import free_name, numbered, numbered_whole
+from tickloom.llm.rows import free_name, numbered, numbered_whole, sliced
 from tickloom.llm.shingles import in_portions
 from tickloom.session import settle
 
@@ -38,6 +42,9 @@ SPAN = 64
 GRAM = 16                   # bytes that decide on an anchor
 REMEMBERED = 1_000_000      # blocks a task recognises again
 MOST_TOGETHER = 20_000      # surroundings of a core that are sorted in one task
+WORDS = 51                  # words of a passage that is cut wherever it occurs twice
+CODE = 8                    # bytes that stand for a word
+CODES = 65_536              # codes a task remembers
 
 RECORD = np.dtype([("core", "<u4"), ("whole", "<u8"), ("row", "<i8"), ("at", "<i8"), ("lead", "u1"), ("n", "u1")])
 RUN = np.dtype([("row", "<i8"), ("at", "<i8"), ("n", "<i8")])
@@ -379,3 +386,93 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text
 
     stays = {text_column: cut(F.col(f"`{text_column}`"), F.col(found)).alias(text_column)}
     return whole.join(runs, row, "left").select(*[stays.get(c, F.col(f"`{c}`")) for c in docs.columns])
+
+
+# --- passages counted in words ------------------------------------------------------------------
+
+_WORD = re.compile(r"\w+(?:[^\w\s]+\w+)*")      # no space inside, a letter or digit at both ends
+
+
+class WordCodes(dict):
+    """Code of a word: ``CODE`` characters of its hash, the first from letters that no other place has, so words stay aligned."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= CODES:
+            self.clear()
+        bits = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        code = chr(0x60 + bits % 32) + "".join(chr(0x20 + (bits >> (5 + 6 * k)) % 64) for k in range(CODE - 1))
+        self[word] = code
+        return code
+
+
+def coded(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """``row_id`` and the codes of all words in a row; rows with fewer than ``words`` words are left out."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = WordCodes()
+        for batch in sliced(batches):
+            rows, out = [], []
+            for row, text in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = _WORD.findall(text or "")
+                if len(found) >= words:
+                    rows.append(row)
+                    out.append("".join([codes[w] for w in found]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(out, pa.string())], ["row_id", "text"])
+
+    return texts.mapInArrow(encode, "row_id long, text string")
+
+
+def passage_spans(text: str, runs: list[dict], words: int = WORDS) -> list[tuple[int, int]]:
+    """Byte ranges of the passages, from the runs of starts in the codes of the text."""
+    places = np.array([m.span() for m in _WORD.finditer(text)]).reshape(-1, 2)
+    if not text.isascii():
+        points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+        sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+        places = np.r_[0, np.cumsum(sizes)][places]
+    out = []
+    for at, n in ((r["at"], r["n"]) for r in runs):
+        first, last = -(-at // CODE), (at + n - 1) // CODE
+        if first <= last:
+            out.append((int(places[first, 0]), int(places[last + words - 1, 1])))
+    return out
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that meet made one."""
+    out: list[tuple[int, int]] = []
+    for at, end in sorted(spans):
+        if out and at <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((at, end))
+    return out
+
+
+def drop_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH, text_column: str = "text") -> DataFrame:
+    """``docs`` without any passage of ``words`` words, or of ``length`` bytes, that occurs more than once.
+
+    A word holds no space and has a letter or digit at both ends; passages are
+    equal if their words are, whatever stands between them.  All occurrences go,
+    from the first letter of the first word to the last one of the last word.
+    ``length`` bytes that repeat go as in ``drop_repeats``, which covers texts
+    that are not written with spaces.  Both are looked for in the texts as they come in.
+    """
+    whole, row = numbered_whole(docs)
+    found, in_words = free_name(whole, "_runs"), free_name(whole, "_word_runs")
+    texts = numbered(docs, text=text_column)
+    none = F.lit(None).cast("array<struct<at:bigint,n:bigint>>")
+    by_bytes = repeated_runs(texts, length).select("row_id", F.col("runs").alias(found), none.alias(in_words))
+    by_words = repeated_runs(settle(coded(texts, words)), words * CODE).select("row_id", none.alias(found), F.col("runs").alias(in_words))
+    runs = by_bytes.union(by_words).groupBy("row_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in (found, in_words)])
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, runs: pa.Array, word_runs: pa.Array) -> pa.Array:
+        out = []
+        for t, r, w in zip(texts.to_pylist(), runs.to_pylist(), word_runs.to_pylist(), strict=True):
+            spans = joined(covered(r, length) + passage_spans(t, w, words)) if w else covered(r, length)
+            out.append(without(t.encode(), spans).decode(errors="ignore") if spans else t)
+        return pa.array(out, pa.string())
+
+    stays = {text_column: cut(F.col(f"`{text_column}`"), F.col(found), F.col(in_words)).alias(text_column)}
+    return whole.join(runs.withColumnRenamed("row_id", row), row, "left").select(*[stays.get(c, F.col(f"`{c}`")) for c in docs.columns])
