@@ -20,17 +20,18 @@ from tickloom.plans.layout import Layout, own_rows
 Build = Callable[[DataFrame, Layout], DataFrame]
 
 
-def _indicator(name: str, columns: list[str], build: Build, check: str, exact: bool = False, back: int | None = None) -> None:
+def _indicator(name: str, columns: list[str], build: Build, check: str, exact: bool = False, back: int | None = None, reach: int | None = None) -> None:
     """``check`` is the FROM part: CTEs and the last CTE's name as ``... @ name``.
 
-    With ``back`` the bars are laid out in small chunks with a halo of that many bars.
+    With ``back`` the bars are laid out in small chunks with a halo of that many bars; with ``reach`` the
+    halo is that long where the sizes ask for chunks.
     """
     ctes, source = check.rsplit("@", 1)
     picked = ", ".join(columns) if exact else rounded_sql(*columns)
 
     @query(name, f"WITH RECURSIVE {ctes} SELECT symbol, day, {picked} FROM {source}")
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        df, lay = laid(spark, folder) if back is None else laid_in_chunks(spark, folder, back)
+        df, lay = laid(spark, folder, reach) if back is None else laid_in_chunks(spark, folder, back)
         values = [F.col(c) for c in columns] if exact else rounded(*columns)
         return own_rows(build(df, lay), lay).select("symbol", day(), *values)
 
@@ -76,7 +77,7 @@ _indicator(
     _smoothed({f"w{n}": S.wilder("close", n, 1) for n in (2, 14, 20, 30)}),
 )
 _indicator("short_long_ema", ["ema2", "ema300"], lambda df, lay: ind.with_ema(df, lay, 2, 300),
-           _smoothed({f"ema{n}": S.ema(n) for n in (2, 300)}))
+           _smoothed({f"ema{n}": S.ema(n) for n in (2, 300)}), reach=exponential(None, 300).reach)
 
 # the layout of keys too large for one task, with halos just as long as what is read
 _indicator("chunked_sma", ["sma20", "sma50", "sma200"], lambda df, lay: ind.with_smas(df, lay, 20, 50, 200),

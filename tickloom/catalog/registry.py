@@ -41,9 +41,11 @@ def bars_of(spark: SparkSession, folder: str) -> DataFrame:
     return daily_bars(table(spark, folder, "lineitem"), sizes(spark, folder))
 
 
-def laid(spark: SparkSession, folder: str) -> tuple[DataFrame, Layout]:
+def laid(spark: SparkSession, folder: str, back: int | None = None) -> tuple[DataFrame, Layout]:
+    """``back`` is asked for where a query reads further back than the halo of the rule catalogue."""
     known = sizes(spark, folder)
-    return lay_out(bars_of(spark, folder), known.whole, spread=known.spread(spark))
+    halo = {} if back is None else {"back": back}
+    return lay_out(bars_of(spark, folder), known.whole, spread=known.spread(spark), **halo)
 
 
 def laid_in_chunks(spark: SparkSession, folder: str, back: int, ahead: int = 8, chunk_rows: int = 150) -> tuple[DataFrame, Layout]:
