@@ -151,27 +151,46 @@ def _level(histogram: dict[int, int], capacity: int, rounds: int, offered: int,
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[Config, int]]:
-    """Best fit, longest first, over the pieces that rounding left."""
-    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    bins: list[dict[int, int]] = []
+    """Best fit, longest first, over (length, count) bundles.
+
+    Of the sequences with the least room that fits, each takes as many pieces of
+    the length as it holds before the next one gets any, so sequences that are
+    filled alike are moved together: the work depends on the number of lengths,
+    not on that of the pieces.
+    """
+    by_room: list[list[tuple[Config, int]]] = [[] for _ in range(capacity + 1)]     # (filled with, how many sequences)
     rooms = np.zeros(capacity + 1, bool)
+
+    def add(config: Config, length: int, each: int, n: int, room: int) -> None:
+        by_room[room - each * length].append((config + ((length, each),), n))
+        rooms[room - each * length] = True
+
     for length in sorted(histogram, reverse=True):
-        for _ in range(histogram[length]):
+        left = histogram[length]
+        while left > 0:
             fits = np.flatnonzero(rooms[length:])
             if len(fits):
                 room = length + int(fits[0])
-                at = by_room[room].pop()
+                config, there = by_room[room].pop()
                 rooms[room] = bool(by_room[room])
             else:
-                room, at = capacity, len(bins)
-                bins.append({})
-            bins[at][length] = bins[at].get(length, 0) + 1
-            by_room[room - length].append(at)
-            rooms[room - length] = True
+                room, config, there = capacity, (), left
+            each = room // length
+            full = min(there, left // each)
+            if full:
+                add(config, length, each, full, room)
+            left -= each * full
+            there -= full
+            if there and left:      # the last ones, in one sequence
+                add(config, length, left, 1, room)
+                left, there = 0, there - 1
+            if there and config:
+                by_room[room].append((config, there))
+                rooms[room] = True
     plan: dict[Config, int] = {}
-    for found in bins:
-        config = tuple(sorted(found.items(), reverse=True))
-        plan[config] = plan.get(config, 0) + 1
+    for found in by_room:
+        for config, n in found:
+            plan[config] = plan.get(config, 0) + n
     return list(plan.items())
 
 
