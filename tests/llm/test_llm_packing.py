@@ -39,3 +39,28 @@ def test_best_fit_does_not_grow_with_the_pieces():
     begin = time.process_time()
     assert sequences(packing.best_fit({k: n * 1_000_000 for k, n in few.items()}, 4096)) >= 1_000_000 * sum(k * n for k, n in few.items()) / 4096
     assert time.process_time() - begin < 60
+
+
+def test_many_lengths_near_half_the_capacity():
+    values, counts = np.unique(np.random.default_rng(1).integers(1800, 2300, 6000), return_counts=True)
+    histogram = dict(zip(values.tolist(), counts.tolist(), strict=True))
+    assert len(histogram) > 400
+    plan = packing.solve(histogram, 4096)
+    assert all(sum(length * k for length, k in config) <= 4096 for config, _ in plan)
+    assert {length: sum(n * dict(c).get(length, 0) for c, n in plan) for length in histogram} == histogram
+    assert sequences(plan) <= sequences(packing.best_fit(histogram, 4096))
+
+
+def test_pricing_that_ends_early_finds_the_best():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        lengths = np.sort(rng.choice(np.arange(1, 90), 60, replace=False))[::-1]
+        prices = lengths * rng.choice([0.1, 0.5, 0.97, 1.0], 60)
+        most = rng.integers(1, 4, 60)
+        best = np.zeros(101)
+        for length, price, n in zip(lengths, prices, most, strict=True):
+            for _ in range(n):
+                best[length:] = np.maximum(best[length:], best[:101 - length] + price)
+        counts = packing.price_knapsack(lengths, prices, most, 100)
+        assert (counts <= most).all() and counts @ lengths <= 100
+        assert abs(counts @ prices - best[100]) < 1e-9

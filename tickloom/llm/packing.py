@@ -7,7 +7,8 @@ sequence) so that every length is covered.  Multiplicative weights put a price
 on each length, raise it where cover lags behind and lower it where cover is
 ahead; a knapsack dynamic program finds the configuration of highest price.
 The fractional solution is rounded down; while that leaves more than a quarter of
-the pieces it is solved again, and the pieces left are placed by best fit.  The plan is a list of
+the pieces it is solved again, unless a level places less than an eighth of them, and the
+pieces left are placed by best fit.  The plan is a list of
 configurations with counts; pieces take their place in it by their rank among
 the pieces of their length, so no task ever sees more than its share.
 """
@@ -39,65 +40,73 @@ def price_knapsack(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, ca
     """How often to take each length so that the summed price is highest within ``capacity``.
 
     Each length may be taken up to ``most`` times: it is offered in bundles of
-    1, 2, 4, ... pieces, and the table over room is kept for the way back.
+    1, 2, 4, ... pieces, and the table over room is kept for the way back.  Lengths
+    come in order of their price for their size.  It ends early only when no
+    split of the capacity between the lengths seen and any of those to come, all
+    taken at the price for size of the next one, is worth more than the best found.
     """
-    bundles = []
-    for k in np.argsort(-prices / lengths, kind="stable"):
+    order = np.argsort(-prices / lengths, kind="stable")
+    worth = (prices / lengths)[order]
+    shortest = np.minimum.accumulate(lengths[order][::-1])[::-1]
+    room = np.arange(capacity + 1)
+    best = np.zeros(capacity + 1)
+    bundles: list[tuple[int, int, int]] = []
+    taken: list[np.ndarray] = []
+    for i, k in enumerate(order.tolist()):
+        if i and i % 8 == 0:        # nothing is worth more for its size than this length is
+            r = int(shortest[i])
+            if r > capacity or (best[: capacity + 1 - r] + worth[i] * room[: r - 1 if r else None: -1]).max() <= best[capacity] + 1e-12:
+                break
         left = min(int(most[k]), capacity // int(lengths[k]))
         size = 1
         while left > 0:
             take = min(size, left)
-            bundles.append((int(k), take, take * int(lengths[k]), take * prices[k]))
+            weight = take * int(lengths[k])
+            offered = best[: capacity + 1 - weight] + take * prices[k]
+            better = np.zeros(capacity + 1, bool)
+            better[weight:] = offered > best[weight:] + 1e-12
+            best[weight:] = np.where(better[weight:], offered, best[weight:])
+            bundles.append((k, take, weight))
+            taken.append(better)
             left, size = left - take, size * 2
-    best = np.zeros(capacity + 1)
-    taken = np.zeros((len(bundles), capacity + 1), bool)
-    for i, (_, _, weight, value) in enumerate(bundles):
-        offered = best[: capacity + 1 - weight] + value
-        better = offered > best[weight:] + 1e-12
-        taken[i, weight:] = better
-        best[weight:] = np.where(better, offered, best[weight:])
     counts = np.zeros(len(lengths), np.int64)
-    room = capacity
-    for i in range(len(bundles) - 1, -1, -1):
-        if taken[i, room]:
-            k, take, weight, _ = bundles[i]
+    at = capacity
+    for (k, take, weight), better in zip(reversed(bundles), reversed(taken), strict=True):
+        if better[at]:
             counts[k] += take
-            room -= weight
+            at -= weight
     return counts
 
 
-def thin_out(lengths: np.ndarray, prices: np.ndarray, keep: int) -> np.ndarray:
-    """Indices of the lengths offered to one pricing: the dearest for their size, and a spread of all sizes."""
-    if len(lengths) <= keep:
-        return np.arange(len(lengths))
-    dear = np.argsort(-prices / lengths, kind="stable")[: keep // 2]
-    spread = np.linspace(0, len(lengths) - 1, keep // 2).astype(int)
-    return np.unique(np.concatenate([dear, spread]))
-
-
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 240, offered: int = 192, full_cover: int = 400) -> list[tuple[Config, int]]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 240) -> list[tuple[Config, int]]:
     """Configurations and how often to use each; together they hold every piece exactly once.
 
-    ``rounds`` is the number of pricings of a level, ``offered`` the most
-    lengths one pricing looks at.  Up to ``full_cover`` lengths the program is
-    also solved with cover beyond the demand, which finds prices far from the
-    lengths; the plan with fewer sequences is taken.
+    ``rounds`` bounds the pricings of a level.  The program is solved with
+    cover up to the demand, with cover beyond it, which finds prices far from
+    the lengths, and best fit is run alone; the plan with fewest sequences is
+    taken, whatever the size of the histogram.  A plan that meets the volume
+    bound ends the search, as none can have fewer.
     """
-    few = len(histogram) <= full_cover
-    plans = [_rounded(histogram, capacity, rounds, offered, beyond) for beyond in ((False, True) if few else (False,))]
-    return min(plans, key=lambda plan: sum(n for _, n in plan))
-
-
-def _rounded(histogram: dict[int, int], capacity: int, rounds: int, offered: int, beyond: bool) -> list[tuple[Config, int]]:
-    """Levels of fractional solution and rounding until at most a quarter is left, then best fit."""
+    bound = -(-sum(k * n for k, n in histogram.items()) // capacity)
+    count = lambda plan: sum(n for _, n in plan)
+    plans: list[list[tuple[Config, int]]] = []
+    for beyond in (False, True):
+        plans.append(_rounded(histogram, capacity, rounds, beyond))
+        if count(plans[-1]) == bound:
+            return plans[-1]
+    return min([*plans, best_fit(histogram, capacity)], key=count)
+
+
+def _rounded(histogram: dict[int, int], capacity: int, rounds: int, beyond: bool) -> list[tuple[Config, int]]:
+    """Levels of fractional solution and rounding until at most a quarter is left or one places less than an eighth, then best fit."""
     plan: dict[Config, int] = {}
     left = {k: n for k, n in histogram.items() if n > 0}
     enough = max(400, sum(left.values()) // 4)
     if beyond:
         enough = min(enough, sum(left.values()) // 4)
     while sum(left.values()) > enough:
-        used = _level(left, capacity, rounds, offered, beyond)
-        if not used:
+        used = _level(left, capacity, rounds, beyond)
+        if sum(n * k for config, n in used for _, k in config) * 8 < sum(left.values()):
             break
         for config, n in used:
             plan[config] = plan.get(config, 0) + n
@@ -109,7 +118,7 @@ def _rounded(histogram: dict[int, int], capacity: int, rounds: int, offered: int
     return list(plan.items())
 
 
-def _level(histogram: dict[int, int], capacity: int, rounds: int, offered: int, beyond: bool) -> list[tuple[Config, int]]:
+def _level(histogram: dict[int, int], capacity: int, rounds: int, beyond: bool) -> list[tuple[Config, int]]:
     """Fractional cover by multiplicative weights, rounded down.
 
     The price of a length starts at its share of the capacity (the prices of
@@ -130,7 +139,6 @@ def _level(histogram: dict[int, int], capacity: int, rounds: int, offered: int,
         index = np.flatnonzero(open_)
         room = demand if beyond else demand * (1 - cover)
         prices = weights * lengths / capacity
-        index = index[thin_out(lengths[index], prices[index], offered)]
         counts = np.zeros(len(lengths))
         counts[index] = price_knapsack(lengths[index], prices[index], np.maximum(1, np.floor(room[index])).astype(np.int64), capacity)
         some = counts > 0
