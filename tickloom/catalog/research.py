@@ -116,9 +116,9 @@ p AS (
   FROM chance GROUP BY 1)"""
 
 
-def _permuted(spark: SparkSession, folder: str) -> DataFrame:
+def _permuted(spark: SparkSession, folder: str, repetitions: int = REPS) -> DataFrame:
     df, lay = run(*_returns(spark, folder), "GoldenCross", keep=("bar_ret",))
-    return rs.permutation_test(df, lay, REPS)
+    return rs.permutation_test(df, lay, repetitions)
 
 
 @query("permutation_test", f"""
@@ -139,6 +139,18 @@ def multiple_test_adjust(spark: SparkSession, folder: str) -> DataFrame:
     return rs.multiple_test_adjust(_permuted(spark, folder)).select("symbol", *rounded("p_value", "p_bonferroni", "p_bh"))
 
 
+# 1,000 orders and the observed one; too slow in SQL, tests/test_permutation.py has plain loops
+@query("permutation_test_corrected")
+def permutation_test_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    return _permuted(spark, folder, rs.REPETITIONS).select("symbol", "n_long", *rounded("stat", "p_corrected"))
+
+
+@query("multiple_test_corrected")
+def multiple_test_corrected(spark: SparkSession, folder: str) -> DataFrame:
+    adjusted = rs.multiple_test_adjust(_permuted(spark, folder, rs.REPETITIONS), "p_corrected")
+    return adjusted.select("symbol", *rounded("p_corrected", "p_bonferroni", "p_bh"))
+
+
 # ---- folds ------------------------------------------------------------------
 
 
@@ -368,6 +380,19 @@ def correlation_matrix(spark: SparkSession, folder: str) -> DataFrame:
     return rs.correlation_matrix(df, ["symbol", "ts"], "strategy", "ret", CORRELATED).select("a", "b", *rounded("correlation"))
 
 
+_ALL_RULES = tuple(sorted(RULES))
+
+
+@query("correlation_all_rules", f"""
+WITH RECURSIVE {S.rule_flags(*_ALL_RULES)}, {S.account()}, {S.returns()},
+t AS (SELECT x.strategy AS a, y.strategy AS b, CORR(x.ret, y.ret) AS correlation FROM rets x JOIN rets y
+      ON x.symbol = y.symbol AND x.bar_no = y.bar_no AND x.strategy < y.strategy GROUP BY 1, 2)
+SELECT a, b, {rounded_sql('correlation')} FROM t""")
+def correlation_all_rules(spark: SparkSession, folder: str) -> DataFrame:
+    df, _ = run(*laid(spark, folder), _ALL_RULES)
+    return rs.correlation_matrix(df, ["symbol", "ts"], "strategy", "ret", _ALL_RULES).select("a", "b", *rounded("correlation"))
+
+
 @query("asset_correlation", f"""
 WITH {RETS}, t AS (
   SELECT x.symbol AS a, y.symbol AS b, COUNT(*) AS days, CORR(x.bar_ret, y.bar_ret) AS correlation

@@ -25,12 +25,18 @@ P_BUCKETS = 10_000
 # ---- permutation test -------------------------------------------------------
 
 
-def permutation_test(df: DataFrame, lay: Layout, repetitions: int) -> DataFrame:
+REPETITIONS = 1_000
+
+
+def permutation_test(df: DataFrame, lay: Layout, repetitions: int = REPETITIONS) -> DataFrame:
     """How often shuffled returns do at least as well as the rule.
 
     Reads ``pos`` and ``bar_ret``.  A rule that is long on m bars collects m
     returns; under a random order it collects the m that come first.  The
     order is a hash of repetition, key and time, so any executor can redo it.
+
+    ``p_value`` is the plain share.  ``p_corrected`` counts the order that was
+    observed as one more, (wins + 1) / (repetitions + 1), so it is never 0.
     """
     keys = list(lay.keys)
     held = F.when(F.col("pos") == 1, F.col("bar_ret"))
@@ -52,7 +58,8 @@ def permutation_test(df: DataFrame, lay: Layout, repetitions: int) -> DataFrame:
         "_wins", F.when(F.coalesce("_sum", F.lit(0.0)) >= F.col("stat") - EPS, 1.0).otherwise(0.0)
     )
     return per_rep.groupBy(*keys).agg(
-        F.first("n_long").alias("n_long"), F.first("stat").alias("stat"), F.avg("_wins").alias("p_value")
+        F.first("n_long").alias("n_long"), F.first("stat").alias("stat"), F.avg("_wins").alias("p_value"),
+        ((F.sum("_wins") + 1) / (repetitions + 1)).alias("p_corrected"),
     )
 
 
