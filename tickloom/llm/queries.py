@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import arrow_stream, chat, exact_dedup, jaccard, line_windows, neighbours, packing, suffixes, toxicity, tree_bpe
+from tickloom.llm import arrow_stream, chat, collocations, exact_dedup, jaccard, line_windows, neighbours, packing, suffixes, toxicity, tree_bpe
 from tickloom.llm.words import word_bpe_path
 from tickloom.session import new_folder, settle
 
@@ -160,3 +160,34 @@ def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.remove_repeats(read(spark, folder, "documents")).drop("row_id")
+
+
+@query(
+    "op13_fm_collocations",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    runs AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+    spots AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM runs),
+    windows AS (SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase FROM spots, range(1, 6) t(m) WHERE i + m - 1 <= len(w)),
+    f AS (SELECT lang, phrase, m, count(*) AS a FROM windows GROUP BY ALL HAVING count(*) >= 100),
+    sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM runs GROUP BY lang),
+    cuts AS (
+        SELECT c.lang, c.phrase, c.a, s.n, k, l.a AS l, r.a AS r,
+               CAST((1000::HUGEINT * c.a * s.n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+        FROM f c JOIN range(1, 5) t(k) ON k < c.m JOIN sizes s ON s.lang = c.lang
+        JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(string_split(c.phrase, ' '), 1, k), ' ')
+        JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(string_split(c.phrase, ' '), k + 1, c.m), ' ')),
+    weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM cuts) WHERE o = 1),
+    parts AS (
+        SELECT DISTINCT lang, a, array_to_string(list_slice(string_split(phrase, ' '), i, j), ' ') AS phrase
+        FROM f, range(1, 6) x(i), range(1, 6) y(j) WHERE i <= j AND j <= m AND j - i + 1 < m),
+    kept AS (SELECT w.* FROM weakest w ANTI JOIN parts p ON p.lang = w.lang AND p.phrase = w.phrase AND 100 * p.a >= 100 * w.a),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+    """,
+)
+def op13_fm_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
