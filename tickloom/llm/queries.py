@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import arrow_stream, chat, collocations, exact_dedup, jaccard, line_windows, neighbours, packing, suffixes, toxicity, tree_bpe
+from tickloom.llm import arrow_stream, chat, collocations, exact_dedup, filter_audit, jaccard, line_windows, neighbours, packing, suffixes, toxicity, tree_bpe, url_templates
+from tickloom.llm.url_sql import TEMPLATE_SQL
 from tickloom.llm.words import word_bpe_path
 from tickloom.session import new_folder, settle
 
@@ -191,3 +192,49 @@ def op7_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op13_fm_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(read(spark, folder, "documents"))
+
+
+@query("op11_url_templates", TEMPLATE_SQL)
+def op11_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return url_templates.judged(read(spark, folder, "pages"), keep=["page_id"]).drop("purity")
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH texts AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+               list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+    rows AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+               CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT)
+               + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) AS INT)
+               + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+               + 16 * CAST(coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) AS INT) AS failing
+        FROM texts t LEFT JOIN marks m ON m.doc_id = t.doc_id),
+    masks AS (SELECT part, failing, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM rows GROUP BY ALL),
+    letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(l, b)),
+    orders AS (
+        SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits
+        FROM letters a, letters b, letters c, letters d, letters e
+        WHERE a.b + b.b + c.b + d.b + e.b = 31 AND a.b <> b.b AND a.b <> c.b AND a.b <> d.b AND a.b <> e.b
+          AND b.b <> c.b AND b.b <> d.b AND b.b <> e.b AND c.b <> d.b AND c.b <> e.b AND d.b <> e.b),
+    steps AS (SELECT filter_order, step, bits[step] AS bit, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INT) AS before FROM orders, range(1, 6) t(step)),
+    counted AS (
+        SELECT part, filter_order, step, bit,
+               coalesce(sum(n) FILTER (failing & (before + bit) = 0), 0) AS kept,
+               coalesce(sum(n) FILTER (failing & bit > 0 AND failing & before = 0), 0) AS removed,
+               coalesce(sum(n) FILTER (failing & bit > 0 AND failing & before > 0), 0) AS redundant,
+               coalesce(sum(n) FILTER (failing = bit), 0) AS unique_fails,
+               coalesce(sum(good) FILTER (failing & bit > 0 AND failing & before = 0), 0) AS good_lost,
+               coalesce(sum(toxic) FILTER (failing & bit > 0 AND failing & before = 0), 0) AS toxic_lost
+        FROM masks, steps GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+           CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+           CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+    FROM counted
+    """,
+)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audited(read(spark, folder, "documents"), read(spark, folder, "labels"))
