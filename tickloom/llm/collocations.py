@@ -35,7 +35,7 @@ _SALTS = 64
 
 SHARDS = "shard long, lang string, n long, ids binary, words array<string>, counts array<int>"
 COUNTED = "lang string, phrase string, count long"
-PAIRS = "shard long, lang string, phrase string, count long, a int, b int"
+PAIRS = "shard long, lang string, phrase string, count long, id long"
 
 
 class _Numbers(dict):
@@ -66,33 +66,32 @@ class _Shard:
         return {"shard": shard, "lang": lang, "n": int(counts.sum()), "ids": ids.tobytes(), "words": words, "counts": counts.tolist()}
 
 
-def _batch(rows: list[dict], like: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, like)
-
-
 _SHARD_ROWS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("ids", pa.binary()),
                          ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    open_: dict[str, _Shard] = {}
-    number = TaskContext.get().partitionId() << 24
+def _shards(shard_words: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[str, _Shard] = {}
+        number = TaskContext.get().partitionId() << 32
+
+        def close(lang: str) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            return pa.RecordBatch.from_pylist([open_.pop(lang).row(number, lang)], _SHARD_ROWS)
 
-    def close(lang: str) -> pa.RecordBatch:
-        nonlocal number
-        number += 1
-        return _batch([open_.pop(lang).row(number, lang)], _SHARD_ROWS)
+        for batch in sliced(batches):
+            langs = batch.column("lang")
+            for lang in pc.unique(langs).to_pylist():
+                texts = batch.column("text").filter(pc.equal(langs, lang)).cast(pa.binary()).to_pylist()
+                shard = open_.setdefault(lang, _Shard())
+                shard.add(texts)
+                if shard.size >= shard_words:
+                    yield close(lang)
+        for lang in list(open_):
+            yield close(lang)
 
-    for batch in sliced(batches):
-        langs = batch.column("lang")
-        for lang in pc.unique(langs).to_pylist():
-            texts = batch.column("text").filter(pc.equal(langs, lang)).cast(pa.binary()).to_pylist()
-            shard = open_.setdefault(lang, _Shard())
-            shard.add(texts)
-            if shard.size >= SHARD_WORDS:
-                yield close(lang)
-    for lang in list(open_):
-        yield close(lang)
+    return made
 
 
 def _spelled(phrases: Phrases, words: pa.Array) -> pa.Array:
@@ -124,6 +123,11 @@ def _runs(ids: np.ndarray, joined: np.ndarray, least: int) -> np.ndarray:
     return out[(out > 0) | (np.r_[0, out[:-1]] > 0)]
 
 
+def _pair(first: np.ndarray, second: np.ndarray, words: pa.Array) -> np.ndarray:
+    """One number for two neighbours within a shard."""
+    return first.astype(np.int64) * (len(words) + 1) + second
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every pair of frequent words of a shard."""
     for shard, lang, ids, words, frequent in _shard_rows(batches):
@@ -133,8 +137,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = _runs(ids, usual[:-1] & usual[1:], 2)
         for found in WordIndex(text, 2).enumerate(2):
             columns = _phrases(lang, found, words)
-            a, b = found.words.T.astype(np.int32)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(a), shard)), **columns, "a": pa.array(a), "b": pa.array(b)})
+            number = _pair(*found.words.T, words)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(number), shard)), **columns, "id": pa.array(number)})
 
 
 def _longer(longest: int):
@@ -143,8 +147,7 @@ def _longer(longest: int):
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, lang, ids, words, frequent in _shard_rows(batches):
             pairs = np.sort(frequent.to_numpy(zero_copy_only=False))
-            base = len(words) + 1
-            here = ids[:-1].astype(np.int64) * base + ids[1:]
+            here = _pair(ids[:-1], ids[1:], words)
             at = np.minimum(np.searchsorted(pairs, here), len(pairs) - 1)
             text = _runs(ids, pairs[at] == here, 3)
             for found in WordIndex(text, longest).enumerate(longest):
@@ -158,27 +161,27 @@ def _frequent(counted: DataFrame, least: int) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
 
 
-def _back(shards: DataFrame, found: DataFrame, frequent: DataFrame, entry: Column) -> DataFrame:
-    """Shards with the list of what was found in them and is frequent over all."""
-    lists = found.join(frequent, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list(entry).alias("frequent"))
+def _back(shards: DataFrame, found: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Shards with the ids of what was found in them and is frequent over all."""
+    lists = found.join(frequent, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("id").alias("frequent"))
     return shards.join(lists, "shard").select("shard", "lang", "ids", "words", "frequent")
 
 
-def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(
+    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, shard_words: int = SHARD_WORDS
+) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a) of all phrases of 1 to ``longest`` words with at least ``least`` occurrences, and (lang, n)."""
     read = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
-    shards = settle(read.mapInArrow(_shards, SHARDS))
+    shards = settle(read.mapInArrow(_shards(shard_words), SHARDS))
     words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "word"))
-    words = words.select("shard", "lang", F.col("word.words").alias("phrase"), (F.col("at") + 1).alias("id"), F.col("word.counts").alias("count"))
+    words = words.select("shard", "lang", F.col("word.words").alias("phrase"), (F.col("at") + 1).cast("long").alias("id"), F.col("word.counts").alias("count"))
     singles = settle(_frequent(words, least))
-    pairs = settle(_back(shards, words, singles, F.col("id")).mapInArrow(_pairs, PAIRS))
+    pairs = settle(_back(shards, words, singles).mapInArrow(_pairs, PAIRS))
     doubles = settle(_frequent(pairs, least))
-    # a pair as the shard numbers it: first id * (its words + 1) + second id
-    sized = pairs.join(shards.select("shard", (F.size("words") + 1).cast("long").alias("base")), "shard")
-    longer = _back(shards, sized, doubles, F.col("a") * F.col("base") + F.col("b")).mapInArrow(_longer(longest), COUNTED)
+    longer = _back(shards, pairs, doubles).mapInArrow(_longer(longest), COUNTED)
     counts = singles.unionByName(doubles).unionByName(_frequent(longer, least)) if longest > 2 else singles.unionByName(doubles)
     return settle(counts), shards.groupBy("lang").agg(F.sum("n").alias("n"))
 
@@ -188,7 +191,8 @@ def _words(phrase: str) -> Column:
 
 
 def collocations(
-    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000
+    docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000,
+    shard_words: int = SHARD_WORDS,
 ) -> DataFrame:
     """The ``top`` phrases of each lang by their weakest cut, with ``lang, rank, phrase, a, l, r, n, score``.
 
@@ -203,7 +207,7 @@ def collocations(
     in byte order; other columns are ignored.  A lang spread over many shards
     is ranked in salted parts first.
     """
-    counts, sizes = phrase_counts(docs, text, lang, least, longest)
+    counts, sizes = phrase_counts(docs, text, lang, least, longest, shard_words)
     found = counts.withColumn("size", F.size(_words("phrase")))
     candidates = found.filter("size > 1")
     part = counts.select("lang", F.col("phrase").alias("_part"), F.col("a").alias("_f"))
