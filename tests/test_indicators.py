@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import indicators as ind
+from tickloom.operators.custom import custom_indicator
 from tickloom.operators.smoothing import exponential, smooth, wilder
 from tickloom.plans.layout import lay_out, own_rows
 
@@ -67,10 +68,19 @@ def test_smoothing_over_blocks(spark, whole):
                     assert got[symbol, i + 1] == pytest.approx(y, rel=1e-11)
 
 
-def test_smoothing_refuses_impossible_blocks(spark):
-    df, lay = lay_out(frame(spark, {"A": [1.0] * 3}), True)
-    with pytest.raises(ValueError, match="warm-up"):
-        smooth(df, lay, {"x": exponential(F.col("close"), 700)})
+def test_slow_smoothing_equals_the_recursion(spark):
+    closes = walk(1600, 5)
+    df, lay = lay_out(frame(spark, {"A": closes}), True)
+    smoothing = exponential(F.col("close"), 700)
+    got = values(smooth(df, lay, {"x": smoothing}), lay, "x")
+    for i, y in enumerate(recursion(closes, smoothing.keep, 700)):
+        assert got["A", i + 1] is None if y is None else got["A", i + 1] == pytest.approx(y, rel=1e-11)
+
+
+def test_custom_indicator_refuses_a_long_look_back(spark):
+    df, lay = lay_out(frame(spark, {"A": [1.0] * 30}), False, 10, 8, back=5)
+    with pytest.raises(ValueError, match="total"):
+        custom_indicator(df, lay, "total", 30, lambda bars: bars["close"].cumsum())
 
 
 def test_composed_frames_equal_direct_frames(spark):

@@ -179,7 +179,7 @@ _indicator("moving_average_overlay", ["sma12", "sma26"], lambda df, lay: ind.wit
            _selected(sma12=S.sma(12), sma26=S.sma(26)))
 _indicator(
     "custom_indicator", ["median5"],
-    lambda df, lay: custom_indicator(df, lay, "median5", lambda bars: bars["close"].rolling(5).median()),
+    lambda df, lay: custom_indicator(df, lay, "median5", 4, lambda bars: bars["close"].rolling(5).median()),
     _selected(median5=S.from_bar(5, f"MEDIAN(close) OVER {S.rows(4)}")),
 )
 

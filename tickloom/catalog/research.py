@@ -297,13 +297,13 @@ def per_year_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_ROLLING = "AVG(bar_ret) OVER f AS m, STDDEV_SAMP(bar_ret) OVER f AS sd, COUNT(bar_ret) OVER f AS n"
+_ROLLING = "AVG(bar_ret) OVER f AS m, STDDEV_SAMP(bar_ret) OVER f AS sd, AVG(ABS(bar_ret)) OVER f AS size, COUNT(bar_ret) OVER f AS n"
 
 
 @query("rolling_sharpe_vol", f"""
 WITH {RETS}, a AS (SELECT *, {_ROLLING} FROM rb WINDOW f AS {S.rows(59)}),
 b AS (SELECT symbol, day, CASE WHEN n = 60 THEN sd * SQRT(252) END AS rolling_vol,
-             CASE WHEN n = 60 THEN m / NULLIF(sd, 0) * SQRT(252) END AS rolling_sharpe FROM a)
+             CASE WHEN n = 60 THEN m / CASE WHEN sd > 1e-12 * size THEN sd END * SQRT(252) END AS rolling_sharpe FROM a)
 SELECT symbol, day, {rounded_sql('rolling_vol', 'rolling_sharpe')} FROM b""")
 def rolling_sharpe_vol(spark: SparkSession, folder: str) -> DataFrame:
     return risk.rolling_sharpe_vol(*_returns(spark, folder)).select("symbol", day(), *rounded("rolling_vol", "rolling_sharpe"))
@@ -358,7 +358,7 @@ WITH {RETS}, mk AS (SELECT day, AVG(bar_ret) AS bench_ret FROM rb WHERE bar_ret
 t AS (
   SELECT symbol, COUNT(*) AS n, AVG(bar_ret - bench_ret) * 252 AS excess_return,
     STDDEV_SAMP(bar_ret - bench_ret) * SQRT(252) AS tracking_error,
-    AVG(bar_ret - bench_ret) * 252 / NULLIF(STDDEV_SAMP(bar_ret - bench_ret) * SQRT(252), 0) AS information_ratio,
+    AVG(bar_ret - bench_ret) * 252 / ({S.deviation('STDDEV_SAMP', 'bar_ret - bench_ret')} * SQRT(252)) AS information_ratio,
     CORR(bar_ret, bench_ret) AS correlation
   FROM rb JOIN mk USING (day) WHERE bar_ret IS NOT NULL GROUP BY 1)
 SELECT symbol, n, {rounded_sql(*_BENCH)} FROM t""")

@@ -342,6 +342,11 @@ rets AS MATERIALIZED (
   FROM rets1)"""
 
 
+def deviation(kind: str, x: str, where: str = "") -> str:
+    """A deviation, NULL where the values differ by rounding alone."""
+    return f"CASE WHEN {kind}({x}){where} > 1e-12 * AVG(ABS({x})){where} THEN {kind}({x}){where} END"
+
+
 RF = repr(1.01 ** (1 / 252) - 1)
 
 
@@ -352,16 +357,16 @@ def results(keys: str = "symbol, strategy", capital: float = 1000.0) -> str:
 res1 AS (
   SELECT {keys}, COUNT(*) AS n, LN(MAX(end_equity) / {c}) AS total_return,
     EXP(LN(MAX(end_equity) / {c}) * 252 / COUNT(*)) - 1 AS annual_return,
-    AVG(ret - {RF}) / NULLIF(STDDEV_POP(ret - {RF}), 0) AS sharpe_daily,
+    AVG(ret - {RF}) / {deviation('STDDEV_POP', f'ret - {RF}')} AS sharpe_daily,
     0.0 - MAX(drawdown) AS max_drawdown, -MAX(underwater) AS time_dd,
     STDDEV_SAMP(equity / ({c} * EXP(LN(end_equity / {c}) / bars * bar_no)) - 1) AS gap,
     CASE WHEN COUNT(*) FILTER (ret < -1e-12) = 0 THEN 'Infinity'::DOUBLE
          WHEN COUNT(*) FILTER (ret < -1e-12) > 1
-         THEN AVG(ret) / STDDEV_SAMP(ret) FILTER (ret < -1e-12) * SQRT(252) END AS sortino,
+         THEN AVG(ret) / {deviation('STDDEV_SAMP', 'ret', ' FILTER (ret < -1e-12)')} * SQRT(252) END AS sortino,
     COUNT(*) FILTER (act = 1) AS trades_total, COUNT(*) FILTER (pnl_net >= 0) AS won,
     COALESCE(SUM(pnl_net) FILTER (pnl_net >= 0), 0) / ABS(SUM(pnl_net) FILTER (pnl_net < 0)) AS profit_factor,
     AVG(pnl_net) AS avg_trade_pl,
-    SQRT(COUNT(pnl_net)) * AVG(pnl_net) / NULLIF(STDDEV_POP(pnl_net), 0) AS sqn
+    SQRT(COUNT(pnl_net)) * AVG(pnl_net) / {deviation('STDDEV_POP', 'pnl_net')} AS sqn
   FROM rets GROUP BY {keys}),
 res AS (
   SELECT *, sharpe_daily * SQRT(252) AS sharpe_annual, annual_return / NULLIF(ABS(max_drawdown), 0) AS calmar,

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 # floats in no fixed order, so the last bits of a mean differ between runs;
 # without a tolerance a flat market would give random crosses.
 EPS = 1e-9
+# A deviation below this share of the mean size is what rounding leaves of equal values.
+FLAT = 1e-12
 
 
 def above(a: Column, b: Column | float) -> Column:
@@ -40,6 +42,11 @@ def safe_divide(a: Column, b: Column, zero: Column | float | None = None) -> Col
     return F.when(b == 0, fallback).otherwise(F.try_divide(a, b))
 
 
+def real_deviation(deviation: Column, size: Column) -> Column:
+    """``deviation``, or NULL where the values are all equal but for rounding (``size``: their mean absolute value)."""
+    return F.when(deviation > FLAT * size, deviation)
+
+
 def if_else(condition: Column, a: Column, b: Column) -> Column:
     """``a`` where the condition holds, else ``b``; an unknown condition gives NULL."""
     return F.when(condition, a).when(~condition, b)

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from tickloom.plans.layout import Layout, own_rows
 
 
-def custom_indicator(df: DataFrame, lay: Layout, name: str, compute: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+def custom_indicator(df: DataFrame, lay: Layout, name: str, back: int, compute: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
     """Adds ``name`` (double), computed by ``compute`` on bars in time order.
 
     The function sees one key, or in the chunked layout one chunk with its
-    halo, so a group never exceeds the layout's row bound.  Its look-back must
-    fit the halo.
+    halo, so a group never exceeds the layout's row bound.  ``back`` says how
+    many earlier bars a value depends on; what the halo does not hold is
+    refused, as is a value that depends on all of them.
     """
+    lay.reach(name, back=back)
 
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")

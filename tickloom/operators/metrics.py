@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.functions.compare import safe_divide
+from tickloom.functions.compare import real_deviation, safe_divide
 from tickloom.operators.positions import Account, trade_terms
 from tickloom.plans.layout import Layout
 
@@ -42,8 +42,9 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def sharpe(ret: str = "ret", rate: float = DAILY_RATE) -> Column:
+    """NULL for an account that never moves, however its parts were added up."""
     excess = F.col(ret) - rate
-    return _ratio(F.avg(excess), F.stddev_pop(excess))
+    return _ratio(F.avg(excess), real_deviation(F.stddev_pop(excess), F.avg(F.abs(excess))))
 
 
 def sortino(ret: str = "ret", per_year: int = YEAR) -> Column:
@@ -52,7 +53,7 @@ def sortino(ret: str = "ret", per_year: int = YEAR) -> Column:
     return (
         F.when(F.count(ret) == 0, None)
         .when(F.count(loss) == 0, F.lit(float("inf")))
-        .when(F.count(loss) > 1, _ratio(F.avg(ret), F.stddev_samp(loss)) * math.sqrt(per_year))
+        .when(F.count(loss) > 1, _ratio(F.avg(ret), real_deviation(F.stddev_samp(loss), F.avg(F.abs(loss)))) * math.sqrt(per_year))
     )
 
 
@@ -86,7 +87,7 @@ def trade_metrics() -> dict[str, Column]:
         "win_rate": _ratio(F.count_if(won), total),
         "profit_factor": _ratio(F.coalesce(F.sum(F.when(won, net)), F.lit(0.0)), F.abs(lost_sum)),
         "avg_trade_pl": F.avg(net),
-        "sqn": _ratio(F.sqrt(F.count(net)) * F.avg(net), F.stddev_pop(net)),
+        "sqn": _ratio(F.sqrt(F.count(net)) * F.avg(net), real_deviation(F.stddev_pop(net), F.avg(F.abs(net)))),
     }
 
 

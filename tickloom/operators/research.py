@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.compare import EPS, safe_divide
+from tickloom.functions.compare import EPS, real_deviation, safe_divide
 from tickloom.operators.indicators import with_crosses, with_smas
 from tickloom.operators.positions import Account, with_equity, with_fills, with_position, with_returns
 from tickloom.operators.rules import resolve, signal_flags
@@ -271,6 +271,14 @@ def cost_stress(df: DataFrame, lay: Layout, strategy: str, variants: Sequence[Co
 # ---- comparison -------------------------------------------------------------
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Over rows that have both; NULL, not an error, where one of them never moves."""
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    spread = [real_deviation(F.stddev_pop(x), F.avg(F.abs(x))) for x in (a, b)]
+    return F.try_divide(F.covar_pop(a, b), spread[0] * spread[1])
+
+
 def benchmark_compare(returns: DataFrame, benchmark: DataFrame, per_year: int = 252) -> DataFrame:
     """Excess return, tracking error, information ratio and correlation per symbol.
 
@@ -281,9 +289,11 @@ def benchmark_compare(returns: DataFrame, benchmark: DataFrame, per_year: int =
         F.count(F.lit(1)).alias("n"),
         (F.avg("_excess") * per_year).alias("excess_return"),
         (F.stddev_samp("_excess") * math.sqrt(per_year)).alias("tracking_error"),
-        F.corr("bar_ret", "bench_ret").alias("correlation"),
+        correlation(F.col("bar_ret"), F.col("bench_ret")).alias("correlation"),
+        (F.avg(F.abs("_excess")) * math.sqrt(per_year)).alias("_size"),
     )
-    return table.withColumn("information_ratio", safe_divide(F.col("excess_return"), F.col("tracking_error")))
+    risk = real_deviation(F.col("tracking_error"), F.col("_size"))
+    return table.withColumn("information_ratio", safe_divide(F.col("excess_return"), risk)).drop("_size")
 
 
 def market_returns(returns: DataFrame) -> DataFrame:
@@ -299,7 +309,7 @@ def correlation_matrix(long: DataFrame, keys: Sequence[str], name: str, value: s
     """
     wide = long.groupBy(*keys).pivot(name, list(names)).agg(F.first(value))
     pairs = list(itertools.combinations(names, 2))
-    corr = wide.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"{a}~{b}") for a, b in pairs])
+    corr = wide.agg(*[correlation(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"{a}~{b}") for a, b in pairs])
     return corr.select(F.inline(F.array(*[
         F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}~{b}`").alias("correlation"))
         for a, b in pairs

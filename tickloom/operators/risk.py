@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.compare import safe_divide
+from tickloom.functions.compare import real_deviation, safe_divide
 from tickloom.operators.indicators import momentum, rolling_std, sma
 from tickloom.operators.positions import Account
 from tickloom.plans.layout import Layout, own_rows
@@ -37,11 +37,12 @@ def rolling_sharpe_vol(df: DataFrame, lay: Layout, n: int = 60, per_year: int =
     df = df.withColumns({
         "_mean": F.when(full, F.avg("bar_ret").over(frame)),
         "_sd": F.when(full, F.stddev_samp("bar_ret").over(frame)),
+        "_size": F.avg(F.abs("bar_ret")).over(frame),
     })
     return own_rows(df, lay).withColumns({
         "rolling_vol": F.col("_sd") * math.sqrt(per_year),
-        "rolling_sharpe": safe_divide(F.col("_mean"), F.col("_sd")) * math.sqrt(per_year),
-    }).drop("_mean", "_sd")
+        "rolling_sharpe": safe_divide(F.col("_mean"), real_deviation(F.col("_sd"), F.col("_size"))) * math.sqrt(per_year),
+    }).drop("_mean", "_sd", "_size")
 
 
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, width: float = 0.001) -> DataFrame:

@@ -67,8 +67,34 @@ def band_label(value: Column, low: Column, high: Column) -> Column:
     return F.when(value < low, "red").when(value > high, "green").otherwise("neutral")
 
 
+_FINE = 20               # binary places kept apart below
+_EXACT = 2.0**36         # the splitting is exact below this, and doubles have fewer than two decimals far above
+
+
+def two_decimals(value: Column) -> Column:
+    """``value`` with two decimals, rounded by its exact binary value, true halves to even.
+
+    Java's formatting rounds the shortest decimal that stands for a double, so
+    it takes 2.675 up although the double lies below.  Here a hundred times
+    the value is split into a whole number of 2 ** -20 and an exact rest.
+    """
+    scaled = F.abs(value) * 2.0**_FINE
+    whole = F.floor(scaled)
+    rest = (scaled - whole) * 100
+    cents = F.shiftright(whole * 100, _FINE)
+    half = 2 ** (_FINE - 1) + F.shiftleft(cents, _FINE) - whole * 100
+    cents = cents + F.when((rest > half) | ((rest == half) & (cents % 2 == 1)), 1).otherwise(0)
+    written = F.concat(
+        F.when(value < 0, "-").otherwise(""), F.floor(cents / 100).cast("string"), F.lit("."),
+        F.lpad((cents % 100).cast("string"), 2, "0"),
+    )
+    return F.when(F.abs(value) < _EXACT, written).when(value.isNotNull(), F.format_string("%.2f", value))
+
+
 def format_value(value: Column, as_percent: Column) -> Column:
-    return F.when(as_percent, F.format_string("%.2f%%", value * 100)).otherwise(F.format_string("%.2f", value))
+    percent = value * 100
+    sign = F.when(F.abs(percent) < float("inf"), "%").otherwise("")
+    return F.when(as_percent, F.concat(two_decimals(percent), sign)).otherwise(two_decimals(value))
 
 
 def score(metrics: DataFrame, targets: DataFrame) -> DataFrame:
