@@ -1,11 +1,11 @@
 """Words that stand together more often than chance, mined from an FM-index per shard.
 
-Texts are cut into shards of word ids.  Three passes narrow them: words that
-are frequent over all shards, then pairs of them, then longer phrases; each
-shard lists its phrases with their counts from its own index, the counts are
-summed, and a shard gets back only which of *its* words and pairs are frequent.
-No dictionary of the corpus is sent anywhere, and a phrase below the bound in
-one shard is never lost to the sum.
+Texts are cut into shards of word ids.  Each shard lists its phrases with
+their counts from its own index and the counts are summed over shards.  Words
+that are too rare over all shards leave the texts first, then pairs of words;
+a shard gets back only which of *its* words and pairs stay.  No dictionary of
+the corpus is sent anywhere, and a phrase below the bound in one shard is
+never lost to the sum.
 """
 
 from __future__ import annotations
@@ -15,15 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.fm_index import Phrases, WordIndex
+from tickloom.llm.blobs import deal, spread
+from tickloom.llm.fm_index import WordIndex
 from tickloom.llm.rows import sliced
 from tickloom.session import settle
 
 SHARD_WORDS = 2_000_000     # words of one index: some 100 MB while it is sorted
+BUCKET_BYTES = 32 << 20     # hashes of pairs that one task sums
 UNKNOWN = "und"
 # What ends a piece, and what parts its words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -35,7 +38,7 @@ _SALTS = 64
 
 SHARDS = "shard long, lang string, n long, ids binary, words array<string>, counts array<int>"
 COUNTED = "lang string, phrase string, count long"
-PAIRS = "shard long, lang string, phrase string, count long, id long"
+HINTS = "shard long, bucket int, packed binary"
 
 
 class _Numbers(dict):
@@ -63,7 +66,7 @@ class _Shard:
         ids = np.concatenate(self.parts)
         counts = np.bincount(ids, minlength=len(self.numbers))[1:]
         words = [w.decode() for w in list(self.numbers)[1:]]
-        return {"shard": shard, "lang": lang, "n": int(counts.sum()), "ids": ids.tobytes(), "words": words, "counts": counts.tolist()}
+        return {"shard": shard, "lang": lang, "n": int(counts.sum()), "ids": _transposed(ids), "words": words, "counts": counts.tolist()}
 
 
 _SHARD_ROWS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("ids", pa.binary()),
@@ -94,65 +97,99 @@ def _shards(shard_words: int):
     return made
 
 
-def _spelled(phrases: Phrases, words: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(*[words.take(pa.array(column - 1)) for column in phrases.words.T], " ")
+def _transposed(ids: np.ndarray) -> bytes:
+    """Byte by byte instead of id by id: the upper bytes are mostly equal and pack well."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _phrases(lang: str, phrases: Phrases, words: pa.Array) -> dict:
-    count = len(phrases.count)
-    return {"lang": pa.array([lang], pa.string()).take(pa.array(np.zeros(count, np.int32))), "phrase": _spelled(phrases, words),
-            "count": pa.array(phrases.count, pa.int64())}
+def _restored(packed: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int32)
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, pa.Array, pa.Scalar]]:
+def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, pa.Array, pa.Array]]:
     for batch in batches:
         for i in range(batch.num_rows):
             shard, lang, ids, words, frequent = (batch.column(c)[i] for c in ("shard", "lang", "ids", "words", "frequent"))
-            yield shard.as_py(), lang.as_py(), np.frombuffer(ids.as_buffer(), np.int32), words.values, frequent.values
+            yield shard.as_py(), lang.as_py(), _restored(ids.as_buffer()), words.values, frequent.values
 
 
-def _runs(ids: np.ndarray, joined: np.ndarray, least: int) -> np.ndarray:
-    """``ids`` cut wherever neighbours are not ``joined`` (one flag per gap), without runs shorter than ``least``."""
+def _runs(ids: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """``ids`` cut wherever neighbours are not ``joined`` (one flag per gap), without words that stand alone then."""
     if not len(ids):
         return ids
     run = np.r_[0, np.cumsum(~joined)]
-    long_ = np.bincount(run)[run] >= least
+    long_ = np.bincount(run)[run] > 1
     ids, run = ids[long_], run[long_]
     out = np.zeros(len(ids) + int(run.max(initial=-1)) + 1, ids.dtype)
     out[np.arange(len(ids)) + run] = ids
     return out[(out > 0) | (np.r_[0, out[:-1]] > 0)]
 
 
-def _pair(first: np.ndarray, second: np.ndarray, words: pa.Array) -> np.ndarray:
-    """One number for two neighbours within a shard."""
-    return first.astype(np.int64) * (len(words) + 1) + second
+_HINT = np.dtype([("key", "<u4"), ("count", "u1")])
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every pair of frequent words of a shard."""
-    for shard, lang, ids, words, frequent in _shard_rows(batches):
-        known = np.zeros(len(words) + 1, bool)
-        known[frequent.to_numpy(zero_copy_only=False)] = True
-        usual = known[ids]
-        text = _runs(ids, usual[:-1] & usual[1:], 2)
-        for found in WordIndex(text, 2).enumerate(2):
-            columns = _phrases(lang, found, words)
-            number = _pair(*found.words.T, words)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(number), shard)), **columns, "id": pa.array(number)})
+class _Keys:
+    """Numbers of pairs that mean the same in every shard: a bucket and 32 bits of a hash inside it."""
 
+    def __init__(self, lang: str, words: pa.Array, buckets: int) -> None:
+        seed = xxhash.xxh64_intdigest(lang.encode())
+        named = [0, *(xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist())]
+        self.word, self.buckets = np.array(named, np.uint64), np.uint64(buckets)
 
-def _longer(longest: int):
-    """Every phrase of three words or more of a shard whose pairs are all frequent."""
+    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        mixed = spread(self.word[first] * np.uint64(0x9E3779B97F4A7C15) + self.word[second])
+        low = np.uint64(32)
+        return (((mixed >> low) * self.buckets) >> low << low) | (mixed & np.uint64(0xFFFFFFFF))
+
+
+def _hints(buckets: int, least: int):
+    """The pairs of frequent words of each shard as hashes, dealt to buckets; counts end at what decides alone."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, lang, ids, words, frequent in _shard_rows(batches):
+            known = np.zeros(len(words) + 1, bool)
+            known[frequent.to_numpy(zero_copy_only=False)] = True
+            usual = known[ids]
+            (found,) = WordIndex(_runs(ids, usual[:-1] & usual[1:]), 2).enumerate(2)
+            keys = _Keys(lang, words, buckets).of(*found.words.T)
+            records = np.zeros(len(keys), _HINT)
+            records["key"], records["count"] = keys & np.uint64(0xFFFFFFFF), np.minimum(found.count, min(least, 255))
+            for bucket, packed in deal(records, (keys >> np.uint64(32)).astype(np.int64)):
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard]), "bucket": pa.array([bucket], pa.int32()), "packed": pa.array([packed])})
+
+    return listed
+
+
+def _heavy(least: int):
+    """Of one bucket: the hashes that may belong to a frequent pair, for each shard that sent them."""
+
+    def found(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        sent = [np.frombuffer(p.as_buffer(), _HINT) for p in rows.column("packed")]
+        every = np.concatenate(sent)
+        keys, place = np.unique(every["key"], return_inverse=True)
+        kept = np.bincount(place, every["count"]) >= min(least, 255)
+        at = np.cumsum([0, *map(len, sent)])
+        mine = [every["key"][a:b][kept[place[a:b]]].astype("<u8") | np.uint64(key[0].as_py()) << np.uint64(32) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.table({"shard": rows.column("shard"), "bucket": rows.column("bucket"), "packed": pa.array([m.tobytes() for m in mine])})
+
+    return found
+
+
+def _phrases(buckets: int, longest: int):
+    """Every phrase of a shard whose pairs may all be frequent, with its count."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, lang, ids, words, frequent in _shard_rows(batches):
-            pairs = np.sort(frequent.to_numpy(zero_copy_only=False))
-            here = _pair(ids[:-1], ids[1:], words)
-            at = np.minimum(np.searchsorted(pairs, here), len(pairs) - 1)
-            text = _runs(ids, pairs[at] == here, 3)
-            for found in WordIndex(text, longest).enumerate(longest):
-                if found.words.shape[1] > 2:
-                    yield pa.RecordBatch.from_pydict(_phrases(lang, found, words))
+            keys = _Keys(lang, words, buckets)
+            heavy = np.sort(np.concatenate([np.frombuffer(p.as_buffer(), "<u8") for p in frequent]))
+            here = keys.of(ids[:-1], ids[1:])
+            known = np.searchsorted(heavy, here)
+            joined = (ids[:-1] > 0) & (ids[1:] > 0) & (known < len(heavy))
+            joined[joined] &= heavy[known[joined]] == here[joined]
+            for found in WordIndex(_runs(ids, joined), longest).enumerate(longest):
+                spelled = pc.binary_join_element_wise(*[words.take(pa.array(column - 1)) for column in found.words.T], " ")
+                named = pa.array([lang]).take(pa.array(np.zeros(len(found.count), np.int32)))
+                yield pa.RecordBatch.from_pydict({"lang": named, "phrase": spelled, "count": pa.array(found.count, pa.int64())})
 
     return listed
 
@@ -161,29 +198,37 @@ def _frequent(counted: DataFrame, least: int) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
 
 
-def _back(shards: DataFrame, found: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Shards with the ids of what was found in them and is frequent over all."""
-    lists = found.join(frequent, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("id").alias("frequent"))
+def _with(shards: DataFrame, sent: DataFrame, entry: str) -> DataFrame:
+    """Shards with the list of what is sent to them."""
+    lists = sent.groupBy("shard").agg(F.collect_list(entry).alias("frequent"))
     return shards.join(lists, "shard").select("shard", "lang", "ids", "words", "frequent")
 
 
 def phrase_counts(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, shard_words: int = SHARD_WORDS
 ) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, a) of all phrases of 1 to ``longest`` words with at least ``least`` occurrences, and (lang, n)."""
+    """(lang, phrase, a) of all phrases of 1 to ``longest`` words with at least ``least`` occurrences, and (lang, n).
+
+    A phrase is frequent only if its words and its pairs are.  Words are
+    summed first; then pairs as hashes, whose sums are never below those of
+    the pairs themselves; the phrases of what is left are summed as they are.
+    """
     read = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
     shards = settle(read.mapInArrow(_shards(shard_words), SHARDS))
     words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "word"))
-    words = words.select("shard", "lang", F.col("word.words").alias("phrase"), (F.col("at") + 1).cast("long").alias("id"), F.col("word.counts").alias("count"))
+    words = words.select("shard", "lang", F.col("word.words").alias("phrase"), (F.col("at") + 1).alias("id"), F.col("word.counts").alias("count"))
     singles = settle(_frequent(words, least))
-    pairs = settle(_back(shards, words, singles).mapInArrow(_pairs, PAIRS))
-    doubles = settle(_frequent(pairs, least))
-    longer = _back(shards, pairs, doubles).mapInArrow(_longer(longest), COUNTED)
-    counts = singles.unionByName(doubles).unionByName(_frequent(longer, least)) if longest > 2 else singles.unionByName(doubles)
-    return settle(counts), shards.groupBy("lang").agg(F.sum("n").alias("n"))
+    total = shards.agg(F.sum("n")).first()[0] or 0
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * _HINT.itemsize // BUCKET_BYTES))
+    usual = _with(shards, words.join(singles, ["lang", "phrase"], "left_semi"), "id")
+    hints = usual.mapInArrow(_hints(buckets, least), HINTS)
+    heavy = hints.groupBy("bucket").applyInArrow(_heavy(least), HINTS)
+    counts = _frequent(_with(shards, heavy, "packed").mapInArrow(_phrases(buckets, longest), COUNTED), least)
+    return settle(singles.unionByName(counts)), shards.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _words(phrase: str) -> Column:
