@@ -15,6 +15,7 @@ from tickloom.operators import research as rs
 from tickloom.operators import risk
 from tickloom.operators.indicators import with_rule_indicators
 from tickloom.operators.metrics import results
+from tickloom.operators.permutation import REPETITIONS, permutation_test
 from tickloom.operators.positions import Account, trade_terms
 from tickloom.operators.rules import RULES
 from tickloom.operators.variants import Variant, best_variants, grid, sweep, total_returns
@@ -97,33 +98,45 @@ def seasonal_means(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- permutation test -------------------------------------------------------
 
-REPS = 20
+def _mix(x: str, source: str, target: str, kept: str) -> str:
+    """CTE ``target``: ``source`` with column ``h``, the 32-bit finaliser of ``x``."""
+    return f"""
+{target}_1 AS (SELECT {kept}, xor({x}, ({x}) >> 16) AS h FROM {source}),
+{target}_2 AS (SELECT {kept}, (h * 2246822507::UBIGINT) & 4294967295 AS h FROM {target}_1),
+{target}_3 AS (SELECT {kept}, (xor(h, h >> 13) * 3266489909::UBIGINT) & 4294967295 AS h FROM {target}_2),
+{target} AS (SELECT {kept}, xor(h, h >> 16) AS h FROM {target}_3)"""
+
+
+_SEEDED = "(bar_no + ('0x' || SUBSTR(MD5(symbol || '|' || strategy), 1, 8))::UBIGINT) & 4294967295"
 _PERMUTED = f"""
 WITH RECURSIVE {S.rule_flags('GoldenCross')}, {S.account()},
 pr AS MATERIALIZED (SELECT *, close / LAG(close) OVER (PARTITION BY symbol ORDER BY bar_no) - 1 AS bar_ret FROM acct),
 stats AS (
   SELECT symbol, COUNT(*) FILTER (pos = 1 AND bar_ret IS NOT NULL) AS n_long,
          COALESCE(SUM(bar_ret) FILTER (pos = 1), 0) AS stat FROM pr GROUP BY 1),
-ranked AS (
-  SELECT symbol, rep, bar_ret, ROW_NUMBER() OVER (PARTITION BY symbol, rep ORDER BY
-    MD5(rep || '|' || symbol || '|' || strategy || '|' || STRFTIME(day, '%Y-%m-%d') || ' 00:00:00')) AS rk
-  FROM pr, (SELECT UNNEST(RANGE(1, {REPS + 1})) AS rep) WHERE bar_ret IS NOT NULL),
+seeded AS (SELECT symbol, bar_ret, {_SEEDED} AS x FROM pr WHERE bar_ret IS NOT NULL),
+{_mix('x', 'seeded', 'own', 'symbol, bar_ret')},
+numbers AS (SELECT UNNEST(RANGE(1, {REPETITIONS + 1}))::UBIGINT AS rep),
+{_mix('rep', 'numbers', 'shuffles', 'rep')},
+shuffled AS (SELECT symbol, bar_ret, rep, xor(own.h, shuffles.h) AS x FROM own, shuffles),
+{_mix('x', 'shuffled', 'hashed', 'symbol, bar_ret, rep')},
+ranked AS (SELECT symbol, rep, bar_ret, ROW_NUMBER() OVER (PARTITION BY symbol, rep ORDER BY h) AS rk FROM hashed),
 chance AS (
   SELECT symbol, rep, COALESCE(SUM(bar_ret) FILTER (rk <= n_long), 0) AS by_chance, ANY_VALUE(stat) AS stat
   FROM ranked JOIN stats USING (symbol) GROUP BY 1, 2),
 p AS (
-  SELECT symbol, AVG(CASE WHEN by_chance >= stat - 1e-9 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS p_value
+  SELECT symbol, (COUNT(*) FILTER (by_chance >= stat - 1e-9) + 1) / {REPETITIONS + 1}.0::DOUBLE AS p_value
   FROM chance GROUP BY 1)"""
 
 
-def _permuted(spark: SparkSession, folder: str, repetitions: int = REPS) -> DataFrame:
+def _permuted(spark: SparkSession, folder: str) -> DataFrame:
     df, lay = run(*_returns(spark, folder), "GoldenCross", keep=("bar_ret",))
-    return rs.permutation_test(df, lay, repetitions)
+    return permutation_test(df, lay)
 
 
 @query("permutation_test", f"""
 {_PERMUTED} SELECT symbol, n_long, {rounded_sql('stat', 'p_value')} FROM p JOIN stats USING (symbol)""")
-def permutation_test(spark: SparkSession, folder: str) -> DataFrame:
+def permutation_test_query(spark: SparkSession, folder: str) -> DataFrame:
     return _permuted(spark, folder).select("symbol", "n_long", *rounded("stat", "p_value"))
 
 
@@ -139,16 +152,26 @@ def multiple_test_adjust(spark: SparkSession, folder: str) -> DataFrame:
     return rs.multiple_test_adjust(_permuted(spark, folder)).select("symbol", *rounded("p_value", "p_bonferroni", "p_bh"))
 
 
-# 1,000 orders and the observed one; too slow in SQL, tests/test_permutation.py has plain loops
-@query("permutation_test_corrected")
+@query("permutation_test_corrected", f"""
+{_PERMUTED}, named AS (SELECT symbol, n_long, stat, p_value AS p_corrected FROM p JOIN stats USING (symbol))
+SELECT symbol, n_long, {rounded_sql('stat', 'p_corrected')} FROM named""")
 def permutation_test_corrected(spark: SparkSession, folder: str) -> DataFrame:
-    return _permuted(spark, folder, rs.REPETITIONS).select("symbol", "n_long", *rounded("stat", "p_corrected"))
+    """The name under which the p-value with the observed order was first published."""
+    tests = _permuted(spark, folder).withColumnRenamed("p_value", "p_corrected")
+    return tests.select("symbol", "n_long", *rounded("stat", "p_corrected"))
 
 
-@query("multiple_test_corrected")
+@query("multiple_test_corrected", f"""
+{_PERMUTED}, ordered AS (
+  SELECT *, RANK() OVER (ORDER BY p_value) + COUNT(*) OVER (PARTITION BY p_value) - 1 AS upto, COUNT(*) OVER () AS m FROM p),
+adj AS (
+  SELECT symbol, p_value AS p_corrected, LEAST(1.0::DOUBLE, p_value * m) AS p_bonferroni,
+    LEAST(1.0::DOUBLE, MIN(p_value * m / upto) OVER (ORDER BY p_value DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_bh
+  FROM ordered)
+SELECT symbol, {rounded_sql('p_corrected', 'p_bonferroni', 'p_bh')} FROM adj""")
 def multiple_test_corrected(spark: SparkSession, folder: str) -> DataFrame:
-    adjusted = rs.multiple_test_adjust(_permuted(spark, folder, rs.REPETITIONS), "p_corrected")
-    return adjusted.select("symbol", *rounded("p_corrected", "p_bonferroni", "p_bh"))
+    tests = _permuted(spark, folder).withColumnRenamed("p_value", "p_corrected")
+    return rs.multiple_test_adjust(tests, "p_corrected").select("symbol", *rounded("p_corrected", "p_bonferroni", "p_bh"))
 
 
 # ---- folds ------------------------------------------------------------------
@@ -195,6 +218,55 @@ def parameter_sweep(spark: SparkSession, folder: str) -> DataFrame:
     return rs.best_parameters(df).select("symbol", "fast", "slow", *rounded("total_return"))
 
 
+_WALKED = f"""
+{_SWEEP}, {S.returns('symbol, fast, slow')}, span AS (SELECT DATE_TRUNC('month', MIN(day)) AS lo, MAX(day) AS hi FROM bars),
+spread AS (SELECT lo, GREATEST(1, CAST(CEIL((DATE_DIFF('month', lo, hi) + 1 - 24) / 12.0) AS INT)) AS folds FROM span),
+placed AS (
+  SELECT symbol, fast, slow, ret, fold, DATE_DIFF('month', lo, day) - 12 * fold AS month
+  FROM rets, (SELECT lo, UNNEST(RANGE(0, folds)) AS fold FROM spread)),
+scored AS (
+  SELECT symbol, fold, fast, slow, COUNT(*) FILTER (month < 24) AS train_bars, SUM(LN(1 + ret)) FILTER (month < 24) AS train_return,
+    NULLIF(COUNT(*) FILTER (month >= 24), 0) AS test_bars, SUM(LN(1 + ret)) FILTER (month >= 24) AS test_return,
+    CASE WHEN VAR_POP(ret) FILTER (month >= 24) > 1e-12 * AVG(ret * ret) FILTER (month >= 24)
+         THEN AVG(ret) FILTER (month >= 24) / STDDEV_POP(ret) FILTER (month >= 24) * SQRT(252) END AS test_sharpe
+  FROM placed WHERE month BETWEEN 0 AND 35 GROUP BY ALL HAVING COUNT(*) FILTER (month < 24) > 0),
+picked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY symbol, fold ORDER BY ROUND(train_return, 9) DESC, fast, slow) AS rn FROM scored)"""
+_WALK = ("train_return", "test_return", "test_sharpe")
+
+
+def _walked(spark: SparkSession, folder: str, df: DataFrame, lay: Layout) -> DataFrame:
+    start, folds = rs.walk_forward_span(bars_of(spark, folder), 24, 12)
+    swept, _ = rs.sma_cross_sweep(df, lay, FAST, SLOW)
+    slices = rs.slice_statistics(swept, ["symbol", "fast", "slow"], start, 12)
+    return rs.walk_forward_selection(slices, ["symbol"], ["fast", "slow"], folds, 2, 1)
+
+
+def _walk_columns(selected: DataFrame) -> DataFrame:
+    return selected.select("symbol", "fold", "fast", "slow", "train_bars", "test_bars", *rounded(*_WALK))
+
+
+@query("walk_forward_selection", f"""
+{_WALKED} SELECT symbol, fold, fast, slow, train_bars, test_bars, {rounded_sql(*_WALK)} FROM picked WHERE rn = 1""")
+def walk_forward_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Parameters picked on two years, scored on the year after, fold by fold."""
+    return _walk_columns(_walked(spark, folder, *laid(spark, folder)))
+
+
+@query("chunked_walk_forward", f"""
+{_WALKED} SELECT symbol, fold, fast, slow, train_bars, test_bars, {rounded_sql(*_WALK)} FROM picked WHERE rn = 1""")
+def chunked_walk_forward(spark: SparkSession, folder: str) -> DataFrame:
+    return _walk_columns(_walked(spark, folder, *laid_in_chunks(spark, folder, back=120)))
+
+
+@query("walk_forward_summary", f"""
+{_WALKED} SELECT symbol, COUNT(*) AS folds, COUNT(DISTINCT fast * 1000 + slow) AS variants,
+  ROUND(SUM(test_return) + 3.3e-8, 6) AS test_return, ROUND(AVG(CASE WHEN test_return > 0 THEN 1.0::DOUBLE ELSE 0.0 END) + 3.3e-8, 6) AS gained
+FROM picked WHERE rn = 1 AND test_bars > 0 GROUP BY 1""")
+def walk_forward_summary(spark: SparkSession, folder: str) -> DataFrame:
+    selected = _walked(spark, folder, *laid(spark, folder))
+    return rs.walk_forward_summary(selected, ["symbol"], ["fast", "slow"]).select("symbol", "folds", "variants", *rounded("test_return", "gained"))
+
+
 _COLUMNS = "symbol, {key}, day, bar_no, open, high, low, close"
 _TOTALS = "SELECT symbol, params, LN(ARG_MAX(equity, bar_no) / 1000.0) AS total_return, COUNT(*) FILTER (act = 1) AS trades FROM acct GROUP BY 1, 2"
 _OTHER_CROSS = Variant("GoldenCross", (("fast", 20), ("slow", 100)))

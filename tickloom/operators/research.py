@@ -12,95 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.functions.compare import EPS, real_deviation, safe_divide
+from tickloom.functions.compare import real_deviation, safe_divide
 from tickloom.operators.indicators import with_crosses, with_smas
 from tickloom.operators.positions import Account, with_equity, with_fills, with_position, with_returns
 from tickloom.operators.rules import resolve, signal_flags
 from tickloom.plans.layout import Layout, spread_over
-from tickloom.session import settle
 
 P_BUCKETS = 10_000
 
 
-# ---- permutation test -------------------------------------------------------
-
-
-REPETITIONS = 1_000
-
-
-def permutation_test(df: DataFrame, lay: Layout, repetitions: int = REPETITIONS) -> DataFrame:
-    """How often shuffled returns do at least as well as the rule.
-
-    Reads ``pos`` and ``bar_ret``.  A rule that is long on m bars collects m
-    returns; under a random order it collects the m that come first.  The
-    order is a hash of repetition, key and time, so any executor can redo it.
-
-    ``p_value`` is the plain share.  ``p_corrected`` counts the order that was
-    observed as one more, (wins + 1) / (repetitions + 1), so it is never 0.
-    """
-    keys = list(lay.keys)
-    held = F.when(F.col("pos") == 1, F.col("bar_ret"))
-    stats = {"n_long": F.count(held), "stat": F.sum(held)}
-    bars = df.filter(F.col("bar_ret").isNotNull()).select(*keys, "ts", "bar_ret", "pos")
-    if lay.chunked:
-        per_key = bars.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
-        bars = settle(bars.join(per_key, keys))
-    else:
-        bars = bars.withColumns({n: c.over(lay.everything()) for n, c in stats.items()})
-    bars = bars.fillna({"stat": 0.0})
-    shuffled = bars.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn(
-        "_key", F.md5(F.concat_ws("|", "rep", *keys, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
-    )
-    if lay.spread:
-        shuffled = spread_over(shuffled, *keys, "rep")
-    by_chance = _first_n_by_bucket(shuffled, [*keys, "rep"]) if lay.chunked else _first_n(shuffled, [*keys, "rep"])
-    per_rep = by_chance.withColumn(
-        "_wins", F.when(F.coalesce("_sum", F.lit(0.0)) >= F.col("stat") - EPS, 1.0).otherwise(0.0)
-    )
-    return per_rep.groupBy(*keys).agg(
-        F.first("n_long").alias("n_long"), F.first("stat").alias("stat"), F.avg("_wins").alias("p_value"),
-        ((F.sum("_wins") + 1) / (repetitions + 1)).alias("p_corrected"),
-    )
-
-
-def _first_n(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum of the ``n_long`` returns with the smallest hash, per key."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_key"))
-    return rows.withColumn("_rank", rank).groupBy(*keys).agg(
-        F.sum(F.when(F.col("_rank") <= F.col("n_long"), F.col("bar_ret"))).alias("_sum"),
-        F.first("stat").alias("stat"), F.first("n_long").alias("n_long"),
-    )
-
-
-def _first_n_by_bucket(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The same for keys of any size.
-
-    Counts and sums per hash bucket are combined map-side.  Buckets below the
-    n-th hash count in full; only the rows of the one bucket that holds it are
-    shuffled and ranked.
-    """
-    rows = rows.withColumn("_bucket", F.substring("_key", 1, 3))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = rows.groupBy(*keys, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("bar_ret").alias("_all"),
-        F.first("stat").alias("stat"), F.first("n_long").alias("n_long"),
-    ).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    split = buckets.filter(
-        (F.col("_before") < F.col("n_long")) & (F.col("_before") + F.col("_n") > F.col("n_long"))
-    ).select(*keys, "_bucket", "_before")
-    place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy("_key"))
-    inside = (
-        rows.join(split, [*keys, "_bucket"]).withColumn("_rank", F.col("_before") + place)
-        .filter(F.col("_rank") <= F.col("n_long")).groupBy(*keys).agg(F.sum("bar_ret").alias("_part"))
-    )
-    full = F.when(F.col("_before") + F.col("_n") <= F.col("n_long"), F.col("_all"))
-    return (
-        buckets.groupBy(*keys).agg(
-            F.sum(full).alias("_full"), F.first("stat").alias("stat"), F.first("n_long").alias("n_long")
-        )
-        .join(inside, keys, "left")
-        .withColumn("_sum", F.coalesce("_full", F.lit(0.0)) + F.coalesce("_part", F.lit(0.0)))
-    )
+# ---- many tests -------------------------------------------------------------
 
 
 def multiple_test_adjust(tests: DataFrame, p: str = "p_value", family: Sequence[str] = ()) -> DataFrame:
@@ -168,6 +89,60 @@ def walk_forward_split(bars: DataFrame, start: str, folds: int, train_months: in
     return placed.withColumn("part", F.when(trains, "train").otherwise("test")).drop("_month")
 
 
+def slice_statistics(returns: DataFrame, keys: Sequence[str], start: str, months: int, value: str = "ret") -> DataFrame:
+    """Per key and run of ``months`` from ``start`` on: what returns of any run of slices can be judged by.
+
+    Bars, log return, sum and sum of squares add up over slices, so training
+    and test spans are put together from slices and bars are read once.
+    """
+    month = F.months_between(F.trunc(F.col("ts").cast("date"), "MM"), F.lit(start).cast("date")).cast("int")
+    known = returns.filter(F.col(value).isNotNull()).withColumn("slice", F.floor(month / months).cast("int"))
+    return known.filter("slice >= 0").groupBy(*keys, "slice").agg(
+        F.count(F.lit(1)).alias("bars"), F.sum(F.log1p(value)).alias("log_return"),
+        F.sum(value).alias("total"), F.sum(F.col(value) * F.col(value)).alias("squares"),
+    )
+
+
+def walk_forward_selection(slices: DataFrame, key: Sequence[str], variant: Sequence[str], folds: int, train: int, test: int,
+                           per_year: int = 252) -> DataFrame:
+    """Per key and fold the variant with the best training return, and how it did on the slices after.
+
+    Fold k trains on ``train`` slices from k * ``test`` on and tests on the
+    ``test`` slices that follow.  Equal returns (to nine places) go to the
+    first variant by its parameters; folds without training bars are left out,
+    folds without test bars have NULL there.  What is copied to folds is the
+    summaries, never the bars.
+    """
+    place = F.col("slice")
+    earliest = F.greatest(F.floor((place - train - test) / test) + 1, F.lit(0))
+    latest = F.least(F.floor(place / test), F.lit(folds - 1))
+    placed = slices.filter(earliest <= latest).withColumn("fold", F.explode(F.sequence(earliest.cast("int"), latest.cast("int"))))
+    trains = place - F.col("fold") * test < train
+    sums = {f"{part}_{c}": F.sum(F.when(trains if part == "train" else ~trains, F.col(c)))
+            for part in ("train", "test") for c in ("bars", "log_return", "total", "squares")}
+    scored = placed.groupBy(*key, *variant, "fold").agg(*[c.alias(n) for n, c in sums.items()]).filter("train_bars > 0")
+    order = F.struct((-F.round("train_log_return", 9)).alias("_return"), *variant)
+    taken = [*variant, *sums]
+    best = scored.groupBy(*key, "fold").agg(F.min_by(F.struct(*taken), order).alias("_best")).select(*key, "fold", "_best.*")
+    mean = F.col("test_total") / F.col("test_bars")
+    square = F.col("test_squares") / F.col("test_bars")
+    variance = square - mean * mean
+    sharpe = F.when(variance > 1e-12 * square, mean / F.sqrt(variance) * math.sqrt(per_year))
+    return best.select(
+        *key, "fold", *variant, "train_bars", F.col("train_log_return").alias("train_return"),
+        "test_bars", F.col("test_log_return").alias("test_return"), sharpe.alias("test_sharpe"),
+    )
+
+
+def walk_forward_summary(selected: DataFrame, key: Sequence[str], variant: Sequence[str]) -> DataFrame:
+    """Per key: folds with test bars, log return over all tests, share of tests that gained, variants taken."""
+    return selected.filter("test_bars > 0").groupBy(*key).agg(
+        F.count(F.lit(1)).alias("folds"), F.sum("test_return").alias("test_return"),
+        F.avg(F.when(F.col("test_return") > 0, 1.0).otherwise(0.0)).alias("gained"),
+        F.count_distinct(F.struct(*variant)).alias("variants"),
+    )
+
+
 def cross_validation_folds(df: DataFrame, lay: Layout, folds: int) -> DataFrame:
     """Contiguous, near-equal runs of bars per key, numbered 1..folds; early folds take the rest."""
     if lay.chunked:
