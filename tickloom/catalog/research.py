@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import itertools
 import json
+import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tickloom.catalog import sql as S
 from tickloom.catalog.registry import bars_of, day, laid, laid_in_chunks, query, rounded, rounded_sql
 from tickloom.operators import research as rs
 from tickloom.operators import risk
+from tickloom.operators.bootstrap import BLOCK, bootstrap_interval
 from tickloom.operators.indicators import with_rule_indicators
 from tickloom.operators.metrics import results
 from tickloom.operators.permutation import REPETITIONS, permutation_test
@@ -174,6 +176,53 @@ def multiple_test_corrected(spark: SparkSession, folder: str) -> DataFrame:
     return rs.multiple_test_adjust(tests, "p_corrected").select("symbol", *rounded("p_corrected", "p_bonferroni", "p_bh"))
 
 
+# ---- bootstrap --------------------------------------------------------------
+
+_DRAWN = 150        # more blocks than any of these series needs
+_BOOT = f"""
+WITH RECURSIVE {S.rule_flags('DonchianTurtle')}, {S.account()}, {S.returns()},
+prefix AS MATERIALIZED (
+  SELECT symbol, strategy, bar_no AS place, SUM(LN(1 + ret)) OVER (PARTITION BY symbol ORDER BY bar_no) AS p FROM rets
+  UNION ALL SELECT DISTINCT symbol, strategy, 0, 0.0 FROM rets),
+series AS (
+  SELECT symbol, COUNT(*) AS n, SUM(LN(1 + ret)) AS total_return,
+         ('0x' || SUBSTR(MD5(symbol || '|' || strategy), 1, 8))::UBIGINT AS seed FROM rets GROUP BY symbol, strategy),
+asked AS (SELECT symbol, n, seed, j, k, (seed + 2 * j + k) & 4294967295 AS x FROM series, (SELECT UNNEST(RANGE(0, {_DRAWN}))::UBIGINT AS j), (VALUES (0::UBIGINT), (1::UBIGINT)) v(k)),
+{_mix('x', 'asked', 'own', 'symbol, n, j, k')},
+numbers AS (SELECT UNNEST(RANGE(1, {REPETITIONS + 1}))::UBIGINT AS rep),
+{_mix('rep', 'numbers', 'repeats', 'rep')},
+met AS (SELECT symbol, n, j, k, rep, xor(own.h, repeats.h) AS x FROM own, repeats),
+{_mix('x', 'met', 'drawn', 'symbol, n, j, k, rep')},
+blocks AS (
+  SELECT symbol, ANY_VALUE(n) AS n, rep, j, CAST(MAX(CASE WHEN k = 0 THEN (h * n) >> 32 END) AS BIGINT) AS s,
+         MAX(CASE WHEN k = 1 THEN 1 + CAST(FLOOR(LN((h + 1.0::DOUBLE) / 4294967296.0) / {math.log(1 - 1 / BLOCK)!r}::DOUBLE) AS BIGINT) END) AS length
+  FROM drawn GROUP BY symbol, rep, j),
+filled AS (SELECT *, SUM(length) OVER (PARTITION BY symbol, rep ORDER BY j) - length AS before FROM blocks),
+used AS (SELECT *, s + LEAST(length, n - before) AS e FROM filled WHERE before < n),
+ends AS (
+  SELECT symbol, rep, s AS place, -1 AS sign FROM used UNION ALL
+  SELECT symbol, rep, CASE WHEN e > n THEN e - n ELSE e END, 1 FROM used UNION ALL
+  SELECT symbol, rep, n, 1 FROM used WHERE e > n),
+totals AS (SELECT symbol, rep, SUM(sign * p) AS total FROM ends JOIN prefix USING (symbol, place) GROUP BY 1, 2),
+i AS (SELECT symbol, QUANTILE_CONT(total, 0.025) AS low, QUANTILE_CONT(total, 0.975) AS high FROM totals GROUP BY 1)
+SELECT symbol, n AS bars, {rounded_sql('total_return', 'low', 'high')} FROM series JOIN i USING (symbol)"""
+
+
+def _interval(table: DataFrame) -> DataFrame:
+    return table.select("symbol", "bars", *rounded("total_return", "low", "high"))
+
+
+@query("bootstrap_interval", _BOOT)
+def bootstrap_interval_query(spark: SparkSession, folder: str) -> DataFrame:
+    """95 % of 1,000 series of random blocks, for the account of one rule."""
+    return _interval(bootstrap_interval(*run(*laid(spark, folder), "DonchianTurtle")))
+
+
+@query("chunked_bootstrap", _BOOT)
+def chunked_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
+    return _interval(bootstrap_interval(*run(*laid_in_chunks(spark, folder, back=1_700), "DonchianTurtle")))
+
+
 # ---- folds ------------------------------------------------------------------
 
 
