@@ -2,8 +2,8 @@
 
 Texts are cut into shards of word ids.  Each shard lists its phrases with
 their counts from its own index and the counts are summed over shards.  Words
-that are too rare over all shards leave the texts first, then pairs of words;
-a shard gets back only which of *its* words and pairs stay.  No dictionary of
+that are too rare over all shards leave the texts first, then pairs, then
+triples; a shard gets back only which of *its* own stay.  No dictionary of
 the corpus is sent anywhere, and a phrase below the bound in one shard is
 never lost to the sum.
 """
@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.blobs import deal, spread
-from tickloom.llm.fm_index import WordIndex
+from tickloom.llm.fm_index import Phrases, WordIndex
 from tickloom.llm.rows import sliced
 from tickloom.session import settle
 
-SHARD_WORDS = 2_000_000     # words of one index: some 100 MB while it is sorted
+SHARD_WORDS = 1_000_000     # words of one index: some 60 MB while it is sorted
 BUCKET_BYTES = 32 << 20     # hashes of pairs that one task sums
 UNKNOWN = "und"
 # What ends a piece, and what parts its words.
@@ -38,7 +38,7 @@ _SALTS = 64
 
 SHARDS = "shard long, lang string, n long, ids binary, words array<string>, counts array<int>"
 COUNTED = "lang string, phrase string, count long"
-HINTS = "shard long, bucket int, packed binary"
+SENT = "shard long, lang string, bucket int, packed binary, ids binary, words array<string>"
 
 
 class _Numbers(dict):
@@ -72,6 +72,9 @@ class _Shard:
 _SHARD_ROWS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("ids", pa.binary()),
                          ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
 
+_SENT_ROWS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("bucket", pa.int32()), ("packed", pa.binary()), ("ids", pa.binary()),
+                        ("words", pa.list_(pa.string()))])
+
 
 def _shards(shard_words: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +109,14 @@ def _restored(packed: pa.Buffer) -> np.ndarray:
     return np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int32)
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, pa.Array, pa.Array]]:
+def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, pa.Array, list[np.ndarray]]]:
+    """Shards with their ids, words and the lists that came back to them."""
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, lang, ids, words, frequent = (batch.column(c)[i] for c in ("shard", "lang", "ids", "words", "frequent"))
-            yield shard.as_py(), lang.as_py(), _restored(ids.as_buffer()), words.values, frequent.values
+            shard, lang, ids, words, back = (batch.column(c)[i] for c in ("shard", "lang", "ids", "words", "back"))
+            lists = [] if not back.is_valid else [back.values.to_numpy()] if pa.types.is_integer(back.values.type) else [
+                np.frombuffer(p.as_buffer(), "<u8") for p in back.values]
+            yield shard.as_py(), lang.as_py(), _restored(ids.as_buffer()), words.values, lists
 
 
 def _runs(ids: np.ndarray, joined: np.ndarray) -> np.ndarray:
@@ -125,43 +131,87 @@ def _runs(ids: np.ndarray, joined: np.ndarray) -> np.ndarray:
     return out[(out > 0) | (np.r_[0, out[:-1]] > 0)]
 
 
+def _triple_runs(ids: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """The words of every run of ``heavy`` triples (one flag per start); a word that ends one run and starts the next is in both."""
+    starts = np.flatnonzero(heavy)
+    if not len(starts):
+        return ids[:0]
+    first = np.r_[True, np.diff(starts) > 1]
+    begin, size = starts[first], np.diff(np.r_[np.flatnonzero(first), len(starts)]) + 3     # two words more and a break
+    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    out = ids[np.minimum(at, len(ids) - 1)]
+    out[np.cumsum(size) - 1] = 0
+    return out
+
+
 _HINT = np.dtype([("key", "<u4"), ("count", "u1")])
 
 
 class _Keys:
-    """Numbers of pairs that mean the same in every shard: a bucket and 32 bits of a hash inside it."""
+    """Numbers of phrases that mean the same in every shard: a bucket and 32 bits of a hash inside it."""
 
     def __init__(self, lang: str, words: pa.Array, buckets: int) -> None:
         seed = xxhash.xxh64_intdigest(lang.encode())
         named = [0, *(xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist())]
         self.word, self.buckets = np.array(named, np.uint64), np.uint64(buckets)
 
-    def of(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        mixed = spread(self.word[first] * np.uint64(0x9E3779B97F4A7C15) + self.word[second])
+    def of(self, first: np.ndarray, *others: np.ndarray) -> np.ndarray:
+        mixed = self.word[first]
+        for other in others:
+            mixed = spread(mixed * np.uint64(0x9E3779B97F4A7C15) + self.word[other])
         low = np.uint64(32)
         return (((mixed >> low) * self.buckets) >> low << low) | (mixed & np.uint64(0xFFFFFFFF))
 
+    def hints(self, shard: int, lang: str, found: Phrases, least: int) -> Iterator[dict]:
+        """Hashes of phrases, dealt to buckets; counts end at what decides alone."""
+        keys = self.of(*found.words.T)
+        if not len(keys):
+            return
+        records = np.zeros(len(keys), _HINT)
+        records["key"], records["count"] = keys & np.uint64(0xFFFFFFFF), np.minimum(found.count, min(least, 255))
+        for bucket, packed in deal(records, (keys >> np.uint64(32)).astype(np.int64)):
+            yield {"shard": shard, "lang": lang, "bucket": bucket, "packed": packed}
+
 
-def _hints(buckets: int, least: int):
-    """The pairs of frequent words of each shard as hashes, dealt to buckets; counts end at what decides alone."""
+def _held(keys: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """Which keys one of the lists holds."""
+    return np.isin(keys, np.concatenate(lists)) if lists else np.zeros(len(keys), bool)
+
+
+def _pairs(buckets: int, least: int):
+    """The pairs of frequent words of each shard, as hashes."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, lang, ids, words, frequent in _shard_rows(batches):
+        for shard, lang, ids, words, lists in _shard_rows(batches):
             known = np.zeros(len(words) + 1, bool)
-            known[frequent.to_numpy(zero_copy_only=False)] = True
+            known[lists[0]] = True
             usual = known[ids]
             (found,) = WordIndex(_runs(ids, usual[:-1] & usual[1:]), 2).enumerate(2)
-            keys = _Keys(lang, words, buckets).of(*found.words.T)
-            records = np.zeros(len(keys), _HINT)
-            records["key"], records["count"] = keys & np.uint64(0xFFFFFFFF), np.minimum(found.count, min(least, 255))
-            for bucket, packed in deal(records, (keys >> np.uint64(32)).astype(np.int64)):
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard]), "bucket": pa.array([bucket], pa.int32()), "packed": pa.array([packed])})
+            for row in _Keys(lang, words, buckets).hints(shard, lang, found, least):
+                yield pa.RecordBatch.from_pylist([row], _SENT_ROWS)
+
+    return listed
+
+
+def _triples(buckets: int, least: int):
+    """The text of each shard cut to runs of heavy pairs, and its triples as hashes."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, lang, ids, words, lists in _shard_rows(batches):
+            joined = _held(_Keys(lang, words, buckets).of(ids[:-1], ids[1:]), lists) & (ids[:-1] > 0) & (ids[1:] > 0)
+            used, text = np.unique(np.r_[0, _runs(ids, joined)], return_inverse=True)
+            text, words = text[1:].astype(np.int32), words.take(pa.array(used[1:] - 1))
+            row = {"shard": shard, "lang": lang, "ids": _transposed(text), "words": words.to_pylist()}
+            yield pa.RecordBatch.from_pylist([row], _SENT_ROWS)
+            *_, found = WordIndex(text, 3).enumerate(3)
+            for row in _Keys(lang, words, buckets).hints(shard, lang, found, least):
+                yield pa.RecordBatch.from_pylist([row], _SENT_ROWS)
 
     return listed
 
 
 def _heavy(least: int):
-    """Of one bucket: the hashes that may belong to a frequent pair, for each shard that sent them."""
+    """Of one bucket: the hashes that may belong to a frequent phrase, for each shard that sent them."""
 
     def found(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         sent = [np.frombuffer(p.as_buffer(), _HINT) for p in rows.column("packed")]
@@ -170,23 +220,21 @@ def _heavy(least: int):
         kept = np.bincount(place, every["count"]) >= min(least, 255)
         at = np.cumsum([0, *map(len, sent)])
         mine = [every["key"][a:b][kept[place[a:b]]].astype("<u8") | np.uint64(key[0].as_py()) << np.uint64(32) for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({"shard": rows.column("shard"), "bucket": rows.column("bucket"), "packed": pa.array([m.tobytes() for m in mine])})
+        return pa.table({"shard": rows.column("shard"), "packed": pa.array([m.tobytes() for m in mine])})
 
     return found
 
 
 def _phrases(buckets: int, longest: int):
-    """Every phrase of a shard whose pairs may all be frequent, with its count."""
+    """Every phrase of a shard whose pairs and triples may all be frequent, with its count."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, lang, ids, words, frequent in _shard_rows(batches):
-            keys = _Keys(lang, words, buckets)
-            heavy = np.sort(np.concatenate([np.frombuffer(p.as_buffer(), "<u8") for p in frequent]))
-            here = keys.of(ids[:-1], ids[1:])
-            known = np.searchsorted(heavy, here)
-            joined = (ids[:-1] > 0) & (ids[1:] > 0) & (known < len(heavy))
-            joined[joined] &= heavy[known[joined]] == here[joined]
-            for found in WordIndex(_runs(ids, joined), longest).enumerate(longest):
+        for _, lang, ids, words, lists in _shard_rows(batches):
+            there = (ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0)
+            heavy = _held(_Keys(lang, words, buckets).of(ids[:-2], ids[1:-1], ids[2:]), lists) & there
+            pairs = list(WordIndex(ids, 2).enumerate(2))
+            longer = list(WordIndex(_triple_runs(ids, heavy), longest).enumerate(longest))[1:]
+            for found in pairs + longer:
                 spelled = pc.binary_join_element_wise(*[words.take(pa.array(column - 1)) for column in found.words.T], " ")
                 named = pa.array([lang]).take(pa.array(np.zeros(len(found.count), np.int32)))
                 yield pa.RecordBatch.from_pydict({"lang": named, "phrase": spelled, "count": pa.array(found.count, pa.int64())})
@@ -198,10 +246,10 @@ def _frequent(counted: DataFrame, least: int) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
 
 
-def _with(shards: DataFrame, sent: DataFrame, entry: str) -> DataFrame:
-    """Shards with the list of what is sent to them."""
-    lists = sent.groupBy("shard").agg(F.collect_list(entry).alias("frequent"))
-    return shards.join(lists, "shard").select("shard", "lang", "ids", "words", "frequent")
+def _with(shards: DataFrame, sent: DataFrame, how: str = "inner") -> DataFrame:
+    """Shards with the lists that are sent back to them."""
+    lists = sent.groupBy("shard").agg(F.collect_list("packed").alias("back"))
+    return shards.join(lists, "shard", how).select("shard", "lang", "ids", "words", "back")
 
 
 def phrase_counts(
@@ -209,10 +257,11 @@ def phrase_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, a) of all phrases of 1 to ``longest`` words with at least ``least`` occurrences, and (lang, n).
 
-    A phrase is frequent only if its words and its pairs are.  Words are
-    summed first; then pairs as hashes, whose sums are never below those of
-    the pairs themselves; the phrases of what is left are summed as they are.
+    A phrase is frequent only if its words, pairs and triples are.  Words are
+    summed first; then pairs and triples as hashes, whose sums are never below
+    those of the phrases themselves; what is left is summed as it is.
     """
+    spark = docs.sparkSession
     read = docs.select(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
@@ -222,12 +271,17 @@ def phrase_counts(
     words = words.select("shard", "lang", F.col("word.words").alias("phrase"), (F.col("at") + 1).alias("id"), F.col("word.counts").alias("count"))
     singles = settle(_frequent(words, least))
     total = shards.agg(F.sum("n")).first()[0] or 0
-    spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * _HINT.itemsize // BUCKET_BYTES))
-    usual = _with(shards, words.join(singles, ["lang", "phrase"], "left_semi"), "id")
-    hints = usual.mapInArrow(_hints(buckets, least), HINTS)
-    heavy = hints.groupBy("bucket").applyInArrow(_heavy(least), HINTS)
-    counts = _frequent(_with(shards, heavy, "packed").mapInArrow(_phrases(buckets, longest), COUNTED), least)
+
+    def heavy(sent: DataFrame) -> DataFrame:
+        return sent.select("shard", "bucket", "packed").groupBy("bucket").applyInArrow(_heavy(least), "shard long, packed binary")
+
+    usual = words.join(singles, ["lang", "phrase"], "left_semi").select("shard", F.col("id").alias("packed"))
+    pairs = heavy(_with(shards, usual).mapInArrow(_pairs(buckets, least), SENT))
+    sent = settle(_with(shards, pairs).mapInArrow(_triples(buckets, least), SENT))
+    texts = sent.filter("bucket is null")
+    triples = heavy(sent.filter("bucket is not null"))
+    counts = _frequent(_with(texts, triples, "left").mapInArrow(_phrases(buckets, longest), COUNTED), least)
     return settle(singles.unionByName(counts)), shards.groupBy("lang").agg(F.sum("n").alias("n"))
 
 

@@ -35,13 +35,13 @@ def _order(text: np.ndarray, depth: int) -> np.ndarray:
 
 class _Half:
     def __init__(self, text: np.ndarray, depth: int) -> None:
-        self.before = text[_order(text, depth) - 1].astype(np.int64)     # the transform: the word before each place
-        places = np.argsort(self.before, kind="stable")
-        self.seats = self.before[places] * len(text) + places          # where each word stands in it, word by word
+        self.before = text[_order(text, depth) - 1]     # the transform: the word before each place
+        self.seats = np.argsort(self.before, kind="stable")     # where each word stands in it, word by word
+        self.seats += self.before[self.seats].astype(np.int64) * len(text)
 
     def start(self, word: np.ndarray, low: np.ndarray) -> np.ndarray:
         """First place of the interval that ``word`` opens before the interval starting at ``low``."""
-        return np.searchsorted(self.seats, word * len(self.before) + low)
+        return np.searchsorted(self.seats, word.astype(np.int64) * len(self.before) + low)
 
 
 @dataclass
@@ -55,7 +55,7 @@ class Phrases:
 
 class WordIndex:
     def __init__(self, text: np.ndarray, depth: int) -> None:
-        text = np.r_[0, text, 0]
+        text = np.r_[0, text, 0].astype(np.int32)
         self.halves = _Half(text, depth), _Half(text[::-1], depth)
         self.counts = np.bincount(text)
 
@@ -67,11 +67,14 @@ class WordIndex:
     def extended(self, phrases: Phrases, right: bool) -> Phrases:
         """Every phrase with every word that stands before (or after) it, with its count."""
         side, other = (1, 0) if right else (0, 1)
-        owner = np.repeat(np.arange(len(phrases.count)), phrases.count)
         begin = np.cumsum(phrases.count) - phrases.count
-        rows = np.arange(len(owner)) + np.repeat(phrases.low[side] - begin, phrases.count)
         base = len(self.counts)
-        pairs, count = np.unique(owner * base + self.halves[side].before[rows], return_counts=True)
+        rows = np.repeat(phrases.low[side] - begin, phrases.count)
+        rows += np.arange(len(rows))
+        owned = np.repeat(np.arange(len(phrases.count)) * base, phrases.count)
+        owned += self.halves[side].before[rows]
+        del rows
+        pairs, count = np.unique(owned, return_counts=True)
         owner, word = pairs // base, pairs % base
         # in the other half the interval is cut by the new word, in the order of the words
         passed = np.cumsum(count) - count - begin[owner]
