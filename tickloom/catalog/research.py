@@ -17,6 +17,7 @@ from tickloom.operators import risk
 from tickloom.operators.bootstrap import BLOCK, bootstrap_interval
 from tickloom.operators.indicators import with_rule_indicators
 from tickloom.operators.metrics import results
+from tickloom.operators.paths import path_metrics, rolling_max_drawdown
 from tickloom.operators.permutation import REPETITIONS, permutation_test
 from tickloom.operators.positions import Account, trade_terms
 from tickloom.operators.rules import RULES
@@ -418,6 +419,73 @@ def per_year_breakdown(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _path_sql(source: str, keys: str, year: str) -> str:
+    by = f"PARTITION BY {keys} ORDER BY bar_no"
+    upto = f"({by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""
+SELECT {keys.split(', ')[0]} AS symbol, {year} AS year, COUNT(*) AS bars, SUM(l) AS log_return, MAX(1 - EXP(LEAST(g - peak, 0))) AS max_drawdown,
+  AVG(1 - EXP(LEAST(g - peak, 0))) AS avg_drawdown, MAX(under) AS longest_drawdown, COUNT(*) FILTER (under = 1) AS drawdowns
+FROM (
+  SELECT *, bar_no - COALESCE(MAX(CASE WHEN g >= peak - 1e-9 THEN bar_no END) OVER {upto}, MIN(bar_no) OVER {upto} - 1) AS under
+  FROM (SELECT *, GREATEST(MAX(g) OVER {upto}, 0) AS peak FROM (SELECT *, SUM(l) OVER {upto} AS g FROM {source})))
+GROUP BY {keys}"""
+
+
+_PATHS = ("log_return", "max_drawdown", "avg_drawdown")
+_PATH = f"""
+WITH {RETS}, own AS MATERIALIZED (SELECT symbol, YEAR(day) AS year, bar_no, LN(1 + bar_ret) AS l FROM rb WHERE bar_ret IS NOT NULL),
+market AS MATERIALIZED (
+  SELECT NULL::VARCHAR AS symbol, YEAR(day) AS year, ROW_NUMBER() OVER (ORDER BY day) AS bar_no, LN(1 + AVG(bar_ret)) AS l
+  FROM rb WHERE bar_ret IS NOT NULL GROUP BY day),
+t AS ({' UNION ALL '.join(_path_sql(s, k, y) for s in ('own', 'market') for k, y in (('symbol, year', 'year'), ('symbol', 'NULL')))})
+SELECT symbol, CAST(year AS INT) AS year, bars, longest_drawdown, drawdowns, {rounded_sql(*_PATHS)} FROM t"""
+
+
+def _paths(table: DataFrame) -> DataFrame:
+    return table.select("symbol", "year", "bars", "longest_drawdown", "drawdowns", *rounded(*_PATHS))
+
+
+@query("path_metrics", _PATH)
+def path_metrics_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Deepest and average fall and the longest time below the peak, per year and symbol, per symbol, for the market."""
+    return _paths(path_metrics(*_returns(spark, folder)))
+
+
+@query("chunked_path_metrics", _PATH)
+def chunked_path_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    df, lay = laid_in_chunks(spark, folder, back=8)
+    return _paths(path_metrics(risk.with_bar_returns(df, lay), lay))
+
+
+_FRAMES = (20, 60, 252)
+_FALLS = [f"max_drawdown_{n}" for n in _FRAMES]
+
+
+def _fall_sql(n: int) -> str:
+    return f"""
+f{n} AS (
+  SELECT symbol, at, MAX(1 - close / top) AS max_drawdown_{n} FROM (
+    SELECT e.symbol, e.bar_no AS at, b.close, MAX(b.close) OVER (PARTITION BY e.symbol, e.bar_no ORDER BY b.bar_no) AS top
+    FROM bars e JOIN bars b ON b.symbol = e.symbol AND b.bar_no BETWEEN e.bar_no - {n - 1} AND e.bar_no WHERE e.bar_no >= {n})
+  GROUP BY 1, 2)"""
+
+
+_FALLEN = f"""
+WITH {S.BARS}, {', '.join(map(_fall_sql, _FRAMES)).replace(' at,', ' spot,').replace('AS at', 'AS spot')}
+SELECT b.symbol, day, {rounded_sql(*_FALLS)} FROM bars b
+{' '.join(f'LEFT JOIN f{n} ON f{n}.symbol = b.symbol AND f{n}.spot = b.bar_no' for n in _FRAMES)}"""
+
+
+@query("rolling_max_drawdown", _FALLEN)
+def rolling_max_drawdown_query(spark: SparkSession, folder: str) -> DataFrame:
+    return rolling_max_drawdown(*laid(spark, folder), *_FRAMES).select("symbol", day(), *rounded(*_FALLS))
+
+
+@query("chunked_rolling_drawdown", _FALLEN)
+def chunked_rolling_drawdown(spark: SparkSession, folder: str) -> DataFrame:
+    return rolling_max_drawdown(*laid_in_chunks(spark, folder, back=251), *_FRAMES).select("symbol", day(), *rounded(*_FALLS))
+
+
 _ROLLING = "AVG(bar_ret) OVER f AS m, STDDEV_SAMP(bar_ret) OVER f AS sd, AVG(ABS(bar_ret)) OVER f AS size, COUNT(bar_ret) OVER f AS n"
 
 

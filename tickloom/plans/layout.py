@@ -195,19 +195,21 @@ def carry_in(
     lay: Layout,
     totals: dict[str, Column],
     scan: Callable[[DataFrame, Layout], DataFrame],
+    first_too: bool = False,
 ) -> DataFrame:
     """Adds what the earlier chunks of a key hand over to each row's chunk.
 
     ``totals`` are aggregates over the rows of one chunk.  ``scan`` gets the
     summary and a layout that orders it by chunk, and returns keys, chunk and
     carry columns.  The summary holds one row per chunk and the first chunk of
-    a key is left out of the join (nothing comes before it), so it grows with
-    rows / chunk_rows only.  Called for chunked layouts, on settled frames.
+    a key is left out of the join (nothing comes before it) unless
+    ``first_too`` asks for it, so it grows with rows / chunk_rows only.  Called
+    for chunked layouts, on settled frames.
     """
     keys = list(lay.keys)
     summary = own_rows(df, lay).groupBy(*keys, "chunk").agg(*[c.alias(n) for n, c in totals.items()])
     carries = scan(summary, Layout(keys=lay.keys, order=("chunk",)))
-    return df.join(carries.filter(F.col("chunk") > 0), [*keys, "chunk"], "left")
+    return df.join(carries if first_too else carries.filter(F.col("chunk") > 0), [*keys, "chunk"], "left")
 
 
 def settled(df: DataFrame, lay: Layout) -> DataFrame:
