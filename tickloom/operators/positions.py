@@ -143,31 +143,28 @@ def with_equity(df: DataFrame, lay: Layout, account: Account = Account()) -> Dat
     }
     opened = {n: F.when(F.col("opens"), c) for n, c in terms.items()}
     df = df.withColumns({n: F.last(c, ignorenulls=True).over(lay.before()) for n, c in opened.items()})
+
+    unit, fill = F.col("unit"), F.col("entry_fill")
+    sold = F.col("sell_fill") * (1 - account.commission)
+    factor = F.when(F.col("closes"), 1 + unit * (sold - fill * cost))
     if lay.chunked:
+        # what a chunk does to the account: its own trades, and the close of one that was open before
         bar = F.when(F.col("opens"), F.col("bar_no"))
-        df = carry_in(
-            settled(df, lay), lay,
-            {f"_{n}_end": F.max_by(c, bar) for n, c in opened.items()},
-            lambda chunks, order: chunks.select(
-                *lay.keys, "chunk",
-                *[F.last(f"_{n}_end", ignorenulls=True).over(order.before()).alias(f"_{n}_in") for n in terms],
-            ),
-        )
+        totals = {f"_{n}_end": F.max_by(c, bar) for n, c in opened.items()}
+        other = F.col("closes") & unit.isNull()
+        totals |= {"_grown": F.product(factor), "_sold": F.max(F.when(other, sold)), "_cost": F.max(F.when(other, F.lit(1.0) * cost))}
+
+        def scan(chunks: DataFrame, order: Layout) -> DataFrame:
+            chunks = chunks.withColumns({f"_{n}_in": F.last(f"_{n}_end", ignorenulls=True).over(order.before()) for n in terms})
+            ended = 1 + F.col("_unit_in") * (F.col("_sold") - F.col("_entry_fill_in") * F.col("_cost"))
+            chunks = chunks.withColumn("_all", F.coalesce(ended, F.lit(1.0)) * F.coalesce("_grown", F.lit(1.0)))
+            return chunks.select(*lay.keys, "chunk", *[f"_{n}_in" for n in terms], F.product("_all").over(order.before()).alias("_growth_in"))
+
+        df = carry_in(settled(df, lay), lay, totals, scan)
         df = df.withColumns({n: F.coalesce(n, f"_{n}_in") for n in terms}).drop(*[f"_{n}_in" for n in terms])
-    unit, fill = F.col("unit"), F.col("entry_fill")
-    df = df.withColumn(
-        "factor",
-        F.when(F.col("closes"), 1 + unit * (F.col("sell_fill") * (1 - account.commission) - fill * cost)),
-    )
-    df = df.withColumn("growth", F.coalesce(F.product("factor").over(lay.before()), F.lit(1.0)))
-    if lay.chunked:
-        df = carry_in(
-            settled(df, lay), lay, {"_grown": F.product("factor")},
-            lambda chunks, order: chunks.select(
-                *lay.keys, "chunk", F.product("_grown").over(order.before()).alias("_growth_in")
-            ),
-        )
-        df = df.withColumn("growth", F.col("growth") * F.coalesce("_growth_in", F.lit(1.0))).drop("_growth_in")
+    df = df.withColumn("factor", factor)
+    grown = F.coalesce(F.product("factor").over(lay.before()), F.lit(1.0))
+    df = df.withColumn("growth", grown * F.coalesce("_growth_in", F.lit(1.0)) if lay.chunked else grown).drop("_growth_in")
     value = F.when(F.col("pos") == 1, 1 + unit * (F.col("close") - fill * cost)).otherwise(1.0)
     return df.withColumn("equity", account.capital * F.col("growth") * value)
 
@@ -179,35 +176,34 @@ def with_returns(df: DataFrame, lay: Layout, account: Account = Account()) -> Da
     previous = F.lag("equity").over(lay.window())
     peak = F.max("equity").over(lay.so_far())
     df = df.withColumns({"_prev": previous, "peak": peak, **({} if lay.chunked else _ends(lay))})
+    stood = F.lit(None).cast("long")
     if lay.chunked:
-        df = carry_in(
-            settled(df, lay), lay,
-            {"_last": F.max_by("equity", "bar_no"), "_peak": F.max("equity")},
-            lambda chunks, order: chunks.select(
-                *lay.keys, "chunk", F.lag("_last").over(order.window()).alias("_prev_in"),
-                F.max("_peak").over(order.before()).alias("_peak_in"),
-            ),
-        ).withColumns({"_prev": F.coalesce("_prev", "_prev_in"), "peak": F.greatest("peak", "_peak_in")})
+        # one summary for all that a chunk hands on; what it is made from is cheap to redo, so nothing is written
+        totals = {
+            "_last": F.max_by("equity", "bar_no"), "_peak": F.max("equity"), "_bars": F.max("bar_no"),
+            "_top": F.max(F.when(1 - F.col("equity") / F.col("peak") <= EPS, F.col("bar_no"))),
+        }
+
+        def scan(chunks: DataFrame, order: Layout) -> DataFrame:
+            chunks = chunks.withColumn("_peak_in", F.max("_peak").over(order.before()))
+            stands = 1 - F.col("_peak") / F.greatest("_peak", "_peak_in") <= EPS
+            along = order.window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            return chunks.select(
+                *lay.keys, "chunk", "_peak_in", F.lag("_last").over(order.window()).alias("_prev_in"),
+                F.last(F.when(stands, F.col("_top")), ignorenulls=True).over(order.before()).alias("_top_in"),
+                F.last("_last").over(along).alias("end_equity"), F.max("_bars").over(along).alias("bars"),
+            )
+
+        df = carry_in(df, lay, totals, scan, first_too=True)
+        df = df.withColumns({"_prev": F.coalesce("_prev", "_prev_in"), "peak": F.greatest("peak", "_peak_in")})
+        stood = F.col("_top_in")
     df = df.withColumns({
         "ret": F.col("equity") / F.coalesce(F.col("_prev"), F.lit(account.capital)) - 1,
         "drawdown": 1 - F.col("equity") / F.col("peak"),
     })
     at_peak = F.when(F.col("drawdown") <= EPS, F.col("bar_no"))
-    df = df.withColumn("_top", F.max(at_peak).over(lay.so_far()))
-    if lay.chunked:
-        df = carry_in(
-            settled(df, lay), lay, {"_tops": F.max(at_peak)},
-            lambda chunks, order: chunks.select(
-                *lay.keys, "chunk", F.max("_tops").over(order.before()).alias("_top_in")
-            ),
-        ).withColumn("_top", F.coalesce("_top", "_top_in"))
-        last = df.groupBy(*lay.keys).agg(
-            F.max_by("equity", "bar_no").alias("end_equity"), F.max("bar_no").alias("bars")
-        )
-        df = settled(df, lay).join(last, list(lay.keys))
-    return df.withColumn("underwater", F.col("bar_no") - F.col("_top")).drop(
-        "_prev", "_prev_in", "_peak_in", "_top", "_top_in"
-    )
+    last = F.coalesce(F.max(at_peak).over(lay.so_far()), stood)
+    return df.withColumn("underwater", F.col("bar_no") - last).drop("_prev", "_prev_in", "_peak_in", "_top_in")
 
 
 def _ends(lay: Layout) -> dict[str, Column]:
