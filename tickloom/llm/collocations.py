@@ -16,14 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.blobs import deal, spread
+from tickloom.llm.blobs import spread
 from tickloom.llm.fm_index import Phrases, WordIndex
 from tickloom.llm.rows import sliced
-from tickloom.session import settle
+from tickloom.session import new_folder, settle
 
 SHARD_WORDS = 1_000_000     # words of one index: some 60 MB while it is sorted
 BUCKET_BYTES = 32 << 20     # hashes of pairs that one task sums
@@ -37,7 +38,7 @@ _PLAIN = bytes(ord(_BREAK) if b in ENDS else b + 32 if 65 <= b <= 90 else b for
 _SALTS = 64
 
 SHARDS = "shard long, lang string, n long, ids binary, words array<string>, counts array<int>"
-COUNTED = "lang string, phrase string, count long"
+LISTED = "lang string, bucket int, phrases array<string>, counts array<long>"
 SENT = "shard long, lang string, bucket int, packed binary, ids binary, words array<string>"
 
 
@@ -66,7 +67,7 @@ class _Shard:
         ids = np.concatenate(self.parts)
         counts = np.bincount(ids, minlength=len(self.numbers))[1:]
         words = [w.decode() for w in list(self.numbers)[1:]]
-        return {"shard": shard, "lang": lang, "n": int(counts.sum()), "ids": _transposed(ids), "words": words, "counts": counts.tolist()}
+        return {"shard": shard, "lang": lang, "n": int(counts.sum()), "ids": _packed(ids), "words": words, "counts": counts.tolist()}
 
 
 _SHARD_ROWS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("ids", pa.binary()),
@@ -100,23 +101,34 @@ def _shards(shard_words: int):
     return made
 
 
-def _transposed(ids: np.ndarray) -> bytes:
-    """Byte by byte instead of id by id: the upper bytes are mostly equal and pack well."""
-    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte: lowest bytes first, the upper ones are mostly equal and pack well."""
+    return zstandard.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def _restored(packed: pa.Buffer) -> np.ndarray:
-    return np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int32)
+def _unpacked(packed: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed.as_buffer()), np.uint8)
+    return planes.reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, pa.Array, list[np.ndarray]]]:
-    """Shards with their ids, words and the lists that came back to them."""
+def _lists(back: pa.Scalar) -> list[np.ndarray]:
+    """What was sent back to a shard."""
+    return [np.frombuffer(p.as_buffer(), "<u8") for p in back.values] if back.is_valid else []
+
+
+def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, lang, ids, words, back = (batch.column(c)[i] for c in ("shard", "lang", "ids", "words", "back"))
-            lists = [] if not back.is_valid else [back.values.to_numpy()] if pa.types.is_integer(back.values.type) else [
-                np.frombuffer(p.as_buffer(), "<u8") for p in back.values]
-            yield shard.as_py(), lang.as_py(), _restored(ids.as_buffer()), words.values, lists
+            yield {c: batch.column(c)[i] for c in batch.schema.names}
+
+
+def _usual(row: dict[str, pa.Scalar]) -> tuple[np.ndarray, pa.Array]:
+    """The text of a shard in its frequent words alone, numbered anew, 0 wherever others stood."""
+    usual = row["usual"].values
+    ids = _unpacked(row["ids"])
+    number = np.zeros(int(ids.max(initial=0)) + 1, np.int32)
+    number[usual.field("id").to_numpy()] = np.arange(1, len(usual) + 1)
+    return number[ids], usual.field("phrase")
 
 
 def _runs(ids: np.ndarray, joined: np.ndarray) -> np.ndarray:
@@ -144,7 +156,8 @@ def _triple_runs(ids: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return out
 
 
-_HINT = np.dtype([("key", "<u4"), ("count", "u1")])
+KEY_BITS = 24           # of a hash inside its bucket
+_KEY = np.uint64((1 << KEY_BITS) - 1)
 
 
 class _Keys:
@@ -160,17 +173,19 @@ class _Keys:
         for other in others:
             mixed = spread(mixed * np.uint64(0x9E3779B97F4A7C15) + self.word[other])
         low = np.uint64(32)
-        return (((mixed >> low) * self.buckets) >> low << low) | (mixed & np.uint64(0xFFFFFFFF))
+        return (((mixed >> low) * self.buckets) >> low << low) | (mixed & _KEY)
 
-    def hints(self, shard: int, lang: str, found: Phrases, least: int) -> Iterator[dict]:
-        """Hashes of phrases, dealt to buckets; counts end at what decides alone."""
+    def hints(self, shard: int, lang: str, found: Phrases, least: int) -> Iterator[pa.RecordBatch]:
+        """Hashes of phrases in order, by bucket, with counts in the upper byte; counts end at what decides alone."""
         keys = self.of(*found.words.T)
-        if not len(keys):
-            return
-        records = np.zeros(len(keys), _HINT)
-        records["key"], records["count"] = keys & np.uint64(0xFFFFFFFF), np.minimum(found.count, min(least, 255))
-        for bucket, packed in deal(records, (keys >> np.uint64(32)).astype(np.int64)):
-            yield {"shard": shard, "lang": lang, "bucket": bucket, "packed": packed}
+        order = np.argsort(keys)
+        keys = keys[order]
+        values = (keys & _KEY).astype("<u4") | np.minimum(found.count[order], min(least, 255)).astype("<u4") << np.uint32(KEY_BITS)
+        bucket = (keys >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(keys) else []
+        rows = [{"shard": shard, "lang": lang, "bucket": int(bucket[a]), "packed": _packed(values[a:b])} for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, _SENT_ROWS)
 
 
 def _held(keys: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
@@ -182,13 +197,10 @@ def _pairs(buckets: int, least: int):
     """The pairs of frequent words of each shard, as hashes."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, lang, ids, words, lists in _shard_rows(batches):
-            known = np.zeros(len(words) + 1, bool)
-            known[lists[0]] = True
-            usual = known[ids]
-            (found,) = WordIndex(_runs(ids, usual[:-1] & usual[1:]), 2).enumerate(2)
-            for row in _Keys(lang, words, buckets).hints(shard, lang, found, least):
-                yield pa.RecordBatch.from_pylist([row], _SENT_ROWS)
+        for row in _shard_rows(batches):
+            text, words = _usual(row)
+            (found,) = WordIndex(_runs(text, (text[:-1] > 0) & (text[1:] > 0)), 2).enumerate(2)
+            yield from _Keys(row["lang"].as_py(), words, buckets).hints(row["shard"].as_py(), row["lang"].as_py(), found, least)
 
     return listed
 
@@ -197,15 +209,15 @@ def _triples(buckets: int, least: int):
     """The text of each shard cut to runs of heavy pairs, and its triples as hashes."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, lang, ids, words, lists in _shard_rows(batches):
-            joined = _held(_Keys(lang, words, buckets).of(ids[:-1], ids[1:]), lists) & (ids[:-1] > 0) & (ids[1:] > 0)
-            used, text = np.unique(np.r_[0, _runs(ids, joined)], return_inverse=True)
+        for row in _shard_rows(batches):
+            shard, lang = row["shard"].as_py(), row["lang"].as_py()
+            text, words = _usual(row)
+            joined = _held(_Keys(lang, words, buckets).of(text[:-1], text[1:]), _lists(row["back"])) & (text[:-1] > 0) & (text[1:] > 0)
+            used, text = np.unique(np.r_[0, _runs(text, joined)], return_inverse=True)
             text, words = text[1:].astype(np.int32), words.take(pa.array(used[1:] - 1))
-            row = {"shard": shard, "lang": lang, "ids": _transposed(text), "words": words.to_pylist()}
-            yield pa.RecordBatch.from_pylist([row], _SENT_ROWS)
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "lang": lang, "ids": _packed(text), "words": words.to_pylist()}], _SENT_ROWS)
             *_, found = WordIndex(text, 3).enumerate(3)
-            for row in _Keys(lang, words, buckets).hints(shard, lang, found, least):
-                yield pa.RecordBatch.from_pylist([row], _SENT_ROWS)
+            yield from _Keys(lang, words, buckets).hints(shard, lang, found, least)
 
     return listed
 
@@ -214,42 +226,57 @@ def _heavy(least: int):
     """Of one bucket: the hashes that may belong to a frequent phrase, for each shard that sent them."""
 
     def found(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        sent = [np.frombuffer(p.as_buffer(), _HINT) for p in rows.column("packed")]
+        sent = [_unpacked(p) for p in rows.column("packed")]
         every = np.concatenate(sent)
-        keys, place = np.unique(every["key"], return_inverse=True)
-        kept = np.bincount(place, every["count"]) >= min(least, 255)
-        at = np.cumsum([0, *map(len, sent)])
-        mine = [every["key"][a:b][kept[place[a:b]]].astype("<u8") | np.uint64(key[0].as_py()) << np.uint64(32) for a, b in zip(at[:-1], at[1:], strict=True)]
+        keys, place = np.unique(every & np.uint32(_KEY), return_inverse=True)
+        kept = np.bincount(place, every >> np.uint32(KEY_BITS)) >= min(least, 255)
+        at, top = np.cumsum([0, *map(len, sent)]), np.uint64(key[0].as_py()) << np.uint64(32)
+        mine = [keys[place[a:b][kept[place[a:b]]]].astype("<u8") | top for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.table({"shard": rows.column("shard"), "packed": pa.array([m.tobytes() for m in mine])})
 
     return found
 
 
 def _phrases(buckets: int, longest: int):
-    """Every phrase of a shard whose pairs and triples may all be frequent, with its count."""
+    """Every phrase of a shard whose pairs and triples may all be frequent, with its count, by bucket."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, lang, ids, words, lists in _shard_rows(batches):
+        for row in _shard_rows(batches):
+            lang, ids, words = row["lang"].as_py(), _unpacked(row["ids"]).astype(np.int32), row["words"].values
+            keys = _Keys(lang, words, buckets)
             there = (ids[:-2] > 0) & (ids[1:-1] > 0) & (ids[2:] > 0)
-            heavy = _held(_Keys(lang, words, buckets).of(ids[:-2], ids[1:-1], ids[2:]), lists) & there
+            heavy = _held(keys.of(ids[:-2], ids[1:-1], ids[2:]), _lists(row["back"])) & there
             pairs = list(WordIndex(ids, 2).enumerate(2))
             longer = list(WordIndex(_triple_runs(ids, heavy), longest).enumerate(longest))[1:]
             for found in pairs + longer:
-                spelled = pc.binary_join_element_wise(*[words.take(pa.array(column - 1)) for column in found.words.T], " ")
-                named = pa.array([lang]).take(pa.array(np.zeros(len(found.count), np.int32)))
-                yield pa.RecordBatch.from_pydict({"lang": named, "phrase": spelled, "count": pa.array(found.count, pa.int64())})
+                bucket = (keys.of(*found.words.T) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                spelled = pc.binary_join_element_wise(*[words.take(pa.array(column - 1)) for column in found.words[order].T], " ")
+                cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0, True]) if len(order) else [0]
+                offsets = pa.array(np.asarray(cuts, np.int32))
+                yield pa.RecordBatch.from_pydict({
+                    "lang": pa.array([lang] * (len(cuts) - 1), pa.string()), "bucket": pa.array(bucket[order][cuts[:-1]], pa.int32()),
+                    "phrases": pa.ListArray.from_arrays(offsets, spelled), "counts": pa.ListArray.from_arrays(offsets, pa.array(found.count[order], pa.int64())),
+                })
 
     return listed
 
 
-def _frequent(counted: DataFrame, least: int) -> DataFrame:
-    return counted.groupBy("lang", "phrase").agg(F.sum("count").alias("a")).filter(F.col("a") >= least)
+def _added(least: int):
+    """Sums of one bucket of one lang, phrase by phrase as they are spelled."""
+
+    def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        flat = pa.table({"phrase": pc.list_flatten(rows.column("phrases")), "a": pc.list_flatten(rows.column("counts"))})
+        sums = flat.group_by("phrase").aggregate([("a", "sum")])
+        kept = sums.filter(pc.greater_equal(sums.column("a_sum"), least))
+        return pa.table({"lang": pa.array([key[0].as_py()] * kept.num_rows, pa.string()), "phrase": kept.column("phrase"), "a": kept.column("a_sum")})
+
+    return add
 
 
 def _with(shards: DataFrame, sent: DataFrame, how: str = "inner") -> DataFrame:
     """Shards with the lists that are sent back to them."""
-    lists = sent.groupBy("shard").agg(F.collect_list("packed").alias("back"))
-    return shards.join(lists, "shard", how).select("shard", "lang", "ids", "words", "back")
+    return shards.join(sent.groupBy("shard").agg(F.collect_list("packed").alias("back")), "shard", how)
 
 
 def phrase_counts(
@@ -266,22 +293,25 @@ def phrase_counts(
         F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit(UNKNOWN)).alias("lang"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
-    shards = settle(read.mapInArrow(_shards(shard_words), SHARDS))
+    path = new_folder(spark, "shards")
+    read.mapInArrow(_shards(shard_words), SHARDS).write.option("compression", "zstd").parquet(path)
+    shards = spark.read.schema(SHARDS).parquet(path)
     words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "word"))
     words = words.select("shard", "lang", F.col("word.words").alias("phrase"), (F.col("at") + 1).alias("id"), F.col("word.counts").alias("count"))
-    singles = settle(_frequent(words, least))
+    singles = settle(words.groupBy("lang", "phrase").agg(F.sum("count").alias("a")).filter(F.col("a") >= least))
     total = shards.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * _HINT.itemsize // BUCKET_BYTES))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 4 // BUCKET_BYTES))
 
     def heavy(sent: DataFrame) -> DataFrame:
         return sent.select("shard", "bucket", "packed").groupBy("bucket").applyInArrow(_heavy(least), "shard long, packed binary")
 
-    usual = words.join(singles, ["lang", "phrase"], "left_semi").select("shard", F.col("id").alias("packed"))
-    pairs = heavy(_with(shards, usual).mapInArrow(_pairs(buckets, least), SENT))
-    sent = settle(_with(shards, pairs).mapInArrow(_triples(buckets, least), SENT))
-    texts = sent.filter("bucket is null")
+    usual = words.join(singles, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list(F.struct("id", "phrase")).alias("usual"))
+    texts = shards.select("shard", "lang", "ids").join(usual, "shard")
+    pairs = heavy(texts.mapInArrow(_pairs(buckets, least), SENT))
+    sent = settle(_with(texts, pairs).mapInArrow(_triples(buckets, least), SENT))
     triples = heavy(sent.filter("bucket is not null"))
-    counts = _frequent(_with(texts, triples, "left").mapInArrow(_phrases(buckets, longest), COUNTED), least)
+    found = _with(sent.filter("bucket is null").select("shard", "lang", "ids", "words"), triples, "left").mapInArrow(_phrases(buckets, longest), LISTED)
+    counts = found.groupBy("lang", "bucket").applyInArrow(_added(least), "lang string, phrase string, a long")
     return settle(singles.unionByName(counts)), shards.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
