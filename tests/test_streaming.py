@@ -3,9 +3,11 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.streaming.bars import run_to_table, stream_events, stream_table, summarise
+from tickloom.streaming.indicators import run_stateful, stream_indicators
 from tickloom.streaming.positions import stream_positions
 
 SIGNALS = "symbol string, ts timestamp, price double, entry boolean, exit boolean"
@@ -66,3 +68,59 @@ def test_positions_of_a_batch_against_a_loop():
             pos = 1 if pos == 0 and e else 0 if pos == 1 and x else pos
             wanted.append(pos)
         assert _after(start, entry, leave).tolist() == wanted
+
+
+def plain_indicators(bars, fast, slow, atr):
+    """bars of one symbol in order: (ts, high, low, close, volume)."""
+    def mean(xs, period, keep):
+        if len(xs) < period:
+            return None
+        y = sum(xs[:period]) / period
+        for x in xs[period:]:
+            y = keep * y + (1 - keep) * x
+        return y
+
+    out, closes, ranges, traded, volume, side = {}, [], [], 0.0, 0, 0
+    for ts, high, low, close, size in bars:
+        if closes:
+            ranges.append(max(high, closes[-1]) - min(low, closes[-1]))
+        closes.append(close)
+        traded, volume = traded + close * size, volume + size
+        f, s = mean(closes, fast, 1 - 2 / (fast + 1)), mean(closes, slow, 1 - 2 / (slow + 1))
+        cross = None
+        if f is not None and s is not None:
+            now = (f - s > 1e-9) - (f - s < -1e-9)
+            cross = now if now and now == -side else 0
+            side = now or side
+        out[ts] = (f, s, mean(ranges, atr, 1 - 1 / atr), traded / volume if volume else close, cross)
+    return out
+
+
+def test_indicators_with_shuffled_micro_batches_and_a_restart(spark, tmp_path):
+    rnd, start = random.Random(12), dt.datetime(2024, 1, 1)
+    schema = "symbol string, ts timestamp, high double, low double, close double, volume long"
+    rows = []
+    for symbol in ("A", "B"):
+        price = 100.0
+        for i in range(150):
+            price += rnd.choice([0.0, rnd.gauss(0, 1)])
+            rows.append((symbol, start + dt.timedelta(minutes=i), price + 1, price - rnd.random(), price, rnd.choice([0, 0, 5, 9]) if i < 9 else 5))
+    arrival = sorted(rows, key=lambda r: r[1] + dt.timedelta(minutes=rnd.uniform(0, 20)))
+    inbox, out = str(tmp_path / "inbox"), str(tmp_path / "out")
+    empty = spark.createDataFrame([], schema)
+    for some in (arrival[:150], arrival[150:]):        # the second run goes on from the checkpoint of the first
+        for k in range(0, len(some), 75):
+            spark.createDataFrame(some[k:k + 75], schema).coalesce(1).write.mode("append").parquet(inbox)
+        source = spark.readStream.schema(empty.schema).option("maxFilesPerTrigger", 1).parquet(inbox).withWatermark("ts", "1 hour")
+        table = run_stateful(stream_indicators(source, fast=3, slow=7, atr=4), "indicators", out)
+    got = {(r.symbol, r.ts): (r.ema_fast, r.ema_slow, r.atr, r.vwap, r.cross) for r in table.collect()}
+    last = max(r[1] for r in rows) - dt.timedelta(hours=1)
+    wanted = {}
+    for symbol in ("A", "B"):
+        found = plain_indicators([r[1:] for r in rows if r[0] == symbol], 3, 7, 4)
+        wanted |= {(symbol, ts): v for ts, v in found.items() if ts <= last}
+    assert got.keys() == wanted.keys()
+    for k, values in wanted.items():
+        for a, b in zip(got[k], values):
+            assert a == b if a is None or b is None else a == pytest.approx(b)
+    assert {v[4] for v in wanted.values()} == {None, 0, 1, -1}

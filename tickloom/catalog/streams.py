@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.catalog.registry import query
+from tickloom.catalog import sql as S
+from tickloom.catalog.registry import query, rounded, rounded_sql
+from tickloom.plans.layout import key_sizes, lay_out
 from tickloom.session import new_folder
 from tickloom.sources.tables import table
 from tickloom.streaming import bars as st
+from tickloom.streaming.indicators import indicator_states, run_stateful, stream_indicators
 from tickloom.streaming.positions import stream_positions
 
 PRICES = ["open", "high", "low", "close", "volume"]
@@ -104,3 +107,42 @@ def stream_positions_query(spark: SparkSession, folder: str) -> DataFrame:
     written = st.run_to_folder(bars, "signal-bars")
     positions = st.run_to_table(stream_positions(st.stream_table(spark, written, bars.schema)), "positions")
     return positions.select("symbol", F.date_format("ts", _FORMAT).alias("start"), "price", "pos")
+
+
+_STREAMED = ("ema_fast", "ema_slow", "atr", "vwap")
+_STREAMED_SQL = f"""
+WITH RECURSIVE {_TUMBLING},
+bars AS MATERIALIZED (SELECT symbol, start, open, high, low, close, volume, ROW_NUMBER() OVER (PARTITION BY symbol ORDER BY start) AS bar_no FROM closed),
+{S.smoothed('ema12', 'ema26', 'atr14', plain_columns=('vwap',))}, {S.crosses('rec', 'crossed', {'x': 'ema12 - ema26'})},
+named AS (SELECT symbol, start, close, ema12 AS ema_fast, ema26 AS ema_slow, atr14 AS atr, vwap, CAST(x AS INT) AS "cross" FROM crossed)
+SELECT symbol, {_text('start')} AS start, close, "cross", {rounded_sql(*_STREAMED)} FROM named
+WHERE start <= (SELECT MAX(start) - INTERVAL 1 HOUR FROM closed)"""
+
+
+def _streamed(table_: DataFrame) -> DataFrame:
+    return table_.select("symbol", F.date_format("ts", _FORMAT).alias("start"), "close", "cross", *rounded(*_STREAMED))
+
+
+def _hour_bars(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    bars = st.summarise(_events(spark, folder)).select("symbol", F.col("window.start").alias("ts"), *PRICES)
+    return st.run_to_folder(bars, "indicator-bars"), bars
+
+
+@query("stream_indicators", _STREAMED_SQL)
+def stream_indicators_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Exponential means, true range, volume-weighted price and crosses of hour bars, bar by bar on the stream."""
+    written, bars = _hour_bars(spark, folder)
+    return _streamed(run_stateful(stream_indicators(st.stream_table(spark, written, bars.schema)), "indicators"))
+
+
+@query("stream_indicators_resumed", f"{_STREAMED_SQL} AND start >= {_EARLY}")
+def stream_indicators_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    """The first half as a table, whose states the stream of the second half starts from."""
+    written, bars = _hour_bars(spark, folder)
+    edges = table(spark, folder, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    middle = edges.select(F.col("lo") + (F.col("hi") - F.col("lo")) / 2).scalar()
+    old = spark.read.schema(bars.schema).parquet(written).filter(F.col("ts") < middle)
+    states = indicator_states(*lay_out(old, key_sizes(old).whole))
+    later = new_folder(spark, "later-bars")
+    spark.read.schema(bars.schema).parquet(written).filter(F.col("ts") >= middle).write.parquet(later)
+    return _streamed(run_stateful(stream_indicators(st.stream_table(spark, later, bars.schema), states), "indicators"))
