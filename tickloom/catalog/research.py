@@ -14,6 +14,7 @@ from tickloom.catalog import sql as S
 from tickloom.catalog.registry import bars_of, day, laid, laid_in_chunks, query, rounded, rounded_sql
 from tickloom.operators import research as rs
 from tickloom.operators import risk
+from tickloom.operators.adjust import with_adjustment
 from tickloom.operators.bootstrap import BLOCK, bootstrap_interval
 from tickloom.operators.indicators import with_rule_indicators
 from tickloom.operators.metrics import results
@@ -26,6 +27,7 @@ from tickloom.plans.backtest import run
 from tickloom.plans.layout import Layout, own_rows
 from tickloom.plans.log import append_run, read_log
 from tickloom.session import new_folder
+from tickloom.streaming.versions import as_known_at, deliver
 from tickloom.streaming.zones import raw_to_processed
 
 W = S.W
@@ -73,6 +75,58 @@ def raw_to_processed_query(spark: SparkSession, folder: str) -> DataFrame:
     return clean.unionByName(rejected).select("symbol", day(), "close", "volume", F.col("reason").alias("zone"))
 
 
+_ADJUSTED = ("factor", "adjusted")
+_ADJUST = f"""
+WITH {S.BARS}, stepped AS (
+  SELECT *, CASE WHEN volume % 97 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS split,
+         COALESCE(1 - CASE WHEN volume % 61 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END / {S.lag('close')}, 1.0) AS paid FROM bars),
+f AS (
+  SELECT *, COALESCE(PRODUCT(paid / split) OVER later, 1.0) AS factor, COALESCE(PRODUCT(split) OVER later, 1.0) AS splits FROM stepped
+  WINDOW later AS ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT *, close * factor AS adjusted, volume * splits AS adjusted_volume FROM f)
+SELECT symbol, day, close, adjusted_volume, {rounded_sql(*_ADJUSTED, digits=8)} FROM t"""
+
+
+def _adjusted(spark: SparkSession, folder: str, df: DataFrame, lay: Layout) -> DataFrame:
+    v = F.col("volume")      # stand-in table of actions: a split or a dividend on some days
+    actions = bars_of(spark, folder).filter((v % 97 == 0) | (v % 61 == 0)).select(
+        "symbol", day(), F.when(v % 97 == 0, 2.0).alias("ratio"), F.when(v % 61 == 0, 0.5).alias("dividend")
+    )
+    return with_adjustment(df, lay, actions).select("symbol", day(), "close", "adjusted_volume", *rounded(*_ADJUSTED, digits=8))
+
+
+@query("adjusted_bars", _ADJUST)
+def adjusted_bars(spark: SparkSession, folder: str) -> DataFrame:
+    return _adjusted(spark, folder, *laid(spark, folder))
+
+
+@query("chunked_adjusted_bars", _ADJUST)
+def chunked_adjusted_bars(spark: SparkSession, folder: str) -> DataFrame:
+    return _adjusted(spark, folder, *laid_in_chunks(spark, folder, back=8))
+
+
+@query("bar_corrections", f"""
+WITH {S.BARS}, clean AS (SELECT * FROM bars WHERE volume % 23 <> 0)
+SELECT 'then' AS zone, symbol, day, high, volume FROM clean
+UNION ALL SELECT 'now', symbol, day, CASE WHEN volume % 5 = 0 THEN high + 1 ELSE high END, volume FROM clean
+UNION ALL SELECT 'version', symbol, day, high, volume FROM clean
+UNION ALL SELECT 'version', symbol, day, high + 1, volume FROM clean WHERE volume % 5 = 0
+UNION ALL SELECT 'rejected', symbol, day, high, -volume FROM bars WHERE volume % 23 = 0""")
+def bar_corrections(spark: SparkSession, folder: str) -> DataFrame:
+    """A delivery, the same again, corrections, and these again: what was known then, what is known now, what was refused."""
+    v = F.col("volume")
+    first = bars_of(spark, folder).withColumn("volume", F.when(v % 23 == 0, -v).otherwise(v))
+    corrected = first.filter((v > 0) & (v % 5 == 0)).withColumn("high", F.col("high") + 1)
+    zones = [new_folder(spark, name) for name in ("versions", "current", "quarantine")]
+    moment = lambda text: F.lit(text).cast("timestamp")
+    for rows, known in ((first, "2001-01-01"), (first, "2001-02-01"), (corrected, "2001-03-01"), (corrected, "2001-04-01")):
+        deliver(rows, *zones, moment(known))
+    versions, current, refused = (spark.read.parquet(z) for z in zones)
+    parts = {"then": as_known_at(versions, moment("2001-02-15")), "now": current, "version": versions, "rejected": refused}
+    tables = [t.select(F.lit(name).alias("zone"), "symbol", day(), "high", "volume") for name, t in parts.items()]
+    return tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3])
+
+
 _FEATURES = ("mom_20", "mom_126", "vol_20", "std_20", "trend_50")
 
 
