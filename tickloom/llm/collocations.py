@@ -275,8 +275,8 @@ def _added(least: int):
 
 
 def _with(shards: DataFrame, sent: DataFrame, how: str = "inner") -> DataFrame:
-    """Shards with the lists that are sent back to them."""
-    return shards.join(sent.groupBy("shard").agg(F.collect_list("packed").alias("back")), "shard", how)
+    """Shards with the lists that are sent back to them; these grow with the corpus, so neither side is told to all."""
+    return shards.join(sent.groupBy("shard").agg(F.collect_list("packed").alias("back")).hint("merge"), "shard", how)
 
 
 def phrase_counts(
@@ -305,7 +305,7 @@ def phrase_counts(
     def heavy(sent: DataFrame) -> DataFrame:
         return sent.select("shard", "bucket", "packed").groupBy("bucket").applyInArrow(_heavy(least), "shard long, packed binary")
 
-    usual = words.join(singles, ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list(F.struct("id", "phrase")).alias("usual"))
+    usual = words.join(singles.hint("merge"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list(F.struct("id", "phrase")).alias("usual")).hint("merge")
     texts = shards.select("shard", "lang", "ids").join(usual, "shard")
     pairs = heavy(texts.mapInArrow(_pairs(buckets, least), SENT))
     sent = settle(_with(texts, pairs).mapInArrow(_triples(buckets, least), SENT))
