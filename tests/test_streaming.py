@@ -1,6 +1,7 @@
 """Streams against batch, with rows out of order across micro-batches."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.streaming.bars import run_to_table, stream_events, stream_table, summarise
 from tickloom.streaming.indicators import run_stateful, stream_indicators
+from tickloom.streaming.marks import stream_marks
 from tickloom.streaming.positions import stream_positions
 
 SIGNALS = "symbol string, ts timestamp, price double, entry boolean, exit boolean"
@@ -124,3 +126,35 @@ def test_indicators_with_shuffled_micro_batches_and_a_restart(spark, tmp_path):
         for a, b in zip(got[k], values):
             assert a == b if a is None or b is None else a == pytest.approx(b)
     assert {v[4] for v in wanted.values()} == {None, 0, 1, -1}
+
+
+def test_marks_with_late_events(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    at = lambda minutes: start + dt.timedelta(minutes=minutes)
+    bars = [("A", at(60 * i), float(i)) for i in range(8)] + [("B", at(60 * i), 10.0 + i) for i in range(8)]
+    bar_schema, event_schema = "symbol string, ts timestamp, close double", "symbol string, at timestamp, kind string"
+    arrivals = [
+        [("A", at(5), "buy"), ("A", at(59), "buy"), ("A", at(60), "sell"), ("B", at(150), "sell"), ("B", at(151), "buy"), ("C", at(3), "buy")],
+        [("A", at(420), "buy"), ("B", at(421), "sell"), ("A", at(200), "odd")],
+        [("A", at(121), "buy")],        # an hour behind the watermark: as if it had not happened
+        [("A", at(470), "sell")],
+    ]
+    folder, inbox = str(tmp_path / "bars"), tmp_path / "events"
+    spark.createDataFrame(bars, bar_schema).coalesce(1).write.parquet(folder)
+    for k, rows in enumerate(arrivals):
+        known = set(inbox.glob("*.parquet")) if k else set()
+        spark.createDataFrame(rows, event_schema).coalesce(1).write.mode("append").parquet(str(inbox))
+        for path in set(inbox.glob("*.parquet")) - known:
+            os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))       # one batch each, in this order
+    stream = spark.readStream.schema(event_schema).option("maxFilesPerTrigger", 1).parquet(str(inbox)).withWatermark("at", "10 minutes")
+    left = spark.readStream.schema(bar_schema).parquet(folder).withWatermark("ts", "10 minutes")
+    table = run_to_table(stream_marks(left, stream), "marks")
+    got = {(r.symbol, r.ts): (r.buy_mark, r.sell_mark) for r in table.collect()}
+    marks = {("A", 0): "buy", ("A", 1): "sell", ("B", 2): "both"}
+    wanted = {}
+    for symbol, ts, close in bars:
+        hour = int((ts - start).total_seconds() // 3600)
+        mark = marks.get((symbol, hour))
+        if hour <= 5:
+            wanted[symbol, ts] = (close if mark in ("buy", "both") else None, close if mark in ("sell", "both") else None)
+    assert got == wanted

@@ -12,6 +12,7 @@ from tickloom.session import new_folder
 from tickloom.sources.tables import table
 from tickloom.streaming import bars as st
 from tickloom.streaming.indicators import indicator_states, run_stateful, stream_indicators
+from tickloom.streaming.marks import stream_marks
 from tickloom.streaming.positions import stream_positions
 
 PRICES = ["open", "high", "low", "close", "volume"]
@@ -146,3 +147,20 @@ def stream_indicators_resumed(spark: SparkSession, folder: str) -> DataFrame:
     later = new_folder(spark, "later-bars")
     spark.read.schema(bars.schema).parquet(written).filter(F.col("ts") >= middle).write.parquet(later)
     return _streamed(run_stateful(stream_indicators(st.stream_table(spark, later, bars.schema), states), "indicators"))
+
+
+@query("stream_marks", f"""
+WITH {_TUMBLING}, marks AS (
+  SELECT event_type AS symbol, DATE_TRUNC('hour', ts) AS start, MAX(event_id % 11 = 0) AS bought, MAX(event_id % 13 = 0) AS sold FROM events GROUP BY 1, 2)
+SELECT symbol, {_text('start')} AS start, close, CASE WHEN bought THEN close END AS buy_mark, CASE WHEN sold THEN close END AS sell_mark
+FROM closed JOIN marks USING (symbol, start)
+WHERE start + INTERVAL 1 HOUR <= (SELECT LEAST(MAX(start), (SELECT MAX(ts) FROM events WHERE event_id % 11 = 0 OR event_id % 13 = 0)) - INTERVAL 1 HOUR FROM closed)""")
+def stream_marks_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars and events as two streams; some events count as buys and sells."""
+    written, bars = _hour_bars(spark, folder)
+    kind = F.when(F.col("event_id") % 11 == 0, F.array_append(F.array(F.lit("buy")), F.when(F.col("event_id") % 13 == 0, "sell")))
+    kind = F.coalesce(kind, F.when(F.col("event_id") % 13 == 0, F.array(F.lit("sell"))))
+    events = _events(spark, folder).select(F.col("event_type").alias("symbol"), F.col("ts").alias("at"), F.explode(kind).alias("kind"))
+    marks = stream_marks(st.stream_table(spark, written, bars.schema), events.filter("kind is not null").withWatermark("at", "1 hour"))
+    table_ = st.run_to_table(marks, "marks")
+    return table_.select("symbol", F.date_format("ts", _FORMAT).alias("start"), "close", "buy_mark", "sell_mark")
