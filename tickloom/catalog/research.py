@@ -69,9 +69,9 @@ def raw_to_processed_query(spark: SparkSession, folder: str) -> DataFrame:
     processed, quarantine = new_folder(spark, "processed"), new_folder(spark, "quarantine")
     raw_to_processed(twice, processed, quarantine, "first")
     raw_to_processed(twice, processed, quarantine, "first")                         # the same delivery again
-    raw_to_processed(twice.filter("volume % 2 = 0"), processed, quarantine, "late")    # bars that are there already
+    raw_to_processed(twice.filter("volume % 2 = 0"), processed, quarantine, "late")    # bars and rejects that are there already
     clean = spark.read.parquet(processed).select(*raw.columns).withColumn("reason", F.lit("clean"))
-    rejected = spark.read.parquet(quarantine).select(*clean.columns).distinct()
+    rejected = spark.read.parquet(quarantine).select(*clean.columns)
     return clean.unionByName(rejected).select("symbol", day(), "close", "volume", F.col("reason").alias("zone"))
 
 
@@ -560,6 +560,28 @@ def var_cvar(spark: SparkSession, folder: str) -> DataFrame:
     return risk.var_cvar(_own_returns(spark, folder), ["symbol"]).select("symbol", *rounded("var", "cvar", digits=8))
 
 
+_LEVELS = (("symbol", "year"), ("symbol",), ())
+
+
+def _quantile_rows(level: tuple[str, ...]) -> str:
+    by = f" GROUP BY {', '.join(level)}" if level else ""
+    on = " AND ".join(f"y.{c} = q.{c}" for c in level) or "true"
+    named = ", ".join(f"q.{c}" if c in level else f"NULL AS {c}" for c in ("symbol", "year"))
+    keys = "".join(f"{c}, " for c in level)
+    return f"""SELECT {named}, ANY_VALUE(var) AS var, AVG(bar_ret) FILTER (bar_ret <= var + 1e-12) AS cvar
+FROM y JOIN (SELECT {keys}QUANTILE_CONT(bar_ret, 0.05) AS var FROM y{by}) q ON {on}{' GROUP BY ' + ', '.join(f'q.{c}' for c in level) if level else ''}"""
+
+
+@query("var_cvar_levels", f"""
+WITH {RETS}, y AS MATERIALIZED (SELECT symbol, CAST(YEAR(day) AS INT) AS year, bar_ret / 1000 AS bar_ret FROM rb WHERE bar_ret IS NOT NULL),
+t AS ({' UNION ALL '.join(map(_quantile_rows, _LEVELS))})
+SELECT symbol, year, {rounded_sql('var', 'cvar', digits=11)} FROM t""")
+def var_cvar_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Per symbol and year, per symbol and over all, of returns a thousand times as quiet."""
+    quiet = _own_returns(spark, folder).select("symbol", F.year("ts").alias("year"), (F.col("bar_ret") / 1000).alias("bar_ret"))
+    return risk.var_cvar_levels(quiet.filter("bar_ret is not null"), _LEVELS).select("symbol", "year", *rounded("var", "cvar", digits=11))
+
+
 @query("worst_n_day_loss", f"""
 WITH {RETS}, s AS (SELECT *, CASE WHEN COUNT(bar_ret) OVER f = 5 THEN SUM(LN(1 + bar_ret)) OVER f END AS span FROM rb WINDOW f AS {S.rows(4)}),
 t AS (SELECT symbol, MIN(bar_ret) AS worst_1, EXP(MIN(span)) - 1 AS worst_5 FROM s GROUP BY 1)
@@ -610,6 +632,58 @@ def benchmark_compare(spark: SparkSession, folder: str) -> DataFrame:
     return rs.benchmark_compare(returns, rs.market_returns(returns)).select("symbol", "n", *rounded(*_BENCH))
 
 
+_FACTORS = ("market", "spread", "range")
+_FACTOR_SQL = f"""
+WITH {RETS}, fac AS (
+  SELECT day, AVG(bar_ret) AS market, COALESCE(AVG(bar_ret) FILTER (CAST(symbol AS INT) % 2 = 0), 0) - COALESCE(AVG(bar_ret) FILTER (CAST(symbol AS INT) % 2 = 1), 0) AS spread,
+         AVG((high - low) / close) AS range FROM rb WHERE bar_ret IS NOT NULL GROUP BY 1),
+met AS (SELECT symbol, bar_ret AS y, market AS a, spread AS b, range AS c FROM rb JOIN fac USING (day) WHERE bar_ret IS NOT NULL)"""
+_ONE = ("alpha", "beta_market", "r2")
+
+
+def _factor_table(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    returns = _own_returns(spark, folder).filter("bar_ret is not null")
+    even = F.col("symbol").cast("int") % 2 == 0
+    part = lambda rows: F.coalesce(F.avg(F.when(rows, F.col("bar_ret"))), F.lit(0.0))
+    factors = returns.groupBy("ts").agg(
+        F.avg("bar_ret").alias("market"), (part(even) - part(~even)).alias("spread"), F.avg((F.col("high") - F.col("low")) / F.col("close")).alias("range")
+    )
+    return returns.select("symbol", "ts", "bar_ret"), factors
+
+
+@query("factor_regression", f"""
+{_FACTOR_SQL}, t AS (
+  SELECT symbol, COUNT(*) AS n, REGR_INTERCEPT(y, a) AS alpha, REGR_SLOPE(y, a) AS beta_market, REGR_R2(y, a) AS r2 FROM met GROUP BY 1)
+SELECT symbol, n, {rounded_sql(*_ONE)} FROM t""")
+def factor_regression(spark: SparkSession, folder: str) -> DataFrame:
+    returns, factors = _factor_table(spark, folder)
+    return rs.factor_regression(returns, factors, ["market"]).select("symbol", "n", *rounded(*_ONE))
+
+
+_THREE = ("alpha", "beta_market", "beta_spread", "beta_range", "r2")
+
+
+def _minor(p: str, q: str, r: str) -> str:
+    """Determinant of three columns of covariances with a, b and c."""
+    m = {k: [f"{k}{i}" for i in "abc"] for k in (p, q, r)}
+    (x1, x2, x3), (y1, y2, y3), (z1, z2, z3) = m[p], m[q], m[r]
+    return f"({x1} * ({y2} * {z3} - {y3} * {z2}) - {y1} * ({x2} * {z3} - {x3} * {z2}) + {z1} * ({x2} * {y3} - {x3} * {y2}))"
+
+
+@query("factor_regression_three", f"""
+{_FACTOR_SQL}, m AS (
+  SELECT symbol, COUNT(*) AS n, AVG(y) AS my, AVG(a) AS ma, AVG(b) AS mb, AVG(c) AS mc, VAR_POP(y) AS yy,
+    {', '.join(f'COVAR_POP({p}, {q}) * 1e4 AS {p}{q}' for p in 'yabc' for q in 'abc')} FROM met GROUP BY 1),
+s AS (SELECT *, {_minor('y', 'b', 'c')} / {_minor('a', 'b', 'c')} AS beta_market, {_minor('a', 'y', 'c')} / {_minor('a', 'b', 'c')} AS beta_spread,
+  {_minor('a', 'b', 'y')} / {_minor('a', 'b', 'c')} AS beta_range FROM m),
+t AS (SELECT *, my - beta_market * ma - beta_spread * mb - beta_range * mc AS alpha,
+  (beta_market * ya + beta_spread * yb + beta_range * yc) / 1e4 / yy AS r2 FROM s)
+SELECT symbol, n, {rounded_sql(*_THREE)} FROM t""")
+def factor_regression_three(spark: SparkSession, folder: str) -> DataFrame:
+    returns, factors = _factor_table(spark, folder)
+    return rs.factor_regression(returns, factors, _FACTORS).select("symbol", "n", *rounded(*_THREE))
+
+
 CORRELATED = ("BollingerBreakout", "DonchianTurtle", "GoldenCross", "MaEnvelope", "TwelveMonthMomentum")
 
 

@@ -271,6 +271,58 @@ def benchmark_compare(returns: DataFrame, benchmark: DataFrame, per_year: int =
     return table.withColumn("information_ratio", safe_divide(F.col("excess_return"), risk)).drop("_size")
 
 
+def factor_regression(returns: DataFrame, factors: DataFrame, names: Sequence[str], keys: Sequence[str] = ("symbol",),
+                      value: str = "bar_ret") -> DataFrame:
+    """Per key: n, alpha, a beta per factor and R2 of ``value`` on the factors of the same ts.
+
+    Means and covariances merge over tasks; the normal equations are solved
+    by Cholesky in columns, so no bars are gathered.  Factors that do not move
+    on their own within a key leave all coefficients NULL, and so do fewer
+    rows than coefficients.
+    """
+    wanted = [value, *names]
+    both = returns.join(factors.select("ts", *names), "ts").dropna(subset=wanted)
+    terms = {"n": F.count(F.lit(1)), **{f"_mean_{x}": F.avg(x) for x in wanted}}
+    terms |= {f"_{a}~{b}": F.covar_pop(a, b) for i, a in enumerate(wanted) for b in wanted[i:]}
+    table = both.groupBy(*keys).agg(*[c.alias(n) for n, c in terms.items()])
+
+    def cov(a: str, b: str) -> Column:
+        first, second = sorted((a, b), key=wanted.index)
+        return F.col(f"`_{first}~{second}`")
+
+    # lower triangle L with L L' = covariances of the factors, then two substitutions
+    steps: dict[str, Column] = {}
+    for j, b in enumerate(names):
+        rest = cov(b, b)
+        for k in range(j):
+            rest = rest - F.col(f"_l{j}_{k}") * F.col(f"_l{j}_{k}")
+        steps[f"_l{j}_{j}"] = F.when((rest > 1e-10 * cov(b, b)) & (F.col("n") > len(names)), F.sqrt(rest))
+        for i in range(j + 1, len(names)):
+            rest = cov(names[i], b)
+            for k in range(j):
+                rest = rest - F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}")
+            steps[f"_l{i}_{j}"] = rest / F.col(f"_l{j}_{j}")
+    for i, a in enumerate(names):
+        rest = cov(value, a)
+        for k in range(i):
+            rest = rest - F.col(f"_l{i}_{k}") * F.col(f"_z{k}")
+        steps[f"_z{i}"] = rest / F.col(f"_l{i}_{i}")
+    for i in reversed(range(len(names))):
+        rest = F.col(f"_z{i}")
+        for k in range(i + 1, len(names)):
+            rest = rest - F.col(f"_l{k}_{i}") * F.col(f"beta_{names[k]}")
+        steps[f"beta_{names[i]}"] = rest / F.col(f"_l{i}_{i}")
+    for name, column in steps.items():
+        table = table.withColumn(name, column)
+    betas = [f"beta_{x}" for x in names]
+    alpha = F.col(f"_mean_{value}")
+    explained = F.lit(0.0)
+    for x in names:
+        alpha = alpha - F.col(f"beta_{x}") * F.col(f"_mean_{x}")
+        explained = explained + F.col(f"beta_{x}") * cov(value, x)
+    return table.select(*keys, "n", alpha.alias("alpha"), *betas, F.try_divide(explained, cov(value, value)).alias("r2"))
+
+
 def market_returns(returns: DataFrame) -> DataFrame:
     """Equal-weighted mean return of all symbols per ts."""
     return returns.filter("bar_ret is not null").groupBy("ts").agg(F.avg("bar_ret").alias("bench_ret"))
@@ -291,43 +343,55 @@ def correlation_matrix(long: DataFrame, keys: Sequence[str], name: str, value: s
     ])))
 
 
+DAYS = 2_000            # bars of a symbol that meet in one task
+
+
 def asset_correlation(returns: DataFrame, least_common: int = 30, assets: int = 400) -> DataFrame:
     """a < b, days, correlation of every pair of symbols with ``least_common`` days on which both have a return.
 
-    Symbols are dealt to blocks of about ``assets``; each two blocks meet in a
-    task of their own as matrices of days by symbols, so a bar is copied once
-    per block and no row is joined with another.  The result has a row per
-    pair, which is what grows with the square of the symbols.
+    Symbols are dealt to blocks of about ``assets`` and time to slices of about
+    ``DAYS`` steps; two blocks meet slice by slice as matrices of steps by
+    symbols, at most ``2 * assets * DAYS`` bars of evenly spread series.  Sums
+    about the mean of each symbol add up over slices, so no row is joined with
+    another.  The result has a row per pair, which is what grows with the
+    square of the symbols.
     """
     known = returns.filter("bar_ret is not null").select("symbol", "ts", "bar_ret")
+    first, last, steps = known.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.approx_count_distinct("ts")).first()
     blocks = max(1, -(-known.select("symbol").distinct().count() // assets))
+    width = max(1, ((last or 0) - (first or 0)) // max(1, -(-(steps or 0) // DAYS)) + 1)
     own = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    centres = known.groupBy("symbol").agg(F.avg("bar_ret").alias("centre"))
     dealt = (
-        known.withColumn("own", own)
+        known.join(centres, "symbol")
+        .select("symbol", "ts", (F.col("bar_ret") - F.col("centre")).alias("moved"), own.alias("own"))
+        .withColumn("slice", F.floor((F.unix_micros("ts") - (first or 0)) / width))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
     )
     symbol = returns.schema["symbol"].dataType.simpleString()
+    sums = ("n", "sum_a", "sum_b", "sum_ab", "square_a", "square_b")
 
-    def correlate(group: pd.DataFrame) -> pd.DataFrame:
-        wide = group.pivot_table(index="ts", columns="symbol", values="bar_ret", aggfunc="mean")
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        wide = group.pivot_table(index="ts", columns="symbol", values="moved", aggfunc="mean")
         names, block = wide.columns.to_numpy(), group.drop_duplicates("symbol").set_index("symbol")["own"].reindex(wide.columns).to_numpy()
         values = wide.to_numpy()
-        there = ~np.isnan(values)
-        centred = np.where(there, values - np.nanmean(values, axis=0), 0.0)     # keeps the products small
-        here = there.astype(float)
+        here = (~np.isnan(values)).astype(float)
+        values = np.nan_to_num(values)
         n = here.T @ here
-        sum_a, sum_ab = centred.T @ here, centred.T @ centred
-        square_a = (centred**2).T @ here
-        with np.errstate(invalid="ignore", divide="ignore"):
-            spread = (n * square_a - sum_a**2) * (n * square_a.T - sum_a.T**2)
-            found = (n * sum_ab - sum_a * sum_a.T) / np.sqrt(spread)
-        meet = (names[:, None] < names[None, :]) & (n >= least_common)
+        a, square = values.T @ here, (values**2).T @ here
+        together = (names[:, None] < names[None, :]) & (n > 0)
         if group["x"].iloc[0] != group["y"].iloc[0]:
-            meet &= block[:, None] != block[None, :]
-        i, j = np.nonzero(meet)
-        flat = spread[i, j] <= 0
-        return pd.DataFrame({"a": names[i], "b": names[j], "days": n[i, j].astype("int64"), "correlation": np.where(flat, np.nan, found[i, j])})
-
-    pairs = dealt.groupBy("x", "y").applyInPandas(correlate, f"a {symbol}, b {symbol}, days long, correlation double")
-    return pairs.withColumn("correlation", F.nanvl("correlation", F.lit(None)))
+            together &= block[:, None] != block[None, :]
+        i, j = np.nonzero(together)
+        found = (n[i, j], a[i, j], a[j, i], (values.T @ values)[i, j], square[i, j], square[j, i])
+        return pd.DataFrame({"a": names[i], "b": names[j], **dict(zip(sums, found, strict=True))})
+
+    schema = f"a {symbol}, b {symbol}, " + ", ".join(f"{c} double" for c in sums)
+    parts = dealt.groupBy("x", "y", "slice").applyInPandas(meet, schema)
+    total = parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in sums]).filter(F.col("n") >= least_common)
+    n = F.col("n")
+    spread = [n * F.col(f"square_{c}") - F.col(f"sum_{c}") * F.col(f"sum_{c}") for c in "ab"]
+    moves = [s > 1e-12 * n * F.col(f"square_{c}") for s, c in zip(spread, "ab", strict=True)]
+    found = (n * F.col("sum_ab") - F.col("sum_a") * F.col("sum_b")) / F.sqrt(spread[0] * spread[1])
+    return total.select("a", "b", n.cast("long").alias("days"), F.when(moves[0] & moves[1], found).alias("correlation"))

@@ -12,6 +12,7 @@ from tickloom.functions.compare import real_deviation, safe_divide
 from tickloom.operators.indicators import momentum, rolling_std, sma
 from tickloom.operators.positions import Account
 from tickloom.plans.layout import Layout, own_rows
+from tickloom.session import settle
 
 
 def with_bar_returns(df: DataFrame, lay: Layout) -> DataFrame:
@@ -45,17 +46,27 @@ def rolling_sharpe_vol(df: DataFrame, lay: Layout, n: int = 60, per_year: int =
     }).drop("_mean", "_sd", "_size")
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, width: float = 0.001) -> DataFrame:
+SKETCH = 800            # size of the quantile sketch; ranks are off by 0.4 % or so
+MARGIN = 0.02           # ranks looked at to each side of the wanted one
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
     """Interpolated quantile per key without gathering a key's values.
 
-    Values are counted in buckets of ``width``; only the one or two buckets
-    that hold the wanted ranks are looked at value by value, as counts of
-    distinct values.
+    A mergeable sketch per key brackets the wanted rank, whatever the scale of
+    the values.  They are counted below, inside and above the bracket; only
+    the parts that hold the wanted ranks are looked at value by value, as
+    counts of distinct values, so the result is exact even if the sketch errs.
     """
     keys = list(keys)
-    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v")).withColumn(
-        "_bucket", F.floor(F.col("_v") / width)
-    )
+    known = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    edge = lambda rank: F.kll_sketch_get_quantile_double("_sketch", F.lit(min(1.0, max(0.0, rank))))
+    # sketches merge in no fixed order: written, so that both readers below see the same bracket
+    edges = settle(known.groupBy(*keys).agg(F.kll_sketch_agg_double("_v", F.lit(SKETCH)).alias("_sketch")).select(
+        *keys, edge(q - MARGIN).alias("_from"), edge(q + MARGIN).alias("_to")
+    ))
+    part = F.when(F.col("_v") < F.col("_from"), 0).when(F.col("_v") <= F.col("_to"), 1).otherwise(2)
+    known = known.join(edges, keys).select(*keys, "_v", part.alias("_bucket"))
     along = Window.partitionBy(*keys).orderBy("_bucket")
     before = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     total = F.sum("_n").over(Window.partitionBy(*keys))
@@ -91,6 +102,19 @@ def var_cvar(returns: DataFrame, keys: Sequence[str], q: float = 0.05, value: st
     )
 
 
+def var_cvar_levels(returns: DataFrame, levels: Sequence[Sequence[str]], q: float = 0.05, value: str = "bar_ret") -> DataFrame:
+    """:func:`var_cvar` for several groupings, as a rollup has them: columns a level does not group by are NULL."""
+    columns = list(dict.fromkeys(c for level in levels for c in level))
+    table = None
+    for level in levels:
+        rows = returns.withColumn("_all", F.lit(1))
+        part = var_cvar(rows, [*level, "_all"], q, value)
+        kinds = returns.schema
+        part = part.select(*[F.col(c) if c in level else F.lit(None).cast(kinds[c].dataType).alias(c) for c in columns], "var", "cvar")
+        table = part if table is None else table.unionByName(part)
+    return table
+
+
 def worst_losses(df: DataFrame, lay: Layout, days: int = 5) -> DataFrame:
     """Worst single-bar and worst ``days``-bar return per key."""
     frame = lay.rows(days - 1)

@@ -14,7 +14,8 @@ def raw_to_processed(raw: DataFrame, processed: str, quarantine: str, batch: str
     A batch owns its folder in both zones and replaces it, so a delivery that
     comes twice, or a run that broke off between the two writes, leaves the
     zones as one run does.  Bars that another batch has already brought are
-    left out; only the days of this delivery are looked up.
+    left out; only the days of this delivery are looked up.  A rejected row
+    lies in the quarantine once, whichever batches bring it.
     """
     spark = raw.sparkSession
     clean, rejected = split_valid(raw)
@@ -25,6 +26,8 @@ def raw_to_processed(raw: DataFrame, processed: str, quarantine: str, batch: str
         known = known.filter(F.col("day").between(span["low"], span["high"])).select("symbol", "ts")
         clean = clean.join(known, ["symbol", "ts"], "left_anti")
     clean.sortWithinPartitions("day", "symbol").write.mode("overwrite").parquet(_folder(processed, batch))
+    seen = _others(spark, quarantine, batch)      # what another batch brought is there already
+    rejected = rejected.distinct() if seen is None else rejected.subtract(seen.select(*rejected.columns))
     rejected.write.mode("overwrite").partitionBy("reason").parquet(_folder(quarantine, batch))
 
 
