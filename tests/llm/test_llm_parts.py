@@ -2,10 +2,13 @@
 
 import io
 import itertools
+import random
 
 import numpy as np
 import plain
+import public_tokenizers
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -140,3 +143,14 @@ def test_words_of_the_same_letters_differ():
     words = [bytes(w) for w in itertools.permutations(b"abcdef")]
     hashes, owner = shingles.word_hashes([b" ".join(words)])
     assert len(set(hashes.tolist())) == len(words) and set(owner.tolist()) == {0}
+
+
+@pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_of_any_vocabulary(file):
+    rng, path = random.Random(9), public_tokenizers.path(file)
+    enc = encoder(path)
+    assert enc.cached == file.startswith("word")
+    parts = ["Hello", " ", "\n", "don't", "é", "1", "23", "  ", "<|endoftext|>", "ß", " ", "x", "İ", "日本"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert enc.ids(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids

@@ -102,6 +102,12 @@ def _markup_sql() -> str:
     return f"CASE role {known} ELSE {bare} + length({_escaped_sql('role')}) END"
 
 
+def _in_order_sql() -> str:
+    after = {r: [f"before = '{b}'" for b in t.after if b != "start"] + ["before IS NULL"] * ("start" in t.after) for r, t in chat.INSTRUCT.turns.items()}
+    known = " ".join(f"WHEN '{r}' THEN coalesce({' OR '.join(tests)}, false)" for r, tests in after.items())
+    return f"CASE role {known} ELSE false END"
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"      # what both turns of conversation -7 say
 
 
@@ -110,19 +116,23 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"      # what both turns of conversation -7
     f"""
     WITH turns AS (
         SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-        UNION ALL VALUES (-7, 0, 'user', '{CONTROL_TEXT}'), (-7, 1, 'assistant', '{CONTROL_TEXT}'))
+        UNION ALL VALUES (-7, 0, 'user', '{CONTROL_TEXT}'), (-7, 1, 'assistant', '{CONTROL_TEXT}')),
+    told AS (
+        SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last FROM turns)
     SELECT conv_id, count(*) AS n_turns,
            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-           CAST({len(chat.INSTRUCT.begin)} + sum({_markup_sql()} + length({_escaped_sql('text')})) AS BIGINT) AS formatted_chars
-    FROM turns GROUP BY conv_id
+           CAST({len(chat.INSTRUCT.begin)} + sum({_markup_sql()} + length({_escaped_sql('text')})) AS BIGINT) AS formatted_chars,
+           bool_and({_in_order_sql()}) AND bool_or(last AND role IN ({', '.join(f"'{r}'" for r in chat.INSTRUCT.final)})) AS valid
+    FROM told GROUP BY conv_id
     """,
 )
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], turns.schema)
-    return chat.digests(settle(chat.segments(turns.unionByName(extra)))).drop("valid")
+    return chat.digests(settle(chat.segments(turns.unionByName(extra))))
 
 
 @query("op10_toxicity")

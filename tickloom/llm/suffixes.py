@@ -339,11 +339,13 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-REMOVED = "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+REMOVED = "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", most_together: int = MOST_TOGETHER) -> DataFrame:
-    """row_id, doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of ``docs``.
+    """row_id, doc_id, n_bytes, n_removed, n_spans, kept_sha256, text for every row of ``docs``.
+
+    ``text`` is what is left; a character that loses a byte goes as a whole.
 
     Texts are taken as UTF-8 bytes, null as empty; texts shorter than
     ``length`` keep all bytes; strings never cross rows; rows with null or
@@ -358,8 +360,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
             for i in range(batch.num_rows):
                 raw = (batch.column("text")[i].as_py() or "").encode()
                 spans = covered(batch.column("runs")[i].as_py(), length)
-                out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(without(raw, spans)).hexdigest()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                rest = without(raw, spans)
+                out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore")))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]],
                 [f.split()[0] for f in REMOVED.split(", ")],

@@ -1,12 +1,15 @@
 """Encoding whole texts with a word-level cache in front of the tokenizers library.
 
-A text of the word-splitting vocabulary is cut at white space without changing
+The cache needs a vocabulary file that normalises and splits texts as told
+below; with any other file every text goes to the library as it is.  A text of
+such a vocabulary is cut at white space without changing
 its ids, and a run of letters is encoded by the library's BPE model alone.
 Texts or words outside a plain alphabet go to the library as they are.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -16,6 +19,14 @@ import numpy as np
 PLAIN = re.compile(r"[ -&(-;=-~\n\t\rÀ-ÖØ-öø-ÿ]*").fullmatch       # no apostrophe (contractions), no "<" (special tokens)
 PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\s]+").findall
 SPACE = re.compile(r"[ \n\t\r]+").split
+# How the files that the cache is made for normalise and split texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"},
+]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
 MOST_WORDS = 250_000        # words a worker remembers; then it starts anew
 
 
@@ -45,6 +56,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        made = json.loads(self.tokenizer.to_str())
+        self.cached = made["normalizer"] == NORMALIZER and made["pre_tokenizer"] == PRE_TOKENIZER
         letters = _byte_letters()
         self._stand_in = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(128, 256)}
         model = self.tokenizer.model
@@ -65,6 +78,8 @@ class WordEncoder:
         """The ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if not self.cached:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         for cache in (self._pieces, self._chunks):
             if len(cache) > MOST_WORDS:
                 cache.clear()
