@@ -317,11 +317,12 @@ def verify(pairs: DataFrame, texts: DataFrame, documents: DataFrame, buckets: in
 def similar_components(
     docs: DataFrame, frequent: int = FREQUENT, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """row_id, doc_id, n_shingles, component_id, n_links for every row of ``docs``.
+    """row_id, doc_id, n_shingles, component_id for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable over links (null ids do not
     count).  Texts without a word, null or empty, are linked with nothing and
-    keep their own id.  ``n_links`` counts the verified links of the row's set.
+    keep their own id.  Only connectedness is computed: pairs of sets that are
+    connected already are not compared, so links are not counted.
     An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
@@ -357,17 +358,13 @@ def similar_components(
     pairs_of_two = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     checked, labels = _checked_too(pairs_of_two, checked, labels, texts, documents, buckets)
 
-    links = checked.filter("linked")
-    ends = links.select(F.col("a").alias("cls")).union(links.select("b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
     nodes = documents.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = nodes.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("smallest"))
     return (
         nodes.join(smallest, "component", "left")
-        .join(ends, "cls", "left")
         .select(
             "row_id", "doc_id", F.col("n").alias("n_shingles"),
             F.when(F.col("n") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
         )
     )
 

@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from tickloom.session import settle
 
 TABLES = 32
-PROBES = 64             # cells a query looks into, per table
+PROBES = 64             # cells a query looks into at least, per table
+MET = 200               # vectors that a query meets on average at least; a small table asks for more cells
 NEAREST = 5
 BLOCK_VECTORS = 20_000  # vectors and queries of a cell that meet in one task
 BLOCK_QUERIES = 4_000
@@ -93,7 +94,7 @@ def _index(tables: int, seed: int):
     return index
 
 
-def _probe(tables: int, probes: int, seed: int, everywhere: bool):
+def _probe(tables: int, probes: int, seed: int, everywhere: bool, rows: int):
     def rows_of(slot, signs, unit) -> Iterator[tuple[int, int, int, np.ndarray]]:
         first, second = (turned(unit, s) for s in signs)
         axes = first.shape[1]
@@ -103,7 +104,8 @@ def _probe(tables: int, probes: int, seed: int, everywhere: bool):
                     yield slot, i, axis, np.arange(axes, dtype="<i4")
                 continue
             total = (first[i][:, None] + second[i][None, :]).ravel()
-            best = np.argpartition(-total, min(probes, len(total) - 1))[:probes]
+            cells = min(len(total), max(probes, -(-MET * len(total) // (tables * max(1, rows)))))
+            best = np.argpartition(-total, min(cells, len(total) - 1))[:cells]
             for axis in np.unique(best // axes):
                 yield slot, i, int(axis), (best[best // axes == axis] % axes).astype("<i4")
 
@@ -158,7 +160,7 @@ def _search(classes: DataFrame, queries: DataFrame, tables: int, probes: int, ke
     data = classes.select("cls", "embedding").mapInArrow(_index(tables, seed), SIGNED)
     if everywhere:
         data = data.filter("slot = 0")
-    asked = queries.select("cls", "embedding").mapInArrow(_probe(tables, probes, seed, everywhere), PROBED)
+    asked = queries.select("cls", "embedding").mapInArrow(_probe(tables, probes, seed, everywhere, classes.count()), PROBED)
     count = lambda df: {tuple(r[c] for c in CELL): r["n"] for r in df.groupBy(*CELL).count().withColumnRenamed("count", "n").filter(F.col("n") > BLOCK_QUERIES).collect()}  # noqa: E731  cells are at most tables x axes
     by_data, by_query = _factor(_blocks(count(data), BLOCK_VECTORS)), _factor(_blocks(count(asked), BLOCK_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
