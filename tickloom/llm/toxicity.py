@@ -31,7 +31,7 @@ from tickloom.session import settle
 FIT_ROWS = 8_192        # labelled rows the voters and the classifier are fitted on
 STEMS = 256             # mined stems that vote
 STEM_SIZES = (4, 5)     # leading letters of a word
-CHANCE = 1e-4           # a stem of toxic rows only counts if chance gives that less often
+CHANCE = 1e-4           # stems of toxic rows only count if chance gives one of all stems seen less often
 LEAST_SHARE = 0.01      # a mined stem occurs in at least this share of the toxic sample rows
 GIVEN_ACCURACY = 0.97   # of the labels given
 MOST_COUNT = 4          # occurrences of a feature beyond this count no more
@@ -182,9 +182,9 @@ def _mine(sample: DataFrame, toxic: int, clean: int) -> tuple[str, ...]:
     words = sample.select(F.monotonically_increasing_id().alias("row"), "toxic", word)
     stems = words.select("row", "toxic", F.explode(F.array(*[F.substring("word", 1, k) for k in STEM_SIZES])).alias("stem"))
     rows = stems.filter(F.length("stem") >= min(STEM_SIZES)).distinct()
-    n = rows.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
+    n = settle(rows.groupBy("stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
     odds = F.log(((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1)))
-    by_chance = math.log(CHANCE) / math.log(toxic / (toxic + clean))       # so many toxic rows and no clean one
+    by_chance = math.log(CHANCE / max(1, n.count())) / math.log(toxic / (toxic + clean))       # so many toxic rows and no clean one
     good = n.filter((F.col("t") >= max(by_chance, LEAST_SHARE * toxic)) & (F.col("c") <= 0.002 * clean) & (odds > 3))
     return tuple(r["stem"] for r in good.orderBy(F.desc(F.col("t") * odds), "stem").limit(STEMS).collect())
 
