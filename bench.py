@@ -22,7 +22,11 @@ HEADLINES = [
     "trade_pairing",
     "results_table",            # all rules, all metrics
     "parameter_sweep",
-    "permutation_test",
+    "walk_forward_selection",
+    "permutation_test",         # 1,000 orders
+    "bootstrap_interval",       # 1,000 series of blocks
+    "path_metrics",
+    "rolling_max_drawdown",
     "var_cvar",
     "correlation_matrix",
     "feature_table",
