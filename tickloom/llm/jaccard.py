@@ -277,7 +277,7 @@ def across(open_: DataFrame, sets: DataFrame, buckets: int, most: int) -> DataFr
         columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
         return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("a", "b", "sig"), columns, strict=True)})
 
-    return settled(dealt.groupBy("bucket").applyInArrow(meet, "a long, b long, sig long"))
+    return settled(dealt.repartition("bucket").groupBy("bucket").applyInArrow(meet, "a long, b long, sig long"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, documents: DataFrame, buckets: int) -> DataFrame:

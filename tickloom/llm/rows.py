@@ -10,7 +10,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.session import settle
+from tickloom.session import new_folder, settle
+
+TASK_BYTES = 16 << 20       # of a written table that one task reads
 
 
 def _place(docs: DataFrame) -> Column:
@@ -59,9 +61,23 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return whole.join(dropped.select(F.col("row_id").alias(name)), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes ``df`` and goes on from the written table, in as many partitions as its bytes ask for.
+
+    What later steps do with a small table then takes a few tasks, and none of
+    it is shuffled where one task holds it all.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "settled")
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return spark.read.schema(df.schema).parquet(path).coalesce(max(1, -(-size // TASK_BYTES)))
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Writes ``df`` and goes on from the written table; shuffle files that only earlier steps needed are let go."""
-    done = settle(df)
+    """Like :func:`written`; shuffle files that only earlier steps needed are let go."""
+    done = written(df)
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return done
