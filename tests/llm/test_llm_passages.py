@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from tickloom.llm import suffixes
 
 WORD = re.compile(r"\w+(?:[^\w\s]+\w+)*")
@@ -58,10 +59,17 @@ def test_planted_passages_go(spark, tmp_path):
     assert all((p in left) == (n <= 50) for n, p in passages.items())
 
 
-def test_small_limits_against_windows(spark, tmp_path):
+@pytest.mark.parametrize("most_together", [1, 4_000])
+def test_small_limits_against_windows(spark, tmp_path, most_together):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["a", "bb", "c-d", "é", "e.", "-"]) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     path = str(tmp_path / "docs")
     spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3).write.parquet(path)
-    got = {r["doc_id"]: r["text"] for r in suffixes.drop_passages(spark.read.parquet(path), 10, 400).collect()}
+    got = {r["doc_id"]: r["text"] for r in suffixes.drop_passages(spark.read.parquet(path), 10, 400, most_together=most_together).collect()}
     assert [got[i] for i in range(len(texts))] == kept(texts, 10, 400)
+
+
+def test_clashing_columns_and_no_rows(awkward, nothing):
+    kept_rows = suffixes.drop_passages(awkward)
+    assert kept_rows.columns == awkward.columns and kept_rows.count() == awkward.count()
+    assert suffixes.drop_passages(nothing).count() == 0

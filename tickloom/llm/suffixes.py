@@ -42,6 +42,7 @@ SPAN = 64
 GRAM = 16                   # bytes that decide on an anchor
 REMEMBERED = 1_000_000      # blocks a task recognises again
 MOST_TOGETHER = 20_000      # surroundings of a core that are sorted in one task
+PASSAGES_TOGETHER = 4_000   # the same where texts are looked through twice, by words and by bytes
 WORDS = 51                  # words of a passage that is cut wherever it occurs twice
 CODE = 8                    # bytes that stand for a word
 CODES = 65_536              # codes a task remembers
@@ -452,21 +453,24 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def drop_passages(docs: DataFrame, words: int = WORDS, length: int = LENGTH, text_column: str = "text") -> DataFrame:
+def drop_passages(
+    docs: DataFrame, words: int = WORDS, length: int = LENGTH, text_column: str = "text", most_together: int = PASSAGES_TOGETHER
+) -> DataFrame:
     """``docs`` without any passage of ``words`` words, or of ``length`` bytes, that occurs more than once.
 
     A word holds no space and has a letter or digit at both ends; passages are
     equal if their words are, whatever stands between them.  All occurrences go,
     from the first letter of the first word to the last one of the last word.
     ``length`` bytes that repeat go as in ``drop_repeats``, which covers texts
-    that are not written with spaces.  Both are looked for in the texts as they come in.
+    that are not written with spaces.  Both are looked for in the texts as they
+    come in.  A null text stays null, and an empty table gives no row.
     """
     whole, row = numbered_whole(docs)
     found, in_words = free_name(whole, "_runs"), free_name(whole, "_word_runs")
     texts = numbered(docs, text=text_column)
     none = F.lit(None).cast("array<struct<at:bigint,n:bigint>>")
-    by_bytes = repeated_runs(texts, length).select("row_id", F.col("runs").alias(found), none.alias(in_words))
-    by_words = repeated_runs(settle(coded(texts, words)), words * CODE).select("row_id", none.alias(found), F.col("runs").alias(in_words))
+    by_bytes = repeated_runs(texts, length, most_together).select("row_id", F.col("runs").alias(found), none.alias(in_words))
+    by_words = repeated_runs(settle(coded(texts, words)), words * CODE, most_together).select("row_id", none.alias(found), F.col("runs").alias(in_words))
     runs = by_bytes.union(by_words).groupBy("row_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in (found, in_words)])
 
     @F.arrow_udf("string")
