@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_permutation import mix
 
-from tickloom.operators.bootstrap import SEGMENT, bootstrap_interval
+from tickloom.operators.bootstrap import SEGMENT, _packed, _unpacked, bootstrap_interval
 from tickloom.plans.layout import Layout
 
 
@@ -58,3 +58,21 @@ def test_several_segments(spark):
     wanted = by_loop("A", series["A"], 50, 6, 0.5)
     for r in rows:
         assert [r.low, r.high] == pytest.approx(wanted, abs=1e-8)
+
+
+@pytest.mark.parametrize("apart", [1, 9, 700])
+def test_places_travel_small(apart):
+    rnd = np.random.default_rng(5)
+    code = rnd.integers(0, 1000 * apart, 1000)
+    adds = rnd.random(1000) < 0.5
+    packed = _packed(code, adds)
+    number, sign = _unpacked(packed)
+    assert sorted(zip(number.tolist(), sign.tolist(), strict=True)) == sorted(zip(code.tolist(), (2.0 * adds - 1).tolist(), strict=True))
+    assert apart > 9 or len(packed) < 1200      # seven bytes each before
+
+
+def test_chunks_send_a_row_each(spark):
+    """Totals of the repetitions travel as one list per chunk, not as a row per chunk and repetition."""
+    rows = bootstrap_interval(frame(spark, {"A": [0.01] * 90, "B": [0.02] * 50}, 30), Layout(chunked=True, chunk_rows=30), block=5, repetitions=40)
+    plan = rows._jdf.queryExecution().toString()
+    assert "rep#" not in plan and "parts#" in plan

@@ -25,7 +25,22 @@ SEGMENT = 65_536            # places of the new series drawn on their own; a blo
 TOGETHER = 50               # repetitions whose places travel together
 _GOLDEN = 0x9E3779B9
 
-_PLACE = np.dtype([("rep", "<u2"), ("sign", "i1"), ("row", "<u4")])
+
+
+def _packed(code: np.ndarray, adds: np.ndarray) -> bytes:
+    """Places (numbered through repetitions and rows) as distances, with a bit for the sign: little over a byte each."""
+    order = np.argsort(code, kind="stable")
+    apart = np.diff(code[order], prepend=0)
+    width = 1 if apart.max(initial=0) < 256 else 8
+    return len(code).to_bytes(4, "little") + bytes([width]) + apart.astype(f"<u{width}").tobytes() + np.packbits(adds[order]).tobytes()
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and signs (+1 or -1) of what :func:`_packed` wrote."""
+    count, width = int.from_bytes(packed[:4], "little"), packed[4]
+    apart = np.frombuffer(packed, f"<u{width}", count, 5)
+    adds = np.unpackbits(np.frombuffer(packed, np.uint8, offset=5 + width * count), count=count)
+    return np.cumsum(apart, dtype=np.int64), 2.0 * adds - 1
 
 
 def _draws(seed: int, segment: int, size: int, bars: int, first: int, last: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,33 +128,46 @@ def _sent(keys: Sequence[str], block: int, chunk_rows: int):
                 row = {c: batch.column(c)[i].as_py() for c in ("_seed", "segment", "first", "last", "bars")}
                 size = min(SEGMENT, row["bars"] - row["segment"] * SEGMENT)
                 rep, start, length = _draws(row["_seed"], row["segment"], size, row["bars"], row["first"], row["last"], block)
-                parts = []
+                codes, bars, adds = [], [], []
                 for which, place, sign in _ends(start, length, row["bars"]):
                     used = place > 0        # nothing stands before the first bar
-                    part = np.zeros(int(used.sum()), _PLACE)
-                    part["rep"], part["sign"] = rep[which][used], sign
-                    parts.append((part, place[used] - 1))
-                records, bar = (np.concatenate(c) for c in zip(*parts, strict=True))
-                chunk = bar // chunk_rows
-                records["row"] = bar % chunk_rows
+                    bar = place[used] - 1
+                    codes.append((rep[which][used] - row["first"]) * chunk_rows + bar % chunk_rows)
+                    bars.append(bar // chunk_rows)
+                    adds.append(np.full(len(bar), sign > 0))
+                code, chunk, add = (np.concatenate(c) for c in (codes, bars, adds))
                 order = np.argsort(chunk, kind="stable")
                 cuts = np.flatnonzero(np.r_[True, np.diff(chunk[order]) > 0, True])
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    named = {k: batch.column(k).slice(i, 1) for k in keys}
-                    yield pa.RecordBatch.from_pydict({**named, "chunk": pa.array([int(chunk[order[a]])]), "packed": pa.array([records[order[a:b]].tobytes()])})
+                found = [(int(chunk[order[a]]), _packed(code[order[a:b]], add[order[a:b]])) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+                if found:
+                    named = {k: batch.column(k).take(pa.array(np.full(len(found), i))) for k in keys}
+                    sent = {"chunk": [c for c, _ in found], "first": [row["first"]] * len(found), "packed": [p for _, p in found]}
+                    types = {"chunk": pa.int64(), "first": pa.int32(), "packed": pa.binary()}
+                    yield pa.RecordBatch.from_pydict({**named, **{c: pa.array(v, types[c]) for c, v in sent.items()}})
 
     return draw
 
 
-def _received(keys: Sequence[str], repetitions: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _received(keys: Sequence[str], repetitions: int, chunk_rows: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def add(rows: pa.Table, places: pa.Table) -> pa.Table:
         prefix = rows.sort_by("bar_no").column("prefix").to_numpy()
-        totals = np.zeros(repetitions + 1)
-        for packed in places.column("packed"):
-            sent = np.frombuffer(packed.as_buffer(), _PLACE)
-            totals += np.bincount(sent["rep"], sent["sign"] * prefix[sent["row"]], repetitions + 1)
-        named = {k: rows.column(k).take(pa.array(np.zeros(repetitions, np.int64))) for k in keys}
-        return pa.table({**named, "rep": pa.array(np.arange(1, repetitions + 1), pa.int32()), "part": pa.array(totals[1:])})
+        totals = np.zeros(repetitions)
+        for first, packed in zip(places.column("first").to_pylist(), places.column("packed"), strict=True):
+            code, sign = _unpacked(packed.as_buffer().to_pybytes())
+            part = np.bincount(code // chunk_rows, sign * prefix[code % chunk_rows])
+            totals[first - 1:first - 1 + len(part)] += part
+        return pa.table({**{k: rows.column(k).slice(0, 1) for k in keys}, "parts": pa.array([totals.tolist()], pa.list_(pa.float64()))})
+
+    return add
+
+
+def _spread(keys: Sequence[str], ends: Sequence[float]) -> Callable[[pa.Table], pa.Table]:
+    """The interval from the totals of every repetition, one list per chunk."""
+
+    def add(chunks: pa.Table) -> pa.Table:
+        totals = sum(part.values.to_numpy() for part in chunks.column("parts"))
+        low, high = np.quantile(totals, ends)
+        return pa.table({**{k: chunks.column(k).slice(0, 1) for k in keys}, "low": pa.array([low]), "high": pa.array([high])})
 
     return add
 
@@ -158,11 +186,10 @@ def _by_chunks(bars: DataFrame, lay: Layout, seed: Column, block: int, repetitio
     portions = portions.withColumn("last", F.least(F.col("first") + TOGETHER, F.lit(repetitions + 1)))
     tasks = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     places = portions.repartition(tasks, *keys, "segment", "first").mapInArrow(
-        _sent(keys, block, lay.chunk_rows), _schema(bars, keys, "chunk long, packed binary")
+        _sent(keys, block, lay.chunk_rows), _schema(bars, keys, "chunk long, first int, packed binary")
     )
-    parts = prefix.groupBy(*keys, "chunk").cogroup(settle(places).groupBy(*keys, "chunk")).applyInArrow(
-        _received(keys, repetitions), _schema(bars, keys, "rep int, part double")
+    parts = prefix.groupBy(*keys, "chunk").cogroup(places.groupBy(*keys, "chunk")).applyInArrow(
+        _received(keys, repetitions, lay.chunk_rows), _schema(bars, keys, "parts array<double>")
     )
-    totals = parts.groupBy(*keys, "rep").agg(F.sum("part").alias("total"))
-    interval = totals.groupBy(*keys).agg(*[F.percentile("total", F.lit(q)).alias(n) for q, n in zip(ends, ("low", "high"), strict=True)])
+    interval = parts.groupBy(*keys).applyInArrow(_spread(keys, ends), _schema(bars, keys, "low double, high double"))
     return whole.join(interval, keys).select(*keys, "bars", "total_return", "low", "high")
