@@ -174,3 +174,15 @@ def test_asset_correlation_in_blocks(spark):
     assert set(found) == {(a, b) for a in "BCDEFG" for b in "BCDEFG" if a < b}
     for (a, b), r in found.items():
         assert r.days == 60 and (r.correlation is None if b == "G" else abs(r.correlation - wanted[a][b]) < 1e-9)
+
+
+def test_chunks_read_their_bars_once(spark):
+    """The span, the starts, the ranks and the counts read written bars, not the bars' own plan four times over."""
+    from pyspark.sql import functions as F
+
+    bars = spark.range(500).select(
+        (F.col("id") % 3).cast("string").alias("symbol"), F.timestamp_seconds(F.col("id") * 86400).alias("ts"), F.lit(1.0).alias("close")
+    )
+    df, _ = lay_out(bars, False, 50, 16, 10, 2)
+    assert "Range (" not in df._jdf.queryExecution().toString()
+    assert df.filter("own").count() == 500
