@@ -81,3 +81,32 @@ def test_correlations_over_slices(spark, days, monkeypatch):
 def test_correlation_of_flat_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
     assert df.agg(rs.correlation(F.col("a"), F.col("b"))).first()[0] is None
+
+
+def test_correlation_matrix_of_many_names(spark):
+    """Every pair of 18 columns over the rows that have both, from rows spread over tasks; a constant and a missing one give NULL."""
+    rnd = np.random.default_rng(8)
+    values = 1e4 + rnd.normal(size=(300, 18)).cumsum(0)
+    values[:, 3] = 7.5
+    here = rnd.random(values.shape) < 0.8
+    here[:, 5] = False
+    rows = [(i, f"r{j:02}", float(values[i, j])) for i in range(300) for j in range(18) if here[i, j]]
+    names = [f"r{j:02}" for j in range(18)]
+    long = spark.createDataFrame(rows, "k int, name string, value double").repartition(6, "k")
+    table = rs.correlation_matrix(long, ["k"], "name", "value", names)
+    aggregates = table._jdf.queryExecution().optimizedPlan().toString().count("covar")
+    assert aggregates == 0          # 153 covariances and 612 other aggregates before
+    got = {(r.a, r.b): r.correlation for r in table.collect()}
+    assert len(got) == 153
+    for i in range(18):
+        for j in range(i + 1, 18):
+            both = here[:, i] & here[:, j]
+            if {i, j} & {3, 5}:
+                assert got[names[i], names[j]] is None
+            else:
+                assert got[names[i], names[j]] == pytest.approx(np.corrcoef(values[both, i], values[both, j])[0, 1], abs=1e-9)
+
+
+def test_correlation_matrix_without_rows(spark):
+    table = rs.correlation_matrix(spark.createDataFrame([], "k int, name string, value double"), ["k"], "name", "value", ["x", "y"])
+    assert [tuple(r) for r in table.collect()] == [("x", "y", None)]
