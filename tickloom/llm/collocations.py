@@ -298,14 +298,16 @@ def phrase_counts(
     shards = spark.read.schema(SHARDS).parquet(path)
     words = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "word"))
     words = words.select("shard", "lang", F.col("word.words").alias("phrase"), (F.col("at") + 1).alias("id"), F.col("word.counts").alias("count"))
-    singles = settle(words.groupBy("lang", "phrase").agg(F.sum("count").alias("a")).filter(F.col("a") >= least))
+    total_of = F.sum("count").over(Window.partitionBy("lang", "phrase"))
+    stays = settle(words.withColumn("a", total_of).filter(F.col("a") >= least).drop("count"))     # each word beside its total: nothing to join
+    singles = stays.groupBy("lang", "phrase").agg(F.first("a").alias("a"))
     total = shards.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * 4 // BUCKET_BYTES))
 
     def heavy(sent: DataFrame) -> DataFrame:
         return sent.select("shard", "bucket", "packed").groupBy("bucket").applyInArrow(_heavy(least), "shard long, packed binary")
 
-    usual = words.join(singles.hint("merge"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list(F.struct("id", "phrase")).alias("usual")).hint("merge")
+    usual = stays.groupBy("shard").agg(F.collect_list(F.struct("id", "phrase")).alias("usual")).hint("merge")
     texts = shards.select("shard", "lang", "ids").join(usual, "shard")
     pairs = heavy(texts.mapInArrow(_pairs(buckets, least), SENT))
     sent = settle(_with(texts, pairs).mapInArrow(_triples(buckets, least), SENT))
