@@ -105,6 +105,7 @@ def var_cvar(returns: DataFrame, keys: Sequence[str], q: float = 0.05, value: st
 def var_cvar_levels(returns: DataFrame, levels: Sequence[Sequence[str]], q: float = 0.05, value: str = "bar_ret") -> DataFrame:
     """:func:`var_cvar` for several groupings, as a rollup has them: columns a level does not group by are NULL."""
     columns = list(dict.fromkeys(c for level in levels for c in level))
+    returns = settle(returns)       # every level reads them
     table = None
     for level in levels:
         rows = returns.withColumn("_all", F.lit(1))
