@@ -22,7 +22,7 @@ DAILY = f"WITH {S.BARS} SELECT symbol, day, {PRICE_LIST} FROM bars"
 def scan_bars_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "bars-csv")
     files.sink_bars(bars_of(spark, folder), path, F.col("symbol"), "csv")
-    return files.scan_bars_csv(spark, path, series_folders=True).select("symbol", day(), *PRICES)
+    return files.scan_bars_csv(spark, path, series_column=True).select("symbol", day(), *PRICES)
 
 
 HOURLY = """
@@ -41,7 +41,7 @@ def hour_text(column: str = "ts"):
 def scan_bars_intraday(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "hour-csv")
     files.sink_bars(hourly_bars(table(spark, folder, "events")), path, F.concat("symbol", F.lit("_60m")), "csv")
-    return files.scan_bars_csv(spark, path, series_folders=True).select("symbol", "minutes", hour_text(), *PRICES)
+    return files.scan_bars_csv(spark, path, series_column=True).select("symbol", "minutes", hour_text(), *PRICES)
 
 
 @query("hourly_bars", f"WITH {HOURLY} SELECT symbol, {HOUR_TEXT} AS hour, {PRICE_LIST} FROM hours")
