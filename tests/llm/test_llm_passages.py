@@ -5,8 +5,10 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import plain
 import pytest
 from tickloom.llm import suffixes
+from tickloom.llm.queries import QUERIES
 
 WORD = re.compile(r"\w+(?:[^\w\s]+\w+)*")
 
@@ -59,6 +61,20 @@ def test_planted_passages_go(spark, tmp_path):
     assert all((p in left) == (n <= 50) for n, p in passages.items())
 
 
+def test_query_tells_passages_below_400_bytes(spark, tmp_path):
+    texts, passages = planted()
+    spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in QUERIES["op7_suffix_dedup"](spark, str(tmp_path)).collect()}
+    docs = [*enumerate(texts), (len(texts), None)]
+    wanted, rest = plain.repeats(docs, 400)
+    assert [tuple(rows[d][c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")) for d, _ in docs] == wanted     # the contract
+    assert [rows[d]["text"] for d, _ in docs] == [b.decode(errors="ignore") for b in rest]
+    assert [rows[d]["text_without_passages"] for d, _ in docs] == [*kept(texts, 51, 400), ""]
+    planted_in = {i for i, t in enumerate(texts) for n, p in passages.items() if n > 50 and " ".join(p.split()) in " ".join(t.split())}
+    assert any(rows[i]["n_removed"] == 0 for i in planted_in)
+    assert {d for d, r in rows.items() if r["n_passages"]} == planted_in | {i for i, t in enumerate(texts) if t.startswith("a a a")}
+
+
 @pytest.mark.parametrize("most_together", [1, 4_000])
 def test_small_limits_against_windows(spark, tmp_path, most_together):
     rng = random.Random(6)

@@ -16,7 +16,8 @@ Suffixes that agree on ``SPAN`` symbols lie side by side, and their starts are
 repeated.  Cores that very many surroundings share are dealt out start by start.
 
 *Passages.*  Repeats counted in words are found by the same two steps over texts
-in which every word is a code of ``CODE`` bytes; see ``drop_passages``.
+in which every word is a code of ``CODE`` bytes and strings start at words only
+(``step``); see ``drop_passages``.
 """
 
 from __future__ import annotations
@@ -45,7 +46,7 @@ MOST_TOGETHER = 20_000      # surroundings of a core that are sorted in one task
 PASSAGES_TOGETHER = 4_000   # the same where texts are looked through twice, by words and by bytes
 WORDS = 51                  # words of a passage that is cut wherever it occurs twice
 CODE = 8                    # bytes that stand for a word
-CODES = 65_536              # codes a task remembers
+CODES = 250_000             # codes a task remembers
 
 RECORD = np.dtype([("core", "<u4"), ("whole", "<u8"), ("row", "<i8"), ("at", "<i8"), ("lead", "u1"), ("n", "u1")])
 RUN = np.dtype([("row", "<i8"), ("at", "<i8"), ("n", "<i8")])
@@ -89,34 +90,38 @@ def sliding_smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1:n])
 
 
-def blocks_of(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...] | None:
-    """Blocks of all texts: text, first start in it, starts, starts before the core begins, hash of core, hash of surroundings."""
+def blocks_of(texts: list[bytes], length: int = LENGTH, step: int = 1) -> tuple[np.ndarray, ...] | None:
+    """Blocks of all texts: text, first start in it, bytes with starts, bytes before the core begins, hash of core, hash of surroundings.
+
+    Strings start at every ``step``-th byte; texts, ``length``, ``SPAN`` and ``GRAM`` are whole steps.
+    """
     raw = np.frombuffer(b"".join(texts), "u1")
     if len(raw) < length:
         return None
     sizes = np.array([len(t) for t in texts])
     bounds = np.cumsum(np.r_[0, sizes])
     hashed = RangeHash(raw)
-    place = np.arange(len(raw) - GRAM + 1)
+    place = np.arange(0, len(raw) - GRAM + 1, step)
     grams = hashed(place, place + GRAM)
     marked = (grams & np.uint64(0xFFFFFFFF00000000)) | place.astype("u8")      # leftmost of equal ones
-    anchor = (sliding_smallest(marked, length - GRAM + 1) & np.uint64(0xFFFFFFFF)).astype("i8")
+    anchor = (sliding_smallest(marked, (length - GRAM) // step + 1) & np.uint64(0xFFFFFFFF)).astype("i8")
     long = np.flatnonzero(sizes >= length)
     if not len(long):
         return None
-    counts = sizes[long] - length + 1
-    starts = np.arange(int(counts.sum())) + np.repeat(bounds[long] - (np.cumsum(counts) - counts), counts)
+    counts = (sizes[long] - length) // step + 1
+    nth_start = np.arange(int(counts.sum())) + np.repeat(bounds[long] // step - (np.cumsum(counts) - counts), counts)
+    starts, anchor = nth_start * step, anchor[nth_start]
     text = np.repeat(long, counts)
-    nth = (anchor[starts] - starts) // SPAN         # block before the anchor
-    core = anchor[starts] - nth * SPAN              # where the core of the block begins
+    nth = (anchor - starts) // SPAN         # block before the anchor
+    core = anchor - nth * SPAN              # where the core of the block begins
     new = np.r_[True, (core[1:] != core[:-1]) | (nth[1:] != nth[:-1]) | (text[1:] != text[:-1])]
     at = np.flatnonzero(new)
-    n = np.diff(np.r_[at, len(starts)])
+    n = np.diff(np.r_[at, len(starts)]) * step
     begin, core, nth, text = starts[at], core[at], nth[at], text[at]
-    core_hash = blobs.spread(hashed(core, core + length - SPAN + 1) + nth.astype("u8"))
+    core_hash = blobs.spread(hashed(core, core + length - SPAN + step) + nth.astype("u8"))
     lead = core - begin
     shape = (lead * 256 + n).astype("u8")
-    whole = blobs.spread(hashed(begin, begin + n - 1 + length) ^ blobs.spread(shape) ^ core_hash)
+    whole = blobs.spread(hashed(begin, begin + n - step + length) ^ blobs.spread(shape) ^ core_hash)
     return text, begin - bounds[text], n, lead, core_hash, whole
 
 
@@ -138,7 +143,7 @@ SENT = "bucket int, packed binary, runs binary"
 FOUND = "row_id long, at long, n long, core long, lead int, sure boolean"
 
 
-def meet_blocks(texts: DataFrame, buckets: int, length: int) -> DataFrame:
+def meet_blocks(texts: DataFrame, buckets: int, length: int, step: int = 1) -> DataFrame:
     """Written table: runs of repeated starts (no core), and blocks still open with the core they share."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,11 +163,11 @@ def meet_blocks(texts: DataFrame, buckets: int, length: int) -> DataFrame:
                     if seen <= 2:       # a third copy is known to be one; two are enough for the others
                         fresh.append(i)
                     else:
-                        runs.append((int(own[i]), 0, len(raw) - length + 1))
+                        runs.append((int(own[i]), 0, len(raw) - length + step))
                 if len(copies) + len(times) > REMEMBERED:
                     copies.clear()
                     times.clear()
-                found = blocks_of([portion[i] for i in fresh], length) if fresh else None
+                found = blocks_of([portion[i] for i in fresh], length, step) if fresh else None
                 dealt: list[tuple[int, bytes]] = []
                 if found:
                     text, at, n, lead, core, whole = found
@@ -217,19 +222,19 @@ def meet_blocks(texts: DataFrame, buckets: int, length: int) -> DataFrame:
 SIDES = "core long, row_id long, at long, lead int, sure boolean, middle binary, left binary, right binary"
 
 
-def surroundings(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+def surroundings(texts: DataFrame, open_: DataFrame, length: int, step: int = 1) -> DataFrame:
     """The bytes around the core of every open block; the core itself as a 128-bit digest."""
     wanted = open_.groupBy("row_id").agg(F.collect_list(F.struct("at", "n", "core", "lead", "sure")).alias("blocks"))     # a row's own
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        core_size = length - SPAN + 1
+        core_size = length - SPAN + step
         for batch in batches:
             for i in range(batch.num_rows):
                 row, raw = batch.column("row_id")[i].as_py(), (batch.column("text")[i].as_py() or "").encode()
                 out = []
                 for b in batch.column("blocks")[i].as_py():
                     at, n, lead = b["at"], b["n"], b["lead"]
-                    core, end = at + lead, at + n - 1 + length
+                    core, end = at + lead, at + n - step + length
                     middle = hashlib.blake2b(raw[core:core + core_size], digest_size=16).digest()
                     out.append((b["core"], row, at, lead, b["sure"], middle, raw[at:core], raw[core + core_size:end]))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
@@ -238,37 +243,47 @@ def surroundings(texts: DataFrame, open_: DataFrame, length: int) -> DataFrame:
     return texts.join(wanted, "row_id").select("row_id", "text", "blocks").mapInArrow(cut, SIDES)
 
 
-def repeated_starts(middles: list[bytes], lefts: list[bytes], rights: list[bytes]) -> list[np.ndarray]:
-    """For each string (left, core, right) the offsets in it from which ``SPAN`` symbols also occur in another one."""
-    core_symbol: dict[bytes, int] = {}
+def repeated_starts(middles: list[bytes], lefts: list[bytes], rights: list[bytes], step: int = 1) -> list[np.ndarray]:
+    """For each string (left, core, right) the offsets in it from which ``SPAN`` bytes also occur in another one.
+
+    A symbol is ``step`` bytes, or a core, which counts as ``step`` bytes too.
+    """
+    symbol: dict[bytes, int] = {}       # cores, and words if a symbol is more than a byte; a core's digest has another size
     count = len(lefts)
+    span = SPAN // step
+
+    def side(raw: bytes) -> list[int]:
+        if step == 1:
+            return [b + count for b in raw]
+        return [count + 256 + symbol.setdefault(raw[i:i + step], len(symbol)) for i in range(0, len(raw), step)]
+
     symbols: list[int] = []
     begins = []
     for k in range(count):
         begins.append(len(symbols))
-        symbols += [b + count for b in lefts[k]]
-        symbols.append(count + 256 + core_symbol.setdefault(middles[k], len(core_symbol)))
-        symbols += [b + count for b in rights[k]]
+        symbols += side(lefts[k])
+        symbols.append(count + 256 + symbol.setdefault(middles[k], len(symbol)))
+        symbols += side(rights[k])
         symbols.append(count - 1 - k)       # ends differ; the last one is the smallest
     order = np.array(suffix_array(symbols))
     owner = np.zeros(len(symbols), "i4")
     owner[begins[1:]] = 1
     owner = np.cumsum(owner)
     offset = np.arange(len(symbols)) - np.array(begins)[owner]
-    size = np.array([len(a) + len(b) + 1 for a, b in zip(lefts, rights, strict=True)])
-    before = np.array([len(a) for a in lefts])
-    starts = (offset[order] <= before[owner[order]]) & (offset[order] + SPAN <= size[owner[order]])
+    size = np.array([(len(a) + len(b)) // step + 1 for a, b in zip(lefts, rights, strict=True)])
+    before = np.array([len(a) // step for a in lefts])
+    starts = (offset[order] <= before[owner[order]]) & (offset[order] + span <= size[owner[order]])
     order = order[starts]
     text = "".join(map(chr, symbols)) if max(symbols, default=0) < 0xD800 else symbols
-    same = np.array([text[a:a + SPAN] == text[b:b + SPAN] for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)], bool)
+    same = np.array([text[a:a + span] == text[b:b + span] for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)], bool)
     hit = order[np.r_[same, False] | np.r_[False, same]] if len(order) > 1 else order[:0]
     out: list[list[int]] = [[] for _ in range(count)]
     for i in hit.tolist():
-        out[owner[i]].append(int(offset[i]))
+        out[owner[i]].append(int(offset[i]) * step)
     return [np.array(sorted(x), "i8") for x in out]
 
 
-def sort_groups(sides: DataFrame, buckets: int) -> DataFrame:
+def sort_groups(sides: DataFrame, buckets: int, step: int = 1) -> DataFrame:
     """Runs of repeated starts from the suffix arrays of all cores: row_id, at, n."""
 
     def solve(table: pa.Table) -> pa.Table:
@@ -281,10 +296,10 @@ def sort_groups(sides: DataFrame, buckets: int) -> DataFrame:
             while j < len(order) and columns["core"][order[j]] == columns["core"][order[i]]:
                 j += 1
             own = order[i:j]
-            found = repeated_starts(*[[columns[c][k] for k in own] for c in ("middle", "left", "right")])
+            found = repeated_starts(*[[columns[c][k] for k in own] for c in ("middle", "left", "right")], step)
             for k, offsets in zip(own, found, strict=True):
                 if not columns["sure"][k]:
-                    runs += [(columns["row_id"][k], columns["at"][k] + o, 1) for o in offsets.tolist()]
+                    runs += [(columns["row_id"][k], columns["at"][k] + o, step) for o in offsets.tolist()]
             i = j
         return _runs_table(runs)
 
@@ -297,29 +312,29 @@ def _runs_table(runs: list[tuple[int, int, int]]) -> pa.Table:
     return pa.table({"row_id": found["row"], "at": found["at"], "n": found["n"]})
 
 
-def split_starts(sides: DataFrame) -> DataFrame:
+def split_starts(sides: DataFrame, step: int = 1) -> DataFrame:
     """The same for cores that very many blocks share: starts meet one by one, by a digest of their whole string."""
-    offset = F.explode(F.sequence(F.lit(0), F.length("left") + F.length("right") + 1 - SPAN)).alias("o")
+    offset = F.explode(F.sequence(F.lit(0), F.length("left") + F.length("right") + step - SPAN, F.lit(step))).alias("o")
     each = sides.select("*", offset)
     head = F.substring("left", F.col("o") + 1, F.lit(SPAN))
-    tail = F.substring("right", F.lit(1), F.col("o") + SPAN - 1 - F.length("left"))
+    tail = F.substring("right", F.lit(1), F.col("o") + SPAN - step - F.length("left"))
     keyed = each.select("row_id", "at", "o", "sure", F.sha2(F.concat(head, F.lit("|").cast("binary"), "middle", F.lit("|").cast("binary"), tail), 256).alias("key"), (F.length("left") - F.col("o")).alias("before"))
     often = keyed.groupBy("key", "before").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return keyed.filter("not sure").join(often, ["key", "before"]).select("row_id", (F.col("at") + F.col("o")).alias("at"), F.lit(1).cast("long").alias("n"))
+    return keyed.filter("not sure").join(often, ["key", "before"]).select("row_id", (F.col("at") + F.col("o")).alias("at"), F.lit(step).cast("long").alias("n"))
 
 
-def repeated_runs(texts: DataFrame, length: int = LENGTH, most_together: int = MOST_TOGETHER) -> DataFrame:
-    """row_id, runs: for every row with repeated starts, where they are (first start, count)."""
+def repeated_runs(texts: DataFrame, length: int = LENGTH, most_together: int = MOST_TOGETHER, step: int = 1) -> DataFrame:
+    """row_id, runs: for every row with repeated starts, where they are (first start, bytes from it on with a start every ``step``)."""
     buckets = blobs.bucket_count(texts.sparkSession)
-    found = meet_blocks(texts, buckets, length)
+    found = meet_blocks(texts, buckets, length, step)
     open_ = found.filter("core is not null")
     large = settle(open_.groupBy("core").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most_together).select("core"))
-    sides = settle(surroundings(texts, open_, length))
+    sides = settle(surroundings(texts, open_, length, step))
     runs = found.filter("core is null").select("row_id", "at", "n")
     if large.isEmpty():
-        runs = runs.union(settle(sort_groups(sides, buckets)))
+        runs = runs.union(settle(sort_groups(sides, buckets, step)))
     else:
-        runs = runs.union(settle(sort_groups(sides.join(large, "core", "left_anti"), buckets))).union(split_starts(sides.join(large, "core", "left_semi")))
+        runs = runs.union(settle(sort_groups(sides.join(large, "core", "left_anti"), buckets, step))).union(split_starts(sides.join(large, "core", "left_semi"), step))
     return runs.groupBy("row_id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))        # a row's own
 
 
@@ -340,36 +355,51 @@ def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
 
 
-REMOVED = "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
+REMOVED = (
+    "row_id long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, "
+    "n_passages long, text_without_passages string"
+)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", most_together: int = MOST_TOGETHER) -> DataFrame:
-    """row_id, doc_id, n_bytes, n_removed, n_spans, kept_sha256, text for every row of ``docs``.
+def remove_repeats(
+    docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text",
+    most_together: int = MOST_TOGETHER, words: int = WORDS,
+) -> DataFrame:
+    """row_id, doc_id, n_bytes, n_removed, n_spans, kept_sha256, text, n_passages, text_without_passages for every row of ``docs``.
 
     ``text`` is what is left; a character that loses a byte goes as a whole.
+    ``n_passages`` counts what the bytes do not bound, the maximal runs of words
+    covered by passages of ``words`` words that occur more than once, and
+    ``text_without_passages`` is what is left without these too, as from
+    ``drop_passages``.
 
     Texts are taken as UTF-8 bytes, null as empty; texts shorter than
     ``length`` keep all bytes; strings never cross rows; rows with null or
     repeated ids are texts of their own, and an empty table gives no row.
     """
     texts = numbered(docs, doc_id=id_column, text=text_column)
-    runs = repeated_runs(texts, length, most_together)
+    runs = passage_runs(texts, words, length, most_together)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                raw = (batch.column("text")[i].as_py() or "").encode()
+                text = batch.column("text")[i].as_py() or ""
+                raw = text.encode()
                 spans = covered(batch.column("runs")[i].as_py(), length)
                 rest = without(raw, spans)
-                out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode(errors="ignore")))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                left = rest.decode(errors="ignore")
+                word_runs = batch.column("word_runs")[i].as_py()
+                passages = joined(passage_spans(text, word_runs, words)) if word_runs else []
+                left_without = without(raw, joined(spans + passages)).decode(errors="ignore") if passages else left
+                out.append((len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(rest).hexdigest(), left, len(passages), left_without))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row_id"), batch.column("doc_id"), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]],
                 [f.split()[0] for f in REMOVED.split(", ")],
             )
 
-    return texts.join(runs, "row_id", "left").select("row_id", "doc_id", "text", "runs").mapInArrow(cut, REMOVED)
+    return texts.join(runs, "row_id", "left").select("row_id", "doc_id", "text", "runs", "word_runs").mapInArrow(cut, REMOVED)
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text") -> DataFrame:
@@ -397,15 +427,17 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, text_column: str = "text
 _WORD = re.compile(r"\w+(?:[^\w\s]+\w+)*")      # no space inside, a letter or digit at both ends
 
 
+_OTHERS = bytes(0x20 + b % 64 for b in range(256))     # places of a code but the first
+
+
 class WordCodes(dict):
     """Code of a word: ``CODE`` characters of its hash, the first from letters that no other place has, so words stay aligned."""
 
     def __missing__(self, word: str) -> str:
         if len(self) >= CODES:
             self.clear()
-        bits = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        code = chr(0x60 + bits % 32) + "".join(chr(0x20 + (bits >> (5 + 6 * k)) % 64) for k in range(CODE - 1))
-        self[word] = code
+        hashed = hashlib.blake2b(word.encode(), digest_size=CODE).digest()
+        self[word] = code = chr(0x60 + hashed[0] % 32) + hashed[1:].translate(_OTHERS).decode()
         return code
 
 
@@ -453,6 +485,14 @@ def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def passage_runs(texts: DataFrame, words: int, length: int, most_together: int) -> DataFrame:
+    """row_id, runs, word_runs: where ``length`` bytes start that repeat, and where ``words`` words do, in the codes of a row."""
+    none = F.lit(None).cast("array<struct<at:bigint,n:bigint>>")
+    by_bytes = repeated_runs(texts, length, most_together).select("row_id", "runs", none.alias("word_runs"))
+    by_words = repeated_runs(settle(coded(texts, words)), words * CODE, most_together, CODE).select("row_id", none.alias("runs"), F.col("runs").alias("word_runs"))
+    return by_bytes.union(by_words).groupBy("row_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("runs", "word_runs")])
+
+
 def drop_passages(
     docs: DataFrame, words: int = WORDS, length: int = LENGTH, text_column: str = "text", most_together: int = PASSAGES_TOGETHER
 ) -> DataFrame:
@@ -467,11 +507,7 @@ def drop_passages(
     """
     whole, row = numbered_whole(docs)
     found, in_words = free_name(whole, "_runs"), free_name(whole, "_word_runs")
-    texts = numbered(docs, text=text_column)
-    none = F.lit(None).cast("array<struct<at:bigint,n:bigint>>")
-    by_bytes = repeated_runs(texts, length, most_together).select("row_id", F.col("runs").alias(found), none.alias(in_words))
-    by_words = repeated_runs(settle(coded(texts, words)), words * CODE, most_together).select("row_id", none.alias(found), F.col("runs").alias(in_words))
-    runs = by_bytes.union(by_words).groupBy("row_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in (found, in_words)])
+    runs = passage_runs(numbered(docs, text=text_column), words, length, most_together).withColumnsRenamed({"row_id": row, "runs": found, "word_runs": in_words})
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, runs: pa.Array, word_runs: pa.Array) -> pa.Array:
@@ -482,4 +518,4 @@ def drop_passages(
         return pa.array(out, pa.string())
 
     stays = {text_column: cut(F.col(f"`{text_column}`"), F.col(found), F.col(in_words)).alias(text_column)}
-    return whole.join(runs.withColumnRenamed("row_id", row), row, "left").select(*[stays.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    return whole.join(runs, row, "left").select(*[stays.get(c, F.col(f"`{c}`")) for c in docs.columns])
