@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.compare import real_deviation, safe_divide
 from tickloom.operators.indicators import with_crosses, with_smas
-from tickloom.operators.positions import Account, with_equity, with_fills, with_position, with_returns
-from tickloom.operators.rules import resolve, signal_flags
+from tickloom.operators.positions import ADDED, MOST_BESIDE, Account, with_equity, with_fills, with_position, with_returns
+from tickloom.operators.rules import resolve, series_as_rows, signal_flags, tags_of
 from tickloom.plans.layout import Layout, spread_over
 from tickloom.session import settle
 
@@ -174,18 +174,18 @@ def sma_cross_sweep(df: DataFrame, lay: Layout, fast: Sequence[int], slow: Seque
     """
     pairs = [(f, s) for f, s in itertools.product(fast, slow) if f < s]
     df = with_smas(with_fills(df, lay, account), lay, *sorted({*fast, *slow}))
-    df = with_crosses(df, lay, {f"x_{f}_{s}": F.col(f"sma{f}") - F.col(f"sma{s}") for f, s in pairs})
-    kept = ["symbol", "ts", "bar_no", "close", "buy_fill", "sell_fill", "next_ts"]
-    if lay.chunked:
-        kept += ["chunk", "own"]
-    rows = F.array(*[
-        F.struct(
-            F.lit(f).alias("fast"), F.lit(s).alias("slow"),
-            F.coalesce(F.col(f"x_{f}_{s}") == 1, F.lit(False)).alias("entry"),
-            F.coalesce(F.col(f"x_{f}_{s}") == -1, F.lit(False)).alias("exit"),
-        )
-        for f, s in pairs
-    ])
+    kept = ["symbol", "ts", "bar_no", "close", "buy_fill", "sell_fill", "next_ts", *(["chunk", "own"] if lay.chunked else [])]
+    df = with_crosses(df, lay, {f"x_{f}_{s}": F.col(f"sma{f}") - F.col(f"sma{s}") for f, s in pairs}, kept)
+    flags = [
+        [F.coalesce(F.col(f"x_{f}_{s}") == side, F.lit(False)).alias(name) for name, side in (("entry", 1), ("exit", -1))] for f, s in pairs
+    ]
+    if 1 < len(pairs) <= MOST_BESIDE:
+        tags = tags_of(pairs)
+        df = df.select(*kept, *[flag.alias(f"{name}{t}") for t, both in zip(tags, flags, strict=True) for name, flag in zip(("entry", "exit"), both, strict=True)])
+        df = with_equity(with_position(df, lay, account, tags), lay, account, tags)
+        labels = {"fast": [f for f, _ in pairs], "slow": [s for _, s in pairs]}
+        return series_as_rows(with_returns(df, lay, account, tags), ADDED, labels), lay.per("fast", "slow")
+    rows = F.array(*[F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), *both) for (f, s), both in zip(pairs, flags, strict=True)])
     lay = lay.per("fast", "slow")
     long = df.select(*kept, F.inline(rows))
     return with_returns(with_equity(with_position(long, lay, account), lay, account), lay, account), lay
